@@ -94,7 +94,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((total[ends] - total[starts]) * down[starts], 1)
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, most: int = 8 << 20):
+def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
     """Cut a batch into runs of texts of about `most` bytes (at least one text each)."""
     i, n = 0, len(offsets) - 1
     while i < n:

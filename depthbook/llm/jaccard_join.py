@@ -133,20 +133,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 4. keys: rare tokens, combinations of frequent ones
     near = Window.partitionBy("rep").orderBy("at")
     combined = F.xxhash64(*[F.lead("token", i, 0).over(near) for i in range(combine)])
+    # a pair's first common token leaves both sides the tokens from there on at most
+    prefix = prefix.withColumn("rest", F.expr("n - alone - at + 1"))
     keyed = prefix.withColumn("key", F.when(F.col("df") >= frequent, combined).otherwise(F.col("token")))
-    central = keyed.groupBy("key").agg(F.min(F.struct("alone", "rep", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    star = keyed.join(central, "key").where("rep <> hub.rep").withColumn("m", F.col("hub.n")).where(close)
+    central = keyed.groupBy("key").agg(F.min(F.struct("alone", "rep", "n", "rest")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    close = f"{100 + percent} * least(rest, rest_m) >= {percent} * (n + m)"
+    star = keyed.join(central, "key").where("rep <> hub.rep").withColumn("m", F.col("hub.n")).withColumn("rest_m", F.col("hub.rest")).where(close)
     pairs = settle(star.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), "pairs")
     links = settle(_verify(pairs, sets, percent), "links")
 
     # 6. postings that still span several components
     first = components(links)
-    placed = prefix.select("token", "rep", "n").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    placed = prefix.select("token", "rep", "n", "rest").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     spans = placed.groupBy("token").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("token")
     open_ = settle(placed.join(spans, "token", "left_semi"), "open")
-    x = open_.select("token", F.col("rep").alias("a"), F.col("n"), F.col("component_id").alias("ca"))
-    y = open_.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component_id").alias("cb"))
+    x = open_.select("token", F.col("rep").alias("a"), "n", "rest", F.col("component_id").alias("ca"))
+    y = open_.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("component_id").alias("cb"))
     across = x.join(y, "token").where("a < b and ca <> cb").where(close).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = settle(_verify(across, sets, percent), "links")
     whole = components(links.union(more))

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, trie_bpe
+from . import itq_dedup, jaccard_join, language_id, license_scan, multi_index, packing, pu_quality, site_style, span_dedup, trie_bpe
 from .common import table
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -17,9 +31,32 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_trie_bpe, op7_best_fit_packing)}
-ORACLES: dict = {}
+def op8_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_site_style_tree, op2_inverted_multi_index, op3_license_scan, op4_ngram_jaccard_join, op5_trie_bpe, op6_pu_quality, op7_best_fit_packing, op8_itq_near_dedup, op9_language_id, op10_span_dedup, pipeline)
+}
+ORACLES: dict = {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id stays of each group."""
-    kept = settle(jaccard_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return keep_ids(docs, kept, "doc_id", kept.count()).select(*docs.columns)
+    gone = settle(jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return keep_ids(docs, gone, "doc_id", gone.count(), "left_anti").select(*docs.columns)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,10 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:
-    """Semi join; the ids are broadcast only if `rows`, their count, is proven small."""
+def keep_ids(df: DataFrame, ids: DataFrame, key: str, rows: int, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join; the ids are broadcast only if `rows`, their count, is proven small."""
     ids = ids.select(key)
-    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, key, how)
 
 
 def fold(doc_id) -> int:

@@ -1,4 +1,496 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, beside each, the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from depthbook.functions import metrics
+from depthbook.operators import depth, flow
+from depthbook.operators.ordered import Ordered
+from depthbook.plans import state
+from depthbook.sources.tape import events_tape, orders_tape, points_of, table
+from depthbook.streaming.maintainer import live_top, run_available
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+TICK = 0.5
+#: Timestamps of the look-up and slice queries, from the tables themselves.
+RANGE = ("2024-01-05", "2024-01-20")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# The books of the events tape (incremental) and of the orders tape (snapshots)
+
+
+def _tape(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    return events_tape(table(spark, sf_dir, "events"), shift)
+
+
+def _events(spark: SparkSession, sf_dir: str, shift: int = 0) -> tuple[DataFrame, DataFrame]:
+    tape = _tape(spark, sf_dir, shift)
+    return state.live_levels(tape, points_of(tape), in_order=True, collapsed=True)
+
+
+def _top(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    return state.top(*_events(spark, sf_dir, shift))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return orders_tape(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+def _live(shift: int = 0) -> str:
+    return f"""tape AS (SELECT user_id % 10 AS book_id, epoch_us(ts) AS ts,
+  CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'a' END AS side,
+  CAST(CASE WHEN event_id % 2 = 0 THEN 10000 - (event_id * 7919) % 41 + CASE WHEN user_id % 17 = 0 THEN {shift} ELSE 0 END
+       ELSE 10000 + (event_id * 7919) % 41 END AS DOUBLE) AS price,
+  CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 + CAST(floor(value) AS BIGINT) % 50 END AS DOUBLE) AS size FROM events),
+pts AS (SELECT DISTINCT book_id, ts FROM tape),
+iv AS (SELECT *, lead(ts) OVER (PARTITION BY book_id, side, price ORDER BY ts) AS vt FROM tape),
+live AS (SELECT p.book_id, p.ts, i.side, i.price, i.size FROM pts p JOIN iv i ON i.book_id = p.book_id AND i.ts <= p.ts AND (i.vt IS NULL OR p.ts < i.vt) WHERE i.size > 0)"""
+
+
+_LEVELS = ", levels AS (SELECT *, row_number() OVER (PARTITION BY book_id, ts, side ORDER BY CASE side WHEN 'b' THEN -price ELSE price END) - 1 AS level FROM live)"
+_TOP = """, best AS (SELECT book_id, ts, max(price) FILTER (side = 'b') AS bid, max_by(size, price) FILTER (side = 'b') AS bidq,
+  min(price) FILTER (side = 'a') AS ask, min_by(size, price) FILTER (side = 'a') AS askq FROM live GROUP BY ALL),
+top AS (SELECT p.book_id, p.ts, coalesce(bid, 0.0::DOUBLE) AS bid, coalesce(bidq, 0.0::DOUBLE) AS bidq, coalesce(ask, 0.0::DOUBLE) AS ask, coalesce(askq, 0.0::DOUBLE) AS askq
+  FROM pts p LEFT JOIN best USING (book_id, ts))"""
+_SNAPS = """days AS (SELECT o_custkey % 20 AS book_id, epoch_us(o_orderdate) AS ts, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL),
+rows_ AS (SELECT book_id, ts, CASE WHEN l_linenumber % 2 = 1 THEN 'b' ELSE 'a' END AS side,
+  CAST(CASE WHEN l_linenumber % 2 = 1 THEN 10000 - l_partkey % 50 ELSE 10001 + l_partkey % 50 END AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS size, l_linenumber
+  FROM days JOIN lineitem ON l_orderkey = o_orderkey),
+pts AS (SELECT book_id, ts FROM days),
+live AS (SELECT book_id, ts, side, price, size FROM rows_ QUALIFY row_number() OVER (PARTITION BY book_id, ts, side, price ORDER BY l_linenumber DESC, size DESC) = 1)"""
+
+
+def _on_top(select: str, shift: int = 0) -> str:
+    return f"WITH {_live(shift)}{_TOP} SELECT book_id, ts, {select} FROM top"
+
+
+def _on_levels(select: str) -> str:
+    return f"WITH {_live()}{_LEVELS}, agg AS (SELECT book_id, ts, {select} FROM levels GROUP BY ALL) "
+
+
+_NAN = "'nan'::DOUBLE"
+_SPREAD = f"CASE WHEN bid > 0 AND ask > 0 THEN ask - bid ELSE {_NAN} END"
+
+
+# Top of book and its metrics
+
+
+@query(_on_top("bid, bidq, ask, askq"))
+def top_of_book(spark, sf_dir):
+    return _top(spark, sf_dir)
+
+
+@query(_on_top(f"{_SPREAD} AS spread, {_SPREAD} / {TICK}::DOUBLE AS spread_tick, CASE WHEN bid > 0 THEN ({_SPREAD}) / bid ELSE {_NAN} END AS spread_rel"))
+def spread_metrics(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.spread().alias("spread"), metrics.spread_tick(TICK).alias("spread_tick"), metrics.spread_rel().alias("spread_rel"))
+
+
+@query(_on_top(f"CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE {_NAN} END AS midprice"))
+def midprice(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.midprice().alias("midprice"))
+
+
+_VW = "(bid * bidq + ask * askq) / (bidq + askq)"
+
+
+@query(_on_top(f"CASE WHEN bid > 0 AND ask > 0 AND bidq > 0 AND askq > 0 THEN {_VW} ELSE {_NAN} END AS vw_midprice"))
+def vw_midprice(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.vw_midprice().alias("vw_midprice"))
+
+
+@query(_on_top("(bid + ask) / 2 AS midprice"))
+def series_mid(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.midprice_raw().alias("midprice"))
+
+
+@query(_on_top(f"CASE WHEN bidq + askq <> 0 THEN {_VW} ELSE {_NAN} END AS vw_midprice"))
+def series_vw_mid(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.vw_midprice_raw().alias("vw_midprice"))
+
+
+@query(_on_top("bidq - askq AS vi"))
+def series_vi(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.vi_raw().alias("vi"))
+
+
+@query(_on_top(f"{_SPREAD} AS spread"))
+def series_spread(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.spread().alias("spread"))
+
+
+@query(_on_top("bid"))
+def series_bid(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", "bid")
+
+
+@query(_on_top("ask"))
+def series_ask(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", "ask")
+
+
+@query(_on_top("CASE WHEN bid > 0 AND ask > 0 THEN bid < ask ELSE true END AS ok"))
+def book_check(spark, sf_dir):
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.check().alias("ok"))
+
+
+@query(f"WITH {_live(2)}{_TOP} SELECT book_id, ts, bid, ask FROM top WHERE bid > 0 AND ask > 0 AND NOT bid < ask")
+def crossed_points(spark, sf_dir):
+    return _top(spark, sf_dir, 2).where(~metrics.check()).select("book_id", "ts", "bid", "ask")
+
+
+_TICKS = "CASE WHEN bid > 0 THEN round_even((bid - 9990.25) / 0.5, 0) ELSE 'inf'::DOUBLE END AS bid_ticks, CASE WHEN ask > 0 THEN round_even((10010.25 - ask) / 0.5, 0) ELSE 'inf'::DOUBLE END AS ask_ticks"
+
+
+@query(_on_top(_TICKS))
+def ticks_from_best(spark, sf_dir):
+    b, a = metrics.ticks_from_best("b", 9990.25, TICK), metrics.ticks_from_best("a", 10010.25, TICK)
+    return _top(spark, sf_dir).select("book_id", "ts", b.alias("bid_ticks"), a.alias("ask_ticks"))
+
+
+# Depth
+
+
+def _aggregated(spark, sf_dir, prepare=lambda x: x, **columns):
+    kept, live = _events(spark, sf_dir)
+    return depth.per_point(kept, prepare(state.levels(live)), **columns)
+
+
+def _filled(*names: str) -> str:
+    return "SELECT p.book_id, p.ts, " + ", ".join(f"coalesce({n}, 0.0::DOUBLE) AS {n}" for n in names) + " FROM pts p LEFT JOIN agg USING (book_id, ts)"
+
+
+def _level_sql(what: str, *at: tuple[str, str, int]) -> str:
+    return _on_levels(", ".join(f"max({what}) FILTER (side = '{s}' AND level = {i}) AS {n}" for n, s, i in at)) + _filled(*[n for n, _, _ in at])
+
+
+_AT = (("bid_1", "b", 1), ("bid_4", "b", 4), ("ask_1", "a", 1), ("ask_4", "a", 4))
+
+
+@query(_level_sql("price", *_AT))
+def level_i_prices(spark, sf_dir):
+    return _aggregated(spark, sf_dir, **{n: metrics.at_level(s, i) for n, s, i in _AT})
+
+
+@query(_level_sql("size", *_AT))
+def level_i_sizes(spark, sf_dir):
+    return _aggregated(spark, sf_dir, **{n: metrics.at_level(s, i, "size") for n, s, i in _AT})
+
+
+_DEPTH = ", deep AS (SELECT *, count(*) OVER (PARTITION BY book_id, ts, side) AS depth FROM levels)"
+
+
+@query(f"WITH {_live()}{_LEVELS}{_DEPTH}, agg AS (SELECT book_id, ts, max(price) FILTER (side = 'b' AND level = depth - 1) AS worst_bid, max(price) FILTER (side = 'a' AND level = depth - 2) AS last_but_one_ask FROM deep GROUP BY ALL) " + _filled("worst_bid", "last_but_one_ask"))
+def level_from_worst(spark, sf_dir):
+    return _aggregated(spark, sf_dir, depth.with_depth, worst_bid=metrics.at_level("b", -1), last_but_one_ask=metrics.at_level("a", -2))
+
+
+def _vi_sql(i: int) -> str:
+    b, a = (f"coalesce(sum(size) FILTER (side = '{s}' AND level <= {i}), 0)" for s in "ba")
+    return f"CASE WHEN {b} + {a} = 0 THEN 0.0::DOUBLE ELSE ({b} - {a}) / ({b} + {a}) END AS vi_{i}"
+
+
+@query(_on_levels(", ".join(map(_vi_sql, (0, 2, 9)))) + _filled("vi_0", "vi_2", "vi_9"))
+def volume_imbalance_k(spark, sf_dir):
+    return _aggregated(spark, sf_dir, **{f"vi_{i}": metrics.volume_imbalance(i) for i in (0, 2, 9)})
+
+
+@query(f"WITH {_live()}{_LEVELS}{_DEPTH}, agg AS (SELECT book_id, ts, sum(size) FILTER (side = 'b' AND level < 3) AS bid_3, sum(size) FILTER (side = 'a' AND level < 3) AS ask_3, sum(size) FILTER (side = 'a' AND level < depth - 2) AS ask_but_2 FROM deep GROUP BY ALL) " + _filled("bid_3", "ask_3", "ask_but_2"))
+def aggq_nlevel(spark, sf_dir):
+    return _aggregated(spark, sf_dir, depth.with_depth, bid_3=metrics.aggq_nlevel("b", 3), ask_3=metrics.aggq_nlevel("a", 3), ask_but_2=metrics.aggq_nlevel("a", -2))
+
+
+_BEST = ", near AS (SELECT *, max(price) OVER w AS hi, min(price) OVER w AS lo FROM live WINDOW w AS (PARTITION BY book_id, ts, side))"
+
+
+@query(f"WITH {_live()}{_BEST}, agg AS (SELECT book_id, ts, sum(size) FILTER (side = 'b' AND price >= hi - 5) AS bid_5, sum(size) FILTER (side = 'a' AND price <= lo + 5) AS ask_5 FROM near GROUP BY ALL) " + _filled("bid_5", "ask_5"))
+def aggq_ticks(spark, sf_dir):
+    return _aggregated(spark, sf_dir, depth.with_best, bid_5=metrics.aggq_ticks("b", 10, TICK), ask_5=metrics.aggq_ticks("a", 10, TICK))
+
+
+@query(f"WITH {_live()}, agg AS (SELECT book_id, ts, sum(size) FILTER (side = 'b' AND price >= 9985) AS bid_9985, sum(size) FILTER (side = 'a' AND price <= 10015) AS ask_10015 FROM live GROUP BY ALL) " + _filled("bid_9985", "ask_10015"))
+def aggq_price(spark, sf_dir):
+    kept, live = _events(spark, sf_dir)
+    return depth.per_point(kept, live, bid_9985=metrics.aggq_price("b", 9985.0), ask_10015=metrics.aggq_price("a", 10015.0))
+
+
+def _slippage_sql(s: str, v: int) -> str:
+    mid = f"CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE {_NAN} END"
+    order = "-price" if s == "b" else "price"
+    signed = f"cost / {v}::DOUBLE - ({mid})" if s == "a" else f"({mid}) - cost / {v}::DOUBLE"
+    return f"""WITH {_live()}{_TOP}, cum AS (SELECT *, sum(size) OVER (PARTITION BY book_id, ts ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS cum FROM live WHERE side = '{s}'),
+filled AS (SELECT book_id, ts, sum(greatest(0, least(size, {v} - (cum - size))) * price) AS cost, max(cum) AS there FROM cum GROUP BY ALL)
+SELECT t.book_id, t.ts, CASE WHEN coalesce(there, 0) < {v} THEN 'inf'::DOUBLE ELSE {signed} END AS slippage FROM top t LEFT JOIN filled f USING (book_id, ts)"""
+
+
+@query(_slippage_sql("a", 60))
+def slippage_ask(spark, sf_dir):
+    kept, live = _events(spark, sf_dir)
+    return depth.slippage(kept, live, state.top(kept, live), "a", 60)
+
+
+@query(_slippage_sql("b", 60))
+def slippage_bid(spark, sf_dir):
+    kept, live = _events(spark, sf_dir)
+    return depth.slippage(kept, live, state.top(kept, live), "b", 60)
+
+
+# Slices and look-ups
+
+_FROM, _TO = (f"epoch_us(TIMESTAMP '{t}')" for t in RANGE)
+
+
+def _micros(day: str) -> Column:
+    return F.unix_micros(F.lit(f"{day} 00:00:00+00:00").cast("timestamp"))
+
+
+@query(f"WITH {_live()}{_TOP} SELECT book_id, ts, bid, ask FROM top WHERE ts BETWEEN {_FROM} AND {_TO}")
+def range_slice(spark, sf_dir):
+    top = _top(spark, sf_dir)
+    return top.where(F.col("ts").between(_micros(RANGE[0]), _micros(RANGE[1]))).select("book_id", "ts", "bid", "ask")
+
+
+@query(f"WITH {_live()}, last AS (SELECT book_id, max(ts) AS ts FROM pts GROUP BY ALL) SELECT book_id, ts, side, price, size FROM live SEMI JOIN last USING (book_id, ts)")
+def point_lookup(spark, sf_dir):
+    """The whole book at one timestamp of each series: an exact match."""
+    kept, live = _events(spark, sf_dir)
+    return live.join(kept.groupBy("book_id").agg(F.max("ts").alias("ts")), ["book_id", "ts"], "left_semi")
+
+
+@query("SELECT DISTINCT user_id % 10 AS book_id, epoch_us(ts) AS ts FROM events")
+def timestamps(spark, sf_dir):
+    return points_of(_tape(spark, sf_dir)).select("book_id", "ts").distinct()
+
+
+@query(f"WITH {_SNAPS} SELECT e.book_id, e.ts, EXISTS (SELECT 1 FROM pts p WHERE p.ts = e.ts) AS there FROM (SELECT DISTINCT user_id % 10 AS book_id, epoch_us(date_trunc('day', ts)) AS ts FROM events) e")
+def contains_ts(spark, sf_dir):
+    """Whether the midnight of each event's day is a timestamp of the order books."""
+    _, points = _orders(spark, sf_dir)
+    known = points.select("ts").distinct().withColumn("there", F.lit(True))
+    days = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("book_id"), F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("ts")).distinct()
+    return days.join(known, "ts", "left").select("book_id", "ts", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+@query(f"WITH {_SNAPS}{_LEVELS} SELECT book_id, ts AS timestamp, side, level, price, size FROM levels")
+def levels_export(spark, sf_dir):
+    tape, points = _orders(spark, sf_dir)
+    _, live = state.live_levels(tape, points, collapsed=True)
+    return depth.export(state.levels(live)).withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"WITH {_SNAPS}{_LEVELS} SELECT book_id, ts, side, level, price, size FROM levels WHERE level < CASE side WHEN 'b' THEN 2 ELSE 1 END")
+def levels_topn_split(spark, sf_dir):
+    tape, points = _orders(spark, sf_dir)
+    _, live = state.live_levels(tape, points, collapsed=True)
+    return depth.split_budget(state.levels(live), 3).withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"WITH {_SNAPS} SELECT * FROM live SEMI JOIN (SELECT book_id, max(ts) AS ts FROM pts GROUP BY ALL) USING (book_id, ts)")
+def latest_book(spark, sf_dir):
+    """`latest` mode keeps the book since the last snapshot."""
+    tape, points = _orders(spark, sf_dir)
+    return state.live_levels(tape, points, "latest", collapsed=True)[1]
+
+
+# Flow, extent, differences
+
+_FLOW = f"""WITH {_live()}, moved AS (SELECT book_id, ts, size - coalesce(lag(size) OVER (PARTITION BY book_id, side, price ORDER BY ts), 0) AS d, min(ts) OVER (PARTITION BY book_id) AS first FROM tape)
+SELECT book_id, sum(greatest(d, 0)) FILTER (ts > first) AS arrivals, sum(greatest(-d, 0)) FILTER (ts > first) AS cancels FROM moved GROUP BY book_id"""
+
+
+def _flow(spark, sf_dir):
+    tape = _tape(spark, sf_dir)
+    return flow.flow_by_book(tape, points_of(tape), updates_only=True)
+
+
+@query(f"SELECT book_id, arrivals FROM ({_FLOW})")
+def arrival_by_book(spark, sf_dir):
+    return _flow(spark, sf_dir).select("book_id", "arrivals")
+
+
+@query(f"SELECT book_id, cancels FROM ({_FLOW})")
+def cancel_by_book(spark, sf_dir):
+    return _flow(spark, sf_dir).select("book_id", "cancels")
+
+
+@query(f"SELECT book_id, arrivals + cancels AS updates FROM ({_FLOW})")
+def update_total(spark, sf_dir):
+    return _flow(spark, sf_dir).select("book_id", "updates")
+
+
+_PAIRS = ", pairs AS (SELECT * FROM (SELECT book_id, ts, lead(ts) OVER (PARTITION BY book_id ORDER BY ts) AS next_ts FROM pts) WHERE next_ts IS NOT NULL)"
+_BOTH = ", old_ AS (SELECT p.book_id, p.next_ts AS ts, side, price, size FROM live l JOIN pairs p USING (book_id, ts)), new_ AS (SELECT l.* FROM live l JOIN pairs p ON p.book_id = l.book_id AND p.next_ts = l.ts), both_ AS (SELECT book_id, ts, side, price, o.size AS old, n.size AS new FROM old_ o FULL JOIN new_ n USING (book_id, ts, side, price))"
+
+
+@query(f"WITH {_SNAPS}{_PAIRS}{_BOTH} SELECT book_id, sum(greatest(coalesce(new, 0) - coalesce(old, 0), 0)) AS arrivals, sum(greatest(coalesce(old, 0) - coalesce(new, 0), 0)) AS cancels FROM both_ GROUP BY book_id")
+def snapshot_flow(spark, sf_dir):
+    tape, points = _orders(spark, sf_dir)
+    return flow.flow_by_book(tape, points).select("book_id", "arrivals", "cancels")
+
+
+@query("SELECT user_id % 10 AS book_id, count(DISTINCT ts) AS n_points FROM events GROUP BY ALL")
+def series_len(spark, sf_dir):
+    return flow.series_extent(points_of(_tape(spark, sf_dir))).select("book_id", "n_points")
+
+
+@query("SELECT user_id % 10 AS book_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration FROM events GROUP BY ALL")
+def series_duration(spark, sf_dir):
+    return flow.series_extent(points_of(_tape(spark, sf_dir))).select("book_id", "duration")
+
+
+def _neighbours(spark, sf_dir):
+    tape, points = _orders(spark, sf_dir)
+    kept, live = state.live_levels(tape, points, collapsed=True)
+    pairs = flow.consecutive(kept)
+    old = live.join(pairs, ["book_id", "ts"]).select("book_id", F.col("next_ts").alias("ts"), "side", "price", "size")
+    return old, live.join(pairs.select("book_id", F.col("next_ts").alias("ts")), ["book_id", "ts"])
+
+
+@query(f"WITH {_SNAPS}{_PAIRS}{_BOTH} SELECT book_id, ts, side, price, coalesce(new, 0.0::DOUBLE) AS size FROM both_ WHERE new IS NULL OR new <> coalesce(old, 0)")
+def snapshot_delta(spark, sf_dir):
+    return flow.compare(*_neighbours(spark, sf_dir), ["book_id", "ts"]).drop("is_delete")
+
+
+@query(f"WITH {_SNAPS}{_PAIRS}{_BOTH} SELECT book_id, ts, side, price, coalesce(new, 0.0::DOUBLE) AS size, new IS NULL AS is_delete FROM both_ WHERE new IS NULL OR old IS NULL OR new <> old")
+def snapshot_diff(spark, sf_dir):
+    return flow.compare(*_neighbours(spark, sf_dir), ["book_id", "ts"], "none")
+
+
+@query(f"""WITH {_live()}, l2 AS (SELECT * FROM ({"WITH " + _live(2) + " SELECT * FROM live"})),
+both_ AS (SELECT book_id, ts, side, price, o.size AS old, n.size AS new FROM live o FULL JOIN l2 n USING (book_id, ts, side, price)),
+agg AS (SELECT book_id, ts, count(*) FILTER (side = 'b') AS n_bids, count(*) FILTER (side = 'a') AS n_asks, sum(coalesce(new, 0)) AS qty FROM both_ WHERE new IS NULL OR new <> coalesce(old, 0) GROUP BY ALL)
+SELECT p.book_id, p.ts, coalesce(n_bids, 0) AS n_bids, coalesce(n_asks, 0) AS n_asks, coalesce(qty, 0.0::DOUBLE) AS qty FROM pts p LEFT JOIN agg USING (book_id, ts)""")
+def series_diff(spark, sf_dir):
+    return flow.series_diff(_events(spark, sf_dir), _events(spark, sf_dir, 2)).select("book_id", "ts", "n_bids", "n_asks", "qty")
+
+
+# Ordered relations over parts and orders
+
+
+def _parts(spark, sf_dir) -> Ordered:
+    return Ordered.of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", ("p_partkey",))
+
+
+_RANKED = "(SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS rank FROM part)"
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20")
+def sc_irange(spark, sf_dir):
+    return _parts(spark, sf_dir).irange(10, 20, (True, False))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size % 7 > 2 AND p_size % 7 <= 5")
+def sc_irange_key(spark, sf_dir):
+    return Ordered.of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") % 7, ("p_size", "p_partkey")).irange_key(2, 5, (False, True))
+
+
+@query(f"SELECT * FROM {_RANKED} WHERE rank >= 20 AND rank < 90")
+def sc_islice(spark, sf_dir):
+    return _parts(spark, sf_dir).islice(20, 90)
+
+
+@query(f"SELECT * FROM {_RANKED} WHERE rank >= 5 AND (rank - 5) % 7 = 0")
+def sc_slice_step(spark, sf_dir):
+    return _parts(spark, sf_dir).islice(5, None, 7)
+
+
+@query("SELECT v.v AS value, (SELECT count(*) FROM part WHERE p_size < v.v) AS lo, (SELECT count(*) FROM part WHERE p_size <= v.v) AS hi FROM (VALUES (1), (17), (50)) v(v)")
+def sc_bisect(spark, sf_dir):
+    probes = spark.createDataFrame([(1,), (17,), (50,)], "value int")
+    sizes = _parts(spark, sf_dir).rows.groupBy("p_size").agg(F.count("*").alias("c"))  # one row a size
+    below = lambda op: F.coalesce(F.sum(F.when(op, F.col("c"))), F.lit(0))
+    met = probes.join(sizes, F.col("p_size") <= F.col("value"), "left")
+    return met.groupBy("value").agg(below(F.col("p_size") < F.col("value")).alias("lo"), below(F.col("p_size") <= F.col("value")).alias("hi"))
+
+
+@query(f"SELECT p_size, min(rank) AS first_rank FROM {_RANKED} GROUP BY p_size")
+def sc_index(spark, sf_dir):
+    return _parts(spark, sf_dir).ranked().groupBy("p_size").agg(F.min("rank").alias("first_rank"))
+
+
+@query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
+def sc_count(spark, sf_dir):
+    return _parts(spark, sf_dir).rows.groupBy("p_size").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, p_size FROM {_RANKED} WHERE rank IN (0, (SELECT count(*) - 1 FROM part))")
+def sc_peek(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return p.peek(0).union(p.peek(-1))
+
+
+def _keys(spark, sf_dir, residue: int, unique: str = "row") -> Ordered:
+    o = table(spark, sf_dir, "orders")
+    return Ordered.of(o.where(F.col("o_custkey") % 3 == residue).select(F.to_date("o_orderdate").alias("day")), "day", unique=unique)
+
+
+_A = "SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 3 = 0"
+_B = "SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 3 = 1"
+
+
+@query(f"{_A} UNION {_B}")
+def sc_union(spark, sf_dir):
+    return _keys(spark, sf_dir, 0).union(_keys(spark, sf_dir, 1)).rows
+
+
+@query(f"{_A} INTERSECT {_B}")
+def sc_intersect(spark, sf_dir):
+    return _keys(spark, sf_dir, 0).intersection(_keys(spark, sf_dir, 1)).rows
+
+
+@query(f"{_A} EXCEPT {_B}")
+def sc_difference(spark, sf_dir):
+    return _keys(spark, sf_dir, 0).difference(_keys(spark, sf_dir, 1)).rows
+
+
+@query(f"(({_A}) EXCEPT ({_B})) UNION (({_B}) EXCEPT ({_A}))")
+def sc_symdiff(spark, sf_dir):
+    return _keys(spark, sf_dir, 0).symmetric_difference(_keys(spark, sf_dir, 1)).rows
+
+
+@query(f"{_A} UNION ALL {_B}")
+def sc_multiset_add(spark, sf_dir):
+    return _keys(spark, sf_dir, 0, "no").concat(_keys(spark, sf_dir, 1, "no")).rows
+
+
+@query("SELECT p_partkey, p_size FROM part, range(3)")
+def sc_repeat(spark, sf_dir):
+    return _parts(spark, sf_dir).repeat(3).rows
+
+
+@query("SELECT k, coalesce(b.v, a.v) AS v FROM (SELECT p_partkey AS k, p_size AS v FROM part) a FULL JOIN (SELECT p_partkey * 2 AS k, p_size + 100 AS v FROM part) b USING (k)")
+def sc_merge(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    a = Ordered.of(p.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v")), "k", unique="key")
+    b = Ordered.of(p.select((F.col("p_partkey") * 2).alias("k"), (F.col("p_size") + 100).alias("v")), "k", unique="key")
+    return a.merge(b).rows
+
+
+@query(f"SELECT NOT EXISTS (({_A}) EXCEPT ({_B})) AS a_in_b, NOT EXISTS (({_B}) EXCEPT ({_A})) AS b_in_a, NOT EXISTS (({_A}) INTERSECT ({_B})) AS apart")
+def sc_subset_flags(spark, sf_dir):
+    a, b = _keys(spark, sf_dir, 0).rows.distinct(), _keys(spark, sf_dir, 1).rows.distinct()
+    x, y = a.withColumn("_a", F.lit(1)), b.withColumn("_b", F.lit(1))
+    both = x.join(y, "day", "full_outer")
+    none = lambda c: F.count(F.when(c, 1)) == 0
+    return both.agg(none(F.col("_b").isNull()).alias("a_in_b"), none(F.col("_a").isNull()).alias("b_in_a"), none(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("apart"))
+
+
+@query(_on_top("ts AS seq, bid, bidq, ask, askq"))
+def streaming_top(spark, sf_dir):
+    """The events tape as a stream, through the stateful maintainer."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return run_available(live_top(events_tape(stream)))

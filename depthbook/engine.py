@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from depthbook.functions import metrics
 from depthbook.operators import depth, flow
 from depthbook.plans import state
-from depthbook.schema import INF, NAN, side_long, sort_price
+from depthbook.schema import INF, moment, sort_price
 from depthbook.sources import sinks
 from depthbook.sources.tape import from_batches
 
@@ -266,9 +267,10 @@ class BookSeries:
             tape, points = from_batches(self.spark, batches)
             kept, live = state.live_levels(tape, points, self.mode, width=1 << 20)
             if not whole:
-                shown = self.spark.createDataFrame(list(enumerate(map(float, names))), "ts decimal(38,0), _ts double")
+                shown = self.spark.createDataFrame([(Decimal(i), float(t)) for i, t in enumerate(names)], "ts decimal(38,0), _ts double")
                 kept, live = (f.join(F.broadcast(shown), "ts").withColumn("ts", F.col("_ts")).drop("_ts") for f in (kept, live))
-            self._held = kept, live
+            # literal batches are small, and every access reads them
+            self._held = kept.cache(), live.cache()
         return self._held
 
     kept = property(lambda s: s._frames()[0])
@@ -292,7 +294,7 @@ class BookSeries:
 
     def _book(self, ts: Any) -> Book:
         b = Book(self.spark, f"{self.name}@{ts}", self.tick_size)
-        b.timestamp, b._frame = ts, self.live.where(F.col("ts") == F.lit(ts)).select("side", "price", "size")
+        b.timestamp, b._frame = ts, self.live.where(F.col("ts") == moment(ts)).select("side", "price", "size")
         return b
 
     def get_at_timestamp(self, timestamp: Any) -> Book | None:
@@ -308,7 +310,7 @@ class BookSeries:
         return self.get_range(at.start, at.stop) if isinstance(at, slice) else self.get_at_timestamp(at)
 
     def __contains__(self, timestamp: Any) -> bool:
-        return bool(self.kept.where(F.col("ts") == F.lit(timestamp)).limit(1).count())
+        return bool(self.kept.where(F.col("ts") == moment(timestamp)).limit(1).count())
 
     def __iter__(self) -> Iterator[Book]:
         return (self._book(t) for t in self.timestamps)
@@ -391,5 +393,3 @@ class BookSeries:
     def to_parquet(self, path: str, start=None, end=None) -> None:
         sinks.write_parquet(self.table(start, end), path)
 
-
-__all__ = ["Book", "BookSeries", "NAN", "side_long"]

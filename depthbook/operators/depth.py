@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthbook.functions import metrics
-from depthbook.schema import INF, NAN, side_long, sort_price
+from depthbook.schema import INF, moment, sort_price
 
 
 def with_depth(levels: DataFrame) -> DataFrame:
@@ -54,13 +54,11 @@ def export(levels: DataFrame, start=None, end=None) -> DataFrame:
 
 def time_slice(df: DataFrame, start=None, end=None) -> DataFrame:
     if start is not None:
-        df = df.where(F.col("ts") >= F.lit(start))
-    return df.where(F.col("ts") <= F.lit(end)) if end is not None else df
+        df = df.where(F.col("ts") >= moment(start))
+    return df.where(F.col("ts") <= moment(end)) if end is not None else df
 
 
 def split_budget(levels: DataFrame, n: int) -> DataFrame:
     """The best n levels of a book over both sides: (n + 1) // 2 bids, n // 2 asks."""
     return levels.where(F.col("level") < F.when(F.col("side") == "b", (n + 1) // 2).otherwise(n // 2))
 
-
-__all__ = ["export", "per_point", "side_long", "slippage", "split_budget", "time_slice", "with_best", "with_depth", "NAN"]

@@ -9,6 +9,9 @@ top     one row per point: book_id, ts, bid, bidq, ask, askq (0.0 where a side i
 
 from __future__ import annotations
 
+from decimal import Decimal
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +33,8 @@ def side_long(side: Column) -> Column:
 def sort_price(side: str = "side", price: str = "price") -> Column:
     """Ascending in this is best first on either side."""
     return F.when(F.col(side) == "b", -F.col(price)).otherwise(F.col(price))
+
+
+def moment(ts: Any) -> Column:
+    """A timestamp as a literal; whole numbers may be wider than 64 bits."""
+    return F.lit(Decimal(ts) if isinstance(ts, int) else ts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_batches(spark: SparkSession, batches: list[dict], book_id: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(tape, points) of literal batches: dicts with kind, ts and rows (side, price, size)."""
-    tape = [(book_id, n, i, b["ts"], b["kind"], side, float(price), float(size)) for n, b in enumerate(batches) for i, (side, price, size) in enumerate(b["rows"])]
-    points = [(book_id, n, b["ts"], b["kind"]) for n, b in enumerate(batches)]
+def from_books(spark: SparkSession, books: dict[int, list[dict]]) -> tuple[DataFrame, DataFrame]:
+    """(tape, points) of literal batches by book: dicts with kind, ts and rows (side,
+    price, size), in order of arrival."""
+    every = [(book, n, b) for book, batches in books.items() for n, b in enumerate(batches)]
+    tape = [(book, n, i, Decimal(b["ts"]), b["kind"], side, float(price), float(size)) for book, n, b in every for i, (side, price, size) in enumerate(b["rows"])]
+    points = [(book, n, Decimal(b["ts"]), b["kind"]) for book, n, b in every]
     return spark.createDataFrame(tape, TAPE), spark.createDataFrame(points, POINTS)
 
 
+def from_batches(spark: SparkSession, batches: list[dict], book_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    return from_books(spark, {book_id: batches})
+
+
 def events_tape(events: DataFrame, shift: int = 0) -> DataFrame:
     """Incremental tape of the events table: ten books, one update an event, in event-time
     order. `shift` raises the bids of every seventeenth user, which crosses books."""

@@ -6,7 +6,8 @@ host's pages: which sequences of child elements it has (presentation) and which
 blocks (content). Their entropies, in the base of the number of pages, give the node's
 importance: many presentations and texts of its own make a node important, the same on
 every page unimportant. A node's composite importance mixes its own presentation with
-its children's importance; a branch below the threshold is removed from each page.
+its children's importance; a branch whose nodes are all below the threshold is removed
+from each page.
 
 Text that markup itself declares not to be the article (navigation, footers, forms,
 scripts, adverts, comments and so on) goes in any case, and where a page has an article
@@ -200,7 +201,8 @@ def style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, node, parent, depth, pages, composite) of every node of every site's tree."""
+    """(host, node, parent, depth, pages, composite, peak) of every node of every site's
+    tree; peak is the largest composite importance in the node's branch."""
     rows = pages.select("host", "html").mapInArrow(style_rows, "host string, node long, parent long, depth int, kind int, value long")
     counted = rows.groupBy("host", "node", "parent", "depth", "kind", "value").agg(F.count("*").alias("c"))
     style, c = F.col("kind") == 0, F.col("c")
@@ -221,7 +223,7 @@ def importance(pages: DataFrame) -> DataFrame:
     for depth in range(deepest, 0, -1):
         level = own.where(F.col("depth") == depth)
         if below is None:
-            level = level.withColumn("inner", F.lit(None).cast("double")).withColumn("inner_pages", F.lit(0).cast("long"))
+            level = level.withColumn("inner", F.lit(None).cast("double")).withColumn("inner_pages", F.lit(0).cast("long")).withColumn("inner_peak", F.lit(None).cast("double"))
         else:
             level = level.join(below, ["host", "node"], "left").withColumn("inner_pages", F.coalesce("inner_pages", F.lit(0)))
         # a node's own texts weigh as a child that is on as many pages as the node
@@ -230,10 +232,11 @@ def importance(pages: DataFrame) -> DataFrame:
         inner = F.when(weight > 0, (F.coalesce("inner", F.lit(0.0)) * F.col("inner_pages") + F.coalesce("content", F.lit(0.0)) * text_pages) / weight)
         g = F.pow(F.lit(GAMMA), F.col("styles"))
         level = level.withColumn("composite", F.when(inner.isNull(), F.col("presentation")).otherwise((1 - g) * F.col("presentation") + g * inner))
-        level = settle(level.select("host", "node", "parent", "depth", "pages", "composite"), "level")
-        below = level.groupBy("host", F.col("parent").alias("node")).agg((F.sum(F.col("composite") * F.col("pages")) / F.sum("pages")).alias("inner"), F.sum("pages").alias("inner_pages"))
+        level = level.withColumn("peak", F.greatest("composite", F.coalesce("inner_peak", "composite")))
+        level = settle(level.select("host", "node", "parent", "depth", "pages", "composite", "peak"), "level")
+        below = level.groupBy("host", F.col("parent").alias("node")).agg((F.sum(F.col("composite") * F.col("pages")) / F.sum("pages")).alias("inner"), F.sum("pages").alias("inner_pages"), F.max("peak").alias("inner_peak"))
         done = level if done is None else done.union(level)
-    return done if done is not None else own.select("host", "node", "parent", "depth", "pages", F.lit(1.0).alias("composite"))
+    return done if done is not None else own.select("host", "node", "parent", "depth", "pages", F.lit(1.0).alias("composite"), F.lit(1.0).alias("peak"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, least_pages: int = PAGES) -> DataFrame:
@@ -245,7 +248,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    weak = settle(importance(rows).where((F.col("pages") >= least_pages) & (F.col("composite") < threshold)).select("host", "node"), "weak")
+    weak = settle(importance(rows).where((F.col("pages") >= least_pages) & (F.col("peak") < threshold)).select("host", "node"), "weak")
     by_host = weak.groupBy("host").agg(F.collect_set("node").alias("weak"))
     joined = rows.join(F.broadcast(by_host) if weak.count() <= BROADCAST_ROWS else by_host, "host", "left").select("page_id", "url", "html", "weak")
 

@@ -5,7 +5,8 @@ directions balanced binary codes. The code is cut into parts; each part, in the
 beyond `BIG` rows with one bit masked at a time, is the key of a hash table. Vectors
 that meet under a key are compared by the cosine of the original vectors. A pair counts
 only under the first key its codes share, so links need no deduplication and only
-counts and one edge a vector and table leave a task.
+counts and one edge a vector and task leave a task: to the smallest id that it reaches
+through the task's links.
 
 A key with many vectors is dealt as pairs of chunks, so no task meets an unbounded
 group. Equal vectors are one class: compared once, counted as often as they occur.
@@ -49,6 +50,19 @@ def keys(code: np.ndarray, parts: int, mask: bool) -> np.ndarray:
     return np.stack(cols, 1)
 
 
+def spread(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and column of a block of links can reach in it."""
+    if not linked.any():
+        return a, b
+    none = np.iinfo(np.int64).max
+    while True:
+        low_a = np.minimum(a, np.where(linked, b[None, :], none).min(1))
+        low_b = np.minimum(b, np.where(linked, low_a[:, None], none).min(0))
+        if (low_a == a).all() and (low_b == b).all():
+            return a, b
+        a, b = low_a, low_b
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -106,12 +120,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         ka, kb = block(left["keys"]), block(right["keys"])
         for e in range(t):  # met before
             linked &= ka[:, e][:, None] != kb[:, e][None, :]
-        sides = [(ia, linked, ib, right["copies"])] if i == j else [(ia, linked, ib, right["copies"]), (ib, linked.T, ia, left["copies"])]
-        for ids, m, other, copies in sides:
+        low_a, low_b = spread(linked, ia, ib)
+        sides = [(ia, linked, low_a, right["copies"])] if i == j else [(ia, linked, low_a, right["copies"]), (ib, linked.T, low_b, left["copies"])]
+        for ids, m, low, copies in sides:
             some = np.flatnonzero(m.any(1))
             out["vec_id"] += ids[some].tolist()
             out["n_links"] += (m[some] @ copies.to_numpy()).tolist()
-            out["low"] += other[m[some].argmax(1)].tolist()  # sorted: the smallest id
+            out["low"] += low[some].tolist()
         return pd.DataFrame(out)
 
     met = settle(rows.groupBy("t", "key", "i", "j").applyInPandas(meet, "vec_id long, n_links long, low long"), "met")

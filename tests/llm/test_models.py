@@ -54,6 +54,7 @@ def test_quality_edge_cases(spark):
 
 
 def vectors(spark, rows):
+    rows = [(i, v and [None if c is None else float(c) for c in v]) for i, v in rows]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("x", F.lit("clash"))
 
 
@@ -91,6 +92,42 @@ def test_cells_are_walked_in_order():
     assert sorted(cells) == list(range(36)) and sums == sorted(sums)
 
 
+def reach(linked, ids):
+    low = np.array(ids)
+    while True:
+        new = np.minimum(low, np.where(linked, low[None, :], 1 << 60).min(1))
+        if (new == low).all():
+            return low
+        low = new
+
+
+def test_blocks_keep_components():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        m = rng.random((9, 9)) < 0.12
+        m |= m.T
+        np.fill_diagonal(m, False)
+        ids = np.arange(9)
+        assert (itq_dedup.spread(m, ids, ids)[0] == reach(m, ids)).all()
+        half = m[:4, 4:]
+        whole = np.zeros((9, 9), bool)
+        whole[:4, 4:], whole[4:, :4] = half, half.T
+        a, b = itq_dedup.spread(half, ids[:4], ids[4:])
+        assert (np.concatenate([a, b]) == reach(whole, ids)).all()
+
+
+def test_near_duplicate_chains(spark):
+    """Vectors on an arc: neighbours link, ends do not, all are one component."""
+    angle = np.random.default_rng(3).permutation(40) * 0.12
+    v = [(i, [float(np.cos(t)), float(np.sin(t)), 0.0, 0.0]) for i, t in enumerate(angle)]
+    got = itq_dedup.near_duplicates(vectors(spark, v)).toPandas().sort_values("vec_id")
+    x = np.array([e for _, e in v])
+    linked = (x @ x.T >= 0.95) & ~np.eye(40, dtype=bool)
+    if (got.n_links.to_numpy() == linked.sum(1)).all():
+        assert (got.component_id.to_numpy() == reach(linked, np.arange(40))).all()
+    assert (got.n_links.to_numpy() <= linked.sum(1)).all()
+
+
 @pytest.mark.parametrize("chunk", [512, 7])
 def test_near_duplicates(spark, chunk, monkeypatch):
     monkeypatch.setattr(itq_dedup, "CHUNK", chunk)
@@ -101,6 +138,8 @@ def test_near_duplicates(spark, chunk, monkeypatch):
     linked = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
     got = itq_dedup.near_duplicates(e).toPandas().sort_values("vec_id")
     assert (got.n_links.to_numpy() <= linked.sum(1)).all() and got.n_links.sum() >= 0.95 * linked.sum()
+    if got.n_links.sum() == linked.sum():
+        assert (got.component_id.to_numpy() == reach(linked, p.vec_id.to_numpy())).all()
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 

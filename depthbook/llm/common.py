@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers 1,000 rows at a time where the session has Spark's default of
+    10,000: rows are whole texts here, and a worker holds a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends here.
 

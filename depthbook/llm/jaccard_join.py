@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, keep_ids, settle
+from .common import components, keep_ids, settle, small_batches
 from .textops import mix, shingle_sets
 
 
@@ -111,6 +111,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share a component; other columns of `docs` are ignored; an empty table gives an
     empty result. Rows that repeat an id with the same text keep one row each.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = settle(text.mapInArrow(_signed(percent, width), "doc_id long, n long, s1 long, s2 long, ext array<long>"), "signed")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .textops import mix, slices, utf8
 
 BUCKETS = 1 << 12
@@ -135,6 +135,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", famil
     Profiles are made by the executors; only they reach the driver. A text that several
     rows repeat counts once. With no labelled row the model knows no language.
     """
+    small_batches(docs.sparkSession)
     families = FAMILIES if families is None else families
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
@@ -171,6 +172,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     the model knows no language. Whole texts count, however long; equal texts get equal
     results; an empty table stays empty. Columns named lang_pred or score are replaced.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop("lang_pred", "score")
     kinds = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
     at = rest.columns.index(text_col)

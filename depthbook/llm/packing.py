@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches
 from .trie_bpe import byte_symbols
 
 #: Pieces for one packing task, about: enough for small waste, few enough for memory.
@@ -36,7 +36,7 @@ class ByteBpe:
     """Token ids as little-endian unsigned 32-bit bytes; the pieces a worker has met are
     remembered, at most `most` of them."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -110,6 +110,7 @@ class OpenBins:
 def tokenized_pieces(docs: DataFrame, vocabulary: str, size: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids, then the separator;
     a longer one is cut into pieces of `size`, of which the first may be shorter."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = _held(vocabulary), separator.to_bytes(4, "little")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .textops import mix, slices, utf8, word_hashes, words
 
 #: Rows the model is fitted on, those of smallest hash; documented bounds.
@@ -147,6 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     smoothed by one row either way, unless it is given. Positives and unlabelled rows
     are those of smallest id hash, up to the two bounds; null texts count as empty.
     """
+    small_batches(docs.sparkSession)
     keys = docs.select(F.col(id_col).alias("_id"))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
     marked = keys.distinct().join(marks, "_id")
@@ -168,6 +169,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", into: st
     Other columns pass unchanged; a column named as `into` is replaced; equal texts get
     equal scores; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop(into)
     at, kinds = rest.columns.index(text_col), ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle
+from .common import BROADCAST_ROWS, settle, small_batches
 
 #: Weight of a node's own presentation, the importance below which a branch goes, and
 #: the pages a node must be on before its importance means anything.
@@ -246,6 +246,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     goes; pages without a host share one site; repeated rows are extracted each; an empty
     table gives no rows; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     weak = settle(importance(rows).where((F.col("pages") >= least_pages) & (F.col("peak") < threshold)).select("host", "node"), "weak")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle
+from .common import BROADCAST_ROWS, settle, small_batches
 from .textops import mix, slices, utf8, word_hashes, words
 
 LONG, CUT = 24, 12
@@ -130,6 +130,7 @@ def dedup_spans(docs: DataFrame, least: int = 3, least_words: int = 25, id_col:
     id, whose own text stays; rows that repeat an id count as one document. An empty
     table stays empty; columns named n_sentences or n_removed are replaced.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop("n_sentences", "n_removed")
     found = spans(rest, least, least_words, id_col, text_col)
     groups = found.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.max(F.struct("doc_id", "first")).alias("other"))

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 def byte_symbols() -> list[str]:
     """The printable symbol of every byte: printable bytes are themselves, the others
@@ -204,6 +206,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     are encoded alone; repeated rows give repeated results; an empty table gives none;
     other columns are ignored. `vocabulary` is the path of the JSON file on every node.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _held(vocabulary)

@@ -75,6 +75,15 @@ class Ordered:
         new = more.withColumn("_k", self.key).join(self.rows.select(self.key.alias("_k")), "_k", "left_anti").drop("_k")
         return self.with_rows(self.rows.unionByName(new))
 
+    def keys(self) -> DataFrame:
+        return self.rows.select(self.key.alias("key"))
+
+    def items(self) -> DataFrame:
+        return self.rows
+
+    def values(self, *columns: str) -> DataFrame:
+        return self.rows.select(*columns)
+
     # order and rank
 
     def sorted(self, reverse: bool = False) -> DataFrame:

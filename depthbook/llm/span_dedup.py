@@ -78,7 +78,8 @@ def _runs(d: np.ndarray, o: np.ndarray, least: int, least_words: int):
 
 
 def spans(docs: DataFrame, least: int = 3, least_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, last, hash) of every run of every document."""
+    """(doc_id, hash, firsts, lasts) of every run of every document: one row for equal
+    runs of one text, with the places of all of them in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,9 +87,16 @@ def spans(docs: DataFrame, least: int = 3, least_words: int = 25, id_col: str =
             data, offsets = utf8(b.column(1))
             for i, j, d, o in slices(data, offsets):
                 t, a, z, h = _runs(d, o, least, least_words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][t]), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(h)], ["doc_id", "first", "last", "hash"])
+                order = np.lexsort((a, h, t))
+                t, a, z, h = t[order], a[order], z[order], h[order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+                at = np.flatnonzero(new)
+                edge = pa.array(np.append(at, len(t)), pa.int32())
+                firsts, lasts = (pa.ListArray.from_arrays(edge, pa.array(x, pa.int32())) for x in (a, z))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][t[at]]), pa.array(h[at]), firsts, lasts], ["doc_id", "hash", "firsts", "lasts"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, first int, last int, hash long")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, hash long, firsts array<int>, lasts array<int>")
 
 
 def _cut(at: int, spans_at: int):
@@ -133,11 +141,12 @@ def dedup_spans(docs: DataFrame, least: int = 3, least_words: int = 25, id_col:
     small_batches(docs.sparkSession)
     rest = docs.drop("n_sentences", "n_removed")
     found = spans(rest, least, least_words, id_col, text_col)
-    groups = found.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.max(F.struct("doc_id", "first")).alias("other"))
+    groups = found.groupBy("hash").agg(F.min(F.struct("doc_id", F.expr("firsts[0]").alias("first"))).alias("kept"), F.max(F.struct("doc_id", F.element_at("firsts", -1).alias("first"))).alias("other"))
     repeated = settle(groups.where("kept <> other").select("hash", F.col("kept.doc_id").alias("of"), F.col("kept.first").alias("at")), "spans")
     few = repeated.count() <= BROADCAST_ROWS // 2
-    hits = found.join(F.broadcast(repeated) if few else repeated, "hash").where("doc_id <> of or first <> at")
-    cuts = settle(hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "cuts")
+    others = F.expr("filter(transform(firsts, (x, i) -> struct(x as first, lasts[i] as last)), x -> doc_id <> of or x.first <> at)")
+    hits = found.join(F.broadcast(repeated) if few else repeated, "hash").select("doc_id", others.alias("others")).where("size(others) > 0")
+    cuts = settle(hits.groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("others")).alias("_spans")), "cuts")
     few = cuts.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0] <= BROADCAST_ROWS // 2
     joined = rest.join(F.broadcast(cuts) if few else cuts, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     kinds = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)

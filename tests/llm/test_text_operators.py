@@ -245,6 +245,7 @@ def test_span_dedup(spark):
     passages = [" ".join(sentence() for _ in range(8)) for _ in range(4)]
     texts = [" ".join(sentence() for _ in range(rng.randint(0, 6))) + "\n" + rng.choice(passages) + "\n" + " ".join(sentence() for _ in range(5)) for _ in range(30)]
     texts += texts[:2] + ODD[:8]
+    texts += ["Echo one two three four five.\n" * 40 + passages[0], passages[1] + " same same same" * 300, "Echo one two three four five. " * 25]
     want = brute_removed(texts)
     got = {r["doc_id"]: r for r in span_dedup.dedup_spans(frame(spark, texts)).collect()}
     assert len(got) == len(texts)

@@ -1,12 +1,17 @@
 """Removal of repeated sentence spans across a whole corpus.
 
-A text is cut into sentences: at . ! ? before white space and at line ends; a sentence
-of over 24 words counts as sentences of 12 words. From every sentence the shortest run
-forward, and the shortest run backward, that has at least `least` sentences and
-`least_words` words is hashed (words compared without the case of A-Z). Any passage of
-twice `least_words` words is thus covered by runs inside it. Runs meet globally by hash;
-of equal runs the first by (doc_id, place) stays, and every sentence that another one
-covers goes.
+A text is cut into sentences: at . ! ? before white space and at line ends. A sentence
+of over 24 words is cut further where its own words say so (winnowing: before the word
+triple of smallest hash in each window of 8), so equal words are cut alike at any offset.
+From every cut the shortest run forward, and the shortest run backward, that has at least
+`least` pieces and `least_words` words is hashed (words compared without the case of
+A-Z). With the default parameters any 51 words inside a long sentence hold a run wherever
+they stand; of whole sentences, those that make up a run are needed. Runs meet globally
+by hash; of equal runs the first by (doc_id, place) stays, and the words that another one
+covers go, which may be a part of a long sentence.
+
+For the counts n_sentences and n_removed (sentences that lost words) a sentence of over
+24 words counts as sentences of 12 words.
 """
 
 from __future__ import annotations
@@ -22,39 +27,75 @@ from .common import BROADCAST_ROWS, settle, small_batches
 from .textops import mix, slices, utf8, word_hashes, words
 
 LONG, CUT = 24, 12
+#: Word triples in a window of which the smallest is a cut; words of a triple.
+WINDOW, GRAM = 8, 3
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _R = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def _units(d: np.ndarray, o: np.ndarray):
-    """Words, their texts, and the first word of every sentence of a slice of texts."""
+def _sentences(d: np.ndarray, o: np.ndarray):
+    """Words, their texts, and the first word and the words of every sentence of a slice
+    of texts."""
     starts, ends, first = words(d, o)
     n = len(starts)
     if not n:
-        return starts, ends, first, np.zeros(0, np.int64)
+        return starts, ends, first, np.zeros(0, np.int64), np.zeros(0, np.int64)
     lines = np.concatenate([[0], np.cumsum(d == 10)])
     new = np.ones(n, bool)
     new[1:] = _STOP[d[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
     new[first[:-1][first[:-1] < n]] = True
     at = np.flatnonzero(new)
-    size = np.diff(np.append(at, n))
+    return starts, ends, first, at, np.diff(np.append(at, n))
+
+
+def _units(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first word of every sentence as they are counted."""
+    inside = np.arange(size.sum()) - np.repeat(at, size)
+    return np.flatnonzero((inside == 0) | (np.repeat(size, size) > LONG) & (inside % CUT == 0))
+
+
+def _cuts(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first word of every piece: sentences, and cuts by the hashes of the words of
+    long ones. One word over and over is cut every 12 words."""
+    if not (size > LONG).any():
+        return at
+    n = len(h)
+    with np.errstate(over="ignore"):
+        g = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            g[: n - k] += mix(h[k:], 40 + k)
+        g = mix(g, 44)
     inside = np.arange(n) - np.repeat(at, size)
-    new |= (np.repeat(size, size) > LONG) & (inside % CUT == 0)
-    return starts, ends, first, np.flatnonzero(new)
+    whole = np.repeat(size, size)
+    # windows whose words lie inside one long sentence
+    q = np.flatnonzero((whole > LONG) & (inside + WINDOW + GRAM - 1 <= whole))
+    p = np.unique(q + np.lib.stride_tricks.sliding_window_view(g, WINDOW)[q].argmin(1))
+    p = p[inside[p] > 0]
+    same = g[p] == g[p - 1]
+    new = np.zeros(n, bool)
+    new[at] = new[p[~same]] = True
+    sure = np.flatnonzero(new)
+    last = -CUT
+    for w, s in zip(p[same].tolist(), sure[np.searchsorted(sure, p[same], "right") - 1].tolist()):
+        if w - max(last, s) >= CUT:
+            new[w], last = True, w
+    return np.flatnonzero(new)
 
 
 def _runs(d: np.ndarray, o: np.ndarray, least: int, least_words: int):
-    """(text, first sentence, last sentence, hash) of every run of a slice of texts;
-    sentences count from 0 in each text."""
-    starts, ends, first, unit = _units(d, o)
-    if not len(unit):
+    """(text, first word, last word, hash) of every run of a slice of texts; words count
+    from 0 in each text."""
+    starts, ends, first, at, size = _sentences(d, o)
+    if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, z
+    hashes = word_hashes(d, starts, ends)
+    unit = _cuts(hashes, at, size)
     n, u = len(starts), len(unit)
     text = np.searchsorted(first, unit, "right") - 1
-    begin = np.searchsorted(unit, first)  # each text's first sentence
+    begin = np.searchsorted(unit, first)  # each text's first piece
     edge = np.append(unit, n)
     fwd_last = np.maximum(np.arange(u) + least - 1, np.searchsorted(edge, unit + least_words) - 1)
     bwd_first = np.minimum(np.arange(u) - least + 1, np.searchsorted(edge, edge[1:] - least_words, "right") - 1)
@@ -71,10 +112,10 @@ def _runs(d: np.ndarray, o: np.ndarray, least: int, least_words: int):
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(word_hashes(d, starts, ends) * up)])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up)])
         lo, hi = edge[a], edge[z + 1]
         h = mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64), 30)
-    return t, a - begin[t], z - begin[t], h.view(np.int64)
+    return t, lo - first[t], hi - 1 - first[t], h.view(np.int64)
 
 
 def spans(docs: DataFrame, least: int = 3, least_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,22 +147,24 @@ def _cut(at: int, spans_at: int):
             given = b.column(spans_at).to_pylist()
             text, total, gone = b.column(at).to_pylist(), [], []
             for i, j, d, o in slices(data, offsets):
-                starts, _, first, unit = _units(d, o)
+                starts, _, first, sentence, size = _sentences(d, o)
+                unit = _units(sentence, size)
                 begin = np.searchsorted(unit, first)
                 for k in range(j - i):
-                    own = unit[begin[k] : begin[k + 1]]
+                    own = unit[begin[k] : begin[k + 1]] - first[k]
                     total.append(len(own))
                     if not given[i + k]:
                         gone.append(0)
                         continue
-                    keep = np.ones(len(own), bool)
+                    keep = np.ones(first[k + 1] - first[k], bool)
                     for s in given[i + k]:
                         keep[s["first"] : s["last"] + 1] = False
-                    edge = np.append(starts[own], o[k + 1])
+                    edge = np.append(starts[first[k] : first[k + 1]], o[k + 1])
                     edge[0] = o[k]
                     raw = d[o[k] : o[k + 1]].tobytes()
-                    text[i + k] = b"".join(raw[edge[s] - o[k] : edge[s + 1] - o[k]] for s in np.flatnonzero(keep)).decode("utf-8", "replace").strip()
-                    gone.append(int((~keep).sum()))
+                    flips = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]])))
+                    text[i + k] = b"".join(raw[edge[s] - o[k] : edge[e] - o[k]] for s, e in zip(flips[::2], flips[1::2])).decode("utf-8", "replace").strip()
+                    gone.append(int(np.logical_or.reduceat(~keep, own).sum()))
             cols = [c for n, c in enumerate(b.columns) if n != spans_at]
             cols[at] = pa.array(text, pa.string())
             names = [c for n, c in enumerate(b.schema.names) if n != spans_at]
@@ -131,7 +174,7 @@ def _cut(at: int, spans_at: int):
 
 
 def dedup_spans(docs: DataFrame, least: int = 3, least_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated sentences cut from the texts, and (n_sentences, n_removed).
+    """`docs` with repeated runs cut from the texts, and (n_sentences, n_removed).
 
     Texts without a repeated run pass unchanged, null, empty and short ones among them;
     so do rows whose id is null. Equal texts are repeats of the one with the smallest

@@ -260,6 +260,20 @@ def test_span_dedup(spark):
     assert span_dedup.dedup_spans(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("period", [60, 7, 2])
+def test_passage_at_any_offset_of_unpunctuated_text(spark, period):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = " ".join((prose(period).split() * 60)[:60])
+    texts = [prose(36 + k) + " " + passage + " " + prose(40) for k in range(12)] + [prose(150)]
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(frame(spark, texts)).collect()}
+    assert got[12]["n_removed"] == 0 and got[12]["text"] == texts[12]
+    for k in range(1, 12):
+        left, own = got[k]["text"].split(), texts[k].split()
+        assert 60 - 2 * 8 - 2 <= len(own) - len(left) <= 60, k
+        assert left[: 36 + k] == own[: 36 + k] and left[-40:] == own[-40:] and got[k]["n_removed"] >= 4
+
+
 def test_clashing_columns_pass(spark):
     docs = frame(spark, ["a b", None]).withColumn("hash", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("n_removed", F.lit(9))
     out = span_dedup.dedup_spans(docs)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import BROADCAST_ROWS, held_out, settle, small_batches
 from .textops import mix, slices, utf8
 
 BUCKETS = 1 << 12
@@ -132,17 +132,19 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", families: dict[str, tuple[str, ...]] | None = None, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel:
     """Fit on at most `rows_a_language` texts of each language, those of smallest hash.
 
-    Profiles are made by the executors; only they reach the driver. A text that several
-    rows repeat counts once. With no labelled row the model knows no language.
+    Profiles are made by the executors; only they reach the driver, which holds them and
+    the machines of every language that occurs. A text that several rows of a language
+    repeat counts once. With no labelled row the model knows no language.
     """
     small_batches(docs.sparkSession)
     families = FAMILIES if families is None else families
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # a share of each language by the text's hash, at most the bound by expectation,
-    # then the bound itself
-    hashed = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(counts.orderBy(F.desc("n")).limit(1000)), "lang")
-    drawn = hashed.where(F.expr(f"pmod(h, 1000003) < 1000003 * {1.3 * rows_a_language} / n")).dropDuplicates(["h"])
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
+    counts = settle(known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    few = counts.count() <= BROADCAST_ROWS
+    # a share of each language's distinct texts by their hash, at most the bound by
+    # expectation, then the bound itself
+    hashed = known.join(F.broadcast(counts) if few else counts, "lang")
+    drawn = hashed.where(F.expr(f"pmod(h, 1000003) < 1000003 * {1.3 * rows_a_language} / n")).dropDuplicates(["lang", "h"])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,6 +30,22 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_copies_do_not_empty_a_language(spark):
+    rows = [("xx", "the same text")] * 20_000 + [("xx", f"other text number {i}") for i in range(300)] + [("yy", f"ein anderer satz {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    drawn = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id, "linear_svm", lambda x, y: (drawn.append((y > 0).sum()), np.zeros(x.shape[1]), 0.0)[1:])
+        model = language_id.learn(docs, rows_a_language=10)
+    assert model.languages == ["xx", "yy"] and min(drawn) >= 4
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "linear_svm", lambda x, y: (np.zeros(x.shape[1]), 0.0))
+    docs = spark.createDataFrame([(f"l{i}", f"text {i}") for i in range(1010)], "lang string, text string")
+    assert len(language_id.learn(docs, rows_a_language=2).languages) == 1010
+
+
 def test_families_come_first():
     m = language_id.LanguageModel(["de", "en", "es"], [[0, 1], [2]], np.zeros((1, 3)), np.zeros(3), [(0, 1)])
     best, score = m.decide(np.array([[1.0, -1.0, -2.0], [1.0, -1.0, 2.0], [-1.0, 1.0, 5.0]]))

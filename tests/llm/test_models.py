@@ -159,6 +159,23 @@ def test_near_duplicates(spark, chunk, monkeypatch):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_pairs_near_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    # a rotation that was not fitted on these few vectors
+    monkeypatch.setattr(itq_dedup, "learn_rotation", lambda x, bits: (np.zeros(64), np.linalg.qr(rng.standard_normal((64, 64)))[0]))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((1500, 64)))
+    off = rng.standard_normal(a.shape)
+    off = unit(off - (off * a).sum(1, keepdims=True) * a)
+    cos = rng.uniform(0.951, 0.96, (1500, 1))
+    b = cos * a + np.sqrt(1 - cos**2) * off
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = itq_dedup.near_duplicates(vectors(spark, rows)).toPandas()
+    found = got.n_links.sum() / 3000
+    print("recall at 0.951 to 0.96:", found)
+    assert 0.98 <= found <= 1
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(i, [1.0, 0.5, 0.1, 0.0]) for i in range(5)] + [(9, [2.0, 1.0, 0.2, 0.0]), (10, None), (11, [0.0] * 4), (12, [NAN, 1, 1, 1]), (13, [-1.0, 0.5, 0.1, 7.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in itq_dedup.near_duplicates(vectors(spark, rows)).collect()}

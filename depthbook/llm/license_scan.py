@@ -5,7 +5,8 @@ Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z lowered. The automat
 the text as words joined by single spaces, so a phrase is found where its words stand
 consecutively. An identifier tag is followed by an expression such as
 ``(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0``; its licences
-become labels of their own, and a tag whose expression does not parse counts for less.
+become labels of their own. Where other text follows on the line, the longest beginning
+that is an expression counts; a tag without one counts for less.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ TAG = "spdx license identifier"
 
 _WORD_GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+_TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*", re.IGNORECASE | re.ASCII)
+_LINE = re.compile(r"[^\r\n]*")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 
@@ -98,6 +100,39 @@ def parse(expression: str) -> list[str] | None:
     return out + ops[::-1]
 
 
+def beginning(line: str) -> list[str] | None:
+    """The longest beginning of a line that is an expression, in postfix order, or None.
+
+    It ends before the first token that cannot go on: one out of turn, or one that other
+    characters than white space part from the token before. A stop after a word ends it.
+    """
+    at = best = last = None
+    depth, operand = 0, True
+    for m in _TOKEN.finditer(line):
+        if last is not None and line[last : m.start()].strip():
+            break
+        at, last = m.start() if at is None else at, m.end()
+        t, rank = m[0], _RANK.get(m[0].upper())
+        if (t == "(" or not rank and t != ")") != operand or t == ")" and not depth:
+            break
+        if t == "(":
+            depth += 1
+        elif t == ")":
+            depth -= 1
+        else:
+            operand = bool(rank)
+        whole = t.rstrip(".:-")
+        if not operand and not depth:
+            end = last - len(t) + len(whole)
+            # WITH may not take what stands before it
+            if parse(line[at:end]) is None:
+                break
+            best = end
+        if whole != t:
+            break
+    return None if best is None else parse(line[at:best])
+
+
 def licences(postfix: list[str]) -> list[str]:
     """The licences of an expression, sorted; `licence with exception` is one of them."""
     stack: list[set[str]] = []
@@ -149,8 +184,10 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
             labels.add(NOTICES[phrase])
     parsed = 0
     if tags:
-        for m in _TAG_AT.finditer(text):
-            postfix = parse(m[1].split("*/")[0].split("-->")[0])
+        found = list(_TAG_AT.finditer(text))
+        for m, end in zip(found, [*(m.start() for m in found[1:]), len(text)]):
+            line = _LINE.match(text, m.end(), end)[0].split("*/")[0].split("-->")[0]
+            postfix = parse(line) or beginning(line)
             if postfix:
                 parsed += 1
                 labels.update(licences(postfix))

@@ -156,6 +156,17 @@ def test_license_expressions():
         assert license_scan.parse(bad) is None, bad
 
 
+def test_license_tag_inside_a_line():
+    labels = lambda t: license_scan.scan(t)[5]
+    tag = "SPDX-License-Identifier: "
+    assert labels(tag + "MIT Permission is hereby granted") == "mit"
+    assert labels('{"c": "' + tag + 'MIT", "name": "x"}') == "mit"
+    assert labels(tag + "(MIT OR Apache-2.0) AND ISC. Then more (text)") == "apache-2.0,isc,mit"
+    assert labels(tag + "GPL-2.0 WITH x-exception OR (MIT AND text goes on") == "gpl-2.0 with x-exception"
+    assert labels(f"{tag}MIT text {tag}Zlib\nISC") == "mit,zlib"
+    assert labels(tag + "OR MIT") == "" and labels(tag) == "" and labels(tag + "(MIT text") == ""
+
+
 # pages
 
 

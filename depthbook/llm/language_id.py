@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, held_out, settle, small_batches
-from .textops import mix, slices, utf8
+from .textops import bounded, mix, slices, utf8
 
 BUCKETS = 1 << 12
 #: Training rows of each language, drawn by a hash of the text; a documented bound.
@@ -57,12 +57,12 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
 
 
 def profiles(column: pa.Array) -> np.ndarray:
-    """Square-root-damped, length-one n-gram profiles of a small column (for learning)."""
+    """Square-root-damped, length-one n-gram profiles of a small column."""
     data, offsets = utf8(column)
     rows = []
     for i, j, d, o in slices(data, offsets):
         g, own = _grams(d, o)
-        x = np.bincount(own.astype(np.int64) * BUCKETS + g, minlength=(j - i) * BUCKETS).reshape(j - i, BUCKETS).astype(np.float32)
+        x = np.bincount(own * np.int64(BUCKETS) + g, minlength=(j - i) * BUCKETS).reshape(j - i, BUCKETS).astype(np.float32)
         rows.append(_damped(x))
     return np.concatenate(rows) if rows else np.zeros((0, BUCKETS), np.float32)
 
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", famil
     drawn = hashed.where(F.expr(f"pmod(h, 1000003) < 1000003 * {1.3 * rows_a_language} / n")).dropDuplicates(["lang", "h"])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1, 1 << 18, 128):
             x = profiles(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
@@ -183,24 +183,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
-            data, offsets = utf8(b.column(at))
-            best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
-            for i, j, d, o in slices(data, offsets):
-                g, own = _grams(d, o)
-                counts = np.bincount(own.astype(np.int64) * BUCKETS + g, minlength=(j - i) * BUCKETS).reshape(j - i, BUCKETS) if (j - i) * BUCKETS < 1 << 24 else None
-                if counts is not None and m.languages:
-                    best[i:j], score[i:j] = m.decide(_damped(counts.astype(np.float32)) @ m.weights + m.bias)
-                elif m.languages:  # many tiny texts: a few hundred at a time
-                    for k in range(i, j, 1024):
-                        e = min(j, k + 1024)
-                        sub = (own >= k - i) & (own < e - i)
-                        c = np.bincount((own[sub] - (k - i)).astype(np.int64) * BUCKETS + g[sub], minlength=(e - k) * BUCKETS).reshape(e - k, BUCKETS)
-                        best[k:e], score[k:e] = m.decide(_damped(c.astype(np.float32)) @ m.weights + m.bias)
+        ascii_letter = np.zeros(256, bool)
+        ascii_letter[65:91] = ascii_letter[97:123] = True
+        # a block of 128 texts has 2 MB of counts
+        for b in bounded(batches, at, 1 << 18, 128):
             texts = b.column(at)
-            ascii_letter = np.zeros(256, bool)
-            ascii_letter[65:91] = ascii_letter[97:123] = True
-            has = np.add.reduceat(np.append(ascii_letter[data], False), np.minimum(offsets[:-1], len(data))) > 0 if b.num_rows else np.zeros(0, bool)
+            data, offsets = utf8(texts)
+            best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
+            if m.languages:
+                best, score = m.decide(profiles(texts) @ m.weights + m.bias)
+            has = np.add.reduceat(np.append(ascii_letter[data], False), np.minimum(offsets[:-1], len(data))) > 0
             has &= np.diff(offsets) > 0
             for k in np.flatnonzero(~has & (np.diff(offsets) > 0)):
                 has[k] = any(c.isalpha() for c in texts[k].as_py())

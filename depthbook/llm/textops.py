@@ -49,7 +49,7 @@ _POWERS = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r^i and its inverse (mod 2^64) for i < n; kept for the task's next batch."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", int(_R)), ("down", pow(int(_R), -1, 1 << 64))):
             x = np.ones(size, np.uint64)
             if size > 1:
@@ -94,7 +94,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((total[ends] - total[starts]) * down[starts], 1)
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
+def bounded(batches, at: int, most: int = 1 << 20, rows: int = 1000):
+    """Batches cut so that column `at` has about `most` bytes of text and at most `rows`
+    texts in each (at least one text each): what is made of a batch is bounded too."""
+    for b in batches:
+        _, offsets = utf8(b.column(at))
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1), i + rows, n)
+            yield b.slice(i, j - i)
+            i = j
+
+
+def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18):
     """Cut a batch into runs of texts of about `most` bytes (at least one text each)."""
     i, n = 0, len(offsets) - 1
     while i < n:

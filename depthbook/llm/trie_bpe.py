@@ -40,7 +40,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """A vocabulary with end-of-word marks, read from a tokenizers JSON file."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 64_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -61,7 +61,7 @@ class WordBpe:
         self.heads: dict[str, bool] = {}
         self.sides: dict[tuple[str, str], bool] = {}
         self.ids, self.names = self._empty()
-        self.most_words = most_words
+        self.most_bytes, self.held = most_bytes, 0
 
     def merged(self, parts: list[str]) -> list[str]:
         """Plain BPE: apply the best-ranked merge until none is left."""
@@ -175,9 +175,12 @@ class WordBpe:
         """Each text's (number of tokens, ids joined by spaces, tokens joined by spaces)."""
         pieces = [self.pieces(t) for t in texts]
         words = set().union(*pieces)
-        if len(self.ids) + len(words) > self.most_words:
-            self.ids, self.names = self._empty()
-        self.encode_words(words - self.ids.keys())
+        if self.held > self.most_bytes:
+            self.ids, self.names, self.held = *self._empty(), 0
+        new = words - self.ids.keys()
+        self.encode_words(new)
+        # about what a word, its ids and its tokens take in memory
+        self.held += 250 * len(new) + 8 * sum(map(len, new))
         out, ids, names = [], self.ids.__getitem__, self.names.__getitem__
         for p in pieces:
             joined = " ".join(map(ids, p))

@@ -4,8 +4,14 @@ Trusted positives are documents marked good; every text, marked or not, is unlab
 web text. With the estimated class prior p the non-negative unbiased risk
     p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)])
 is minimised with the logistic loss over a generalised additive model of form features
-(no identifiers, languages or sources among them); a step whose second term is negative
-climbs that term instead, so the model cannot overfit the positives.
+and a linear one of hashed words (no identifiers, languages or sources among them); a
+step whose second term is negative climbs that term instead, so the model cannot overfit
+the positives.
+
+The prior comes from positives and unlabelled rows alone, never from rows marked bad: a
+classifier that tells the two apart is fitted on one half of them, and of the other half
+the prior is the least ratio, over thresholds, of the share of unlabelled rows above one
+to the share of positives above it, where both shares are known well enough.
 """
 
 from __future__ import annotations
@@ -19,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
-from .textops import mix, slices, utf8, word_hashes, words
+from .textops import bounded, mix, slices, utf8, word_hashes, words
 
 #: Rows the model is fitted on, those of smallest hash; documented bounds.
 POSITIVES, UNLABELLED = 6_000, 20_000
 BINS = 12
+#: Buckets of hashed words.
+WORDS = 256
 FEATURES = ("log_words", "word_length", "upper", "digits", "marks", "symbols", "beyond_ascii", "lines", "short_words", "long_words", "ends_marked", "upper_words", "repeat_next", "distinct_words", "distinct_shingles", "stops", "letters")
 
 _CLASS = {
@@ -34,16 +42,16 @@ _MASK = {k: np.isin(np.arange(256), v) for k, v in _CLASS.items()} | {"beyond_as
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of FEATURES for every text; an empty text has zeros."""
+    """One row of FEATURES and WORDS for every text, whatever stands beside it."""
     data, offsets = utf8(column)
     out = [_features(d, o) for _, _, d, o in slices(data, offsets)]
-    return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
+    return np.concatenate(out) if out else np.zeros((0, len(FEATURES) + WORDS), np.float32)
 
 
 def _features(d: np.ndarray, o: np.ndarray) -> np.ndarray:
     n = len(o) - 1
     size = np.maximum(np.diff(o), 1)
-    at = {name: np.zeros(n) for name in FEATURES}
+    at = {name: np.zeros(n) for name in FEATURES} | {"distinct_shingles": np.ones(n)}
     for name, mask in _MASK.items():
         total = np.concatenate([[0], np.cumsum(mask[d])])
         at[name] = (total[o[1:]] - total[o[:-1]]) / size
@@ -70,7 +78,12 @@ def _features(d: np.ndarray, o: np.ndarray) -> np.ndarray:
                 inside = own[:-2] == own[2:]
                 at["distinct_shingles"] = np.where(count > 2, _distinct(three[inside], own[:-2][inside], n) / np.maximum(count - 2, 1), 1.0)
     at["log_words"] = np.log1p(count)
-    return np.stack([at[k] for k in FEATURES], 1)
+    lexical = np.zeros((n, WORDS), np.float32)
+    if len(starts):
+        bucket = (mix(h, 7) % np.uint64(WORDS)).astype(np.int64)
+        lexical = np.sqrt(np.bincount(own * WORDS + bucket, minlength=n * WORDS).reshape(n, WORDS).astype(np.float32))
+        lexical /= np.maximum(np.linalg.norm(lexical, axis=1, keepdims=True), 1e-9)
+    return np.concatenate([np.stack([at[k] for k in FEATURES], 1).astype(np.float32), lexical], 1)
 
 
 def _distinct(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
@@ -82,7 +95,7 @@ def _distinct(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class QualityModel:
-    """Quantile bins of every feature and an additive logistic model over them."""
+    """Quantile bins of every form feature, the hashed words, and a logistic model over them."""
 
     cuts: list[np.ndarray]
     centre: np.ndarray
@@ -91,83 +104,122 @@ class QualityModel:
     prior: float
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        parts = [np.clip((x - self.centre) / self.spread, -4, 4), np.ones((len(x), 1))]
+        form, lexical = x[:, : len(self.cuts)], x[:, len(self.cuts) :]
+        parts = [np.clip((form - self.centre) / self.spread, -4, 4), np.ones((len(x), 1), np.float32)]
         for k, cut in enumerate(self.cuts):
-            parts.append(np.eye(len(cut) + 1)[np.searchsorted(cut, x[:, k], "right")])
-        return np.concatenate(parts, 1)
+            parts.append(np.eye(len(cut) + 1, dtype=np.float32)[np.searchsorted(cut, form[:, k], "right")])
+        return np.concatenate([*parts, lexical], 1, dtype=np.float32)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for i in range(0, len(x), 4096):
-            out[i : i + 4096] = _logistic(self.design(x[i : i + 4096]) @ self.weights)
-        return out
+        """0 to 1; the prior for every text where nothing could be learned."""
+        if not len(self.weights):
+            return np.full(len(x), self.prior)
+        return np.concatenate([np.zeros(0), *(_logistic((self.design(x[i : i + 1024]) @ self.weights).astype(float)) for i in range(0, len(x), 1024))])
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> QualityModel:
-    """Minimise the non-negative risk by full-batch Adam steps."""
+def _shape(unlabelled: np.ndarray, prior: float) -> QualityModel:
+    """A model without weights, its bins from the unlabelled rows."""
+    form = unlabelled[:, : len(FEATURES)]
+    cuts = [np.unique(np.quantile(form[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(form.shape[1])]
+    return QualityModel(cuts, form.mean(0), np.maximum(form.std(0), 1e-9), np.zeros(0), prior)
+
+
+def _adam(gradient, w: np.ndarray, rounds: int, rate: float) -> np.ndarray:
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        grad = gradient(w)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2  # all in single precision, as the rows are
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _penalty(w: np.ndarray, decay: float) -> np.ndarray:
+    return np.float32(decay) * np.where(np.arange(len(w)) == len(FEATURES), np.float32(0), w)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 1e-2) -> float:
+    """The share of positives among the unlabelled rows, from these two alone.
+
+    Even rows fit the classifier that tells them apart, odd rows are counted. A threshold
+    counts by the ratio of shares above it plus what chance may add (at 90 %).
+    """
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    model = _shape(unlabelled[::2], 0.5)
+    p, u = model.design(positive[::2]), model.design(unlabelled[::2])
+    half = lambda w: 0.5 * (p.T @ (_logistic(p @ w) - 1) / len(p) + u.T @ _logistic(u @ w) / len(u)) + _penalty(w, decay)
+    model.weights = _adam(half, np.zeros(p.shape[1], np.float32), rounds, rate)
+    sp, su = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    above = lambda s, c: (len(s) - np.searchsorted(s, c)) / len(s)
+    qp, qu = above(sp, sp), above(su, sp)
+    chance = np.sqrt(np.log(4 / 0.1) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)
+    best = np.argmin(qu / qp + 1.01 * chance / qp)
+    edge = 1 / (len(su) + 2)
+    return float(np.clip(qu[best] / qp[best], edge, 1 - edge))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, rounds: int = 600, rate: float = 0.05, decay: float = 1e-3) -> QualityModel:
+    """Minimise the non-negative risk by full-batch Adam steps; the prior is estimated
+    unless it is given."""
     if not len(positive) or not len(unlabelled):
-        return QualityModel([np.zeros(0)] * len(FEATURES), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES) + 1), prior)
-    cuts = [np.unique(np.quantile(unlabelled[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(unlabelled.shape[1])]
-    model = QualityModel(cuts, unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-9), np.zeros(0), prior)
+        return QualityModel([np.zeros(0)] * len(FEATURES), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(0), 0.5 if prior is None else prior)
+    prior = estimate_prior(positive, unlabelled) if prior is None else prior
+    model = _shape(unlabelled, prior)
     p, u = model.design(positive), model.design(unlabelled)
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-    bias = len(FEATURES)
-    w[bias] = np.log(prior / (1 - prior))
-    for t in range(1, rounds + 1):
+    w = np.zeros(p.shape[1], np.float32)
+    w[len(FEATURES)] = np.log(prior / (1 - prior))
+
+    def gradient(w: np.ndarray) -> np.ndarray:
         sp, su = _logistic(p @ w), _logistic(u @ w)
         loss_neg = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
         neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
         grad = prior * (p.T @ (sp - 1)) / len(p) + neg if loss_neg >= 0 else -neg
-        grad = grad + decay * np.where(np.arange(len(w)) == bias, 0, w)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    model.weights = w
+        return grad + _penalty(w, decay)
+
+    model.weights = _adam(gradient, w, rounds, rate)
     return model
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
-    """(positive, text) to (positive, features)."""
+    """(positive, at, text) to (positive, at, features)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["positive", "x"])
+        for b in bounded(batches, 2):
+            x = features(b.column(2)).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "at", "x"])
 
-    return rows.mapInArrow(run, "positive boolean, x array<double>")
+    return rows.mapInArrow(run, "positive boolean, at long, x binary")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
     """Fit on the rows of `docs`, with the positives that `labels` marks 1.
 
-    The class prior is estimated as the share of 1 among the distinct labelled ids,
-    smoothed by one row either way, unless it is given. Positives and unlabelled rows
-    are those of smallest id hash, up to the two bounds; null texts count as empty.
+    Rows marked 0 are never looked at as such: the class prior is estimated from positives
+    and unlabelled rows unless it is given. Both are those of smallest id hash, up to the
+    two bounds; null texts count as empty. With no positive or no row the model scores
+    every text the same. Repeated ids count once for a draw, with all their rows.
     """
     small_batches(docs.sparkSession)
-    keys = docs.select(F.col(id_col).alias("_id"))
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
-    marked = keys.distinct().join(marks, "_id")
-    total, good = marked.agg(F.count("*"), F.coalesce(F.sum("_good"), F.lit(0))).first()
-    if prior is None:
-        prior = (good + 1) / (total + 2)
-    draw = lambda ids, n: ids.orderBy(F.xxhash64(F.col("_id")), "_id").limit(n).select("_id")
-    chosen = draw(marked.where("_good = 1"), positives).withColumn("positive", F.lit(True)).union(draw(keys, unlabelled).withColumn("positive", F.lit(False)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("positive", "text")
-    got = _with_features(rows).toPandas()
-    x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
+    keys = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
+    draw = lambda ids, n: ids.distinct().orderBy(F.xxhash64(F.col("_id")), "_id").limit(n).select("_id")
+    chosen = draw(keys.join(good, "_id"), positives).withColumn("positive", F.lit(True)).union(draw(keys, unlabelled).withColumn("positive", F.lit(False)))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("positive", F.xxhash64("_id", F.xxhash64("text")).alias("at"), "text")
+    got = _with_features(rows).toPandas().sort_values(["positive", "at"])
+    x = np.stack([np.frombuffer(r, np.float16) for r in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES) + WORDS), np.float32)
     is_positive = got["positive"].to_numpy(bool)
-    return fit(x[is_positive], x[~is_positive], float(prior))
+    return fit(x[is_positive], x[~is_positive], prior)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", into: str = "score") -> DataFrame:
     """Add the score (0 to 1) of every whole text; null texts score as empty ones.
 
-    Other columns pass unchanged; a column named as `into` is replaced; equal texts get
-    equal scores; an empty table stays empty.
+    A very long text is a batch of its own; other columns pass unchanged; a column named
+    as `into` is replaced; equal texts get equal scores; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     rest = docs.drop(into)
@@ -175,7 +227,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", into: st
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, at):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.score(features(b.column(at))), pa.float64())], [*b.schema.names, into])
 
     return rest.mapInArrow(run, f"{kinds}, {into} double")

@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, recall against brute force, and edge cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from depthbook.llm import itq_dedup, language_id, multi_index, pu_quality
 from depthbook.llm.common import components, fold
@@ -60,6 +61,42 @@ def test_quality(spark):
     assert ((got.predicted == 0) & (got.quality == 1)).mean() < 0.01
 
 
+def test_quality_from_positives_alone(spark):
+    """The PU setting: no row is marked bad. Same scores, since such marks are not read."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    only = labels.where("quality = 1").select("doc_id", "quality")
+    a, b = pu_quality.learn(docs, only), pu_quality.learn(docs, labels)
+    assert a.prior == b.prior and np.allclose(a.weights, b.weights)
+    truth = labels.agg(F.avg("quality")).first()[0]
+    assert abs(a.prior - truth) < 0.05
+    got = pu_quality.score(docs, a).join(labels, "doc_id").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.99
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_of_a_mixture(share):
+    rng = np.random.default_rng(1)
+    width = len(pu_quality.FEATURES) + pu_quality.WORDS
+    draw = lambda n, at: rng.standard_normal((n, width)).astype(np.float32) * 0.2 + np.where(np.arange(width) < 3, at, 0).astype(np.float32)
+    positive = draw(2000, 1.0)
+    good = rng.random(6000) < share
+    unlabelled = np.where(good[:, None], draw(6000, 1.0), draw(6000, -1.0))
+    assert abs(pu_quality.estimate_prior(positive, unlabelled) - share) < 0.04
+    model = pu_quality.fit(positive, unlabelled)
+    assert ((model.score(unlabelled) >= 0.5) == good).mean() > 0.98
+
+
+def test_quality_scores_are_the_models(spark):
+    """Every row's score is that of its own text, whatever the batches."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = pu_quality.learn(docs, labels)
+    got = pu_quality.score(docs.limit(150), model).toPandas()
+    for text, score in zip(got.text, got.score):
+        x = pu_quality.features(pa.array([text], pa.string()))
+        assert abs(score - 1 / (1 + np.exp(-float((model.design(x) @ model.weights)[0])))) < 1e-4
+
+
 def test_quality_edge_cases(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     model = pu_quality.learn(docs.limit(100), labels)

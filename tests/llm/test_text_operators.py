@@ -67,17 +67,40 @@ def family(rng):
     return texts + texts[:6] + ODD + [None, "", "a b c d e"]
 
 
-@pytest.mark.parametrize("frequent", [2, 100])
-def test_jaccard_components(spark, frequent):
-    texts = family(random.Random(frequent))
+@pytest.mark.parametrize(("frequent", "most_frequent"), [(2, 64), (2, 3), (100, 64)])
+def test_jaccard_components(spark, frequent, most_frequent):
+    texts = family(random.Random(frequent + most_frequent))
     sets = {i: brute_set(t) for i, t in enumerate(texts)}
     want = brute_components(list(sets), sets)
-    got = jaccard_join.jaccard_components(frame(spark, texts), frequent=frequent).collect()
+    got = jaccard_join.jaccard_components(frame(spark, texts), frequent=frequent, most_frequent=most_frequent).collect()
     assert len(got) == len(texts)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_jaccard_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:59], "x"]), " ".join(f"z{i}" for i in range(70))
+    rows = [(1, a), (1, a), (2, b), (5, a), (5, c), (7, c)]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 56, 1), (1, 56, 1), (2, 56, 1), (5, 56, 1), (5, 66, 5), (7, 66, 5)]
+
+
+def test_jaccard_near_misses_of_a_template(spark, monkeypatch):
+    """Documents that share 80 % of one template, and the rest in small groups, link with
+    nothing; no pair of them may be made."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(160)]
+    texts = [" ".join(template + [f"g{rng.randrange(40)}x{i // 9}" for i in range(44)]) for _ in range(400)]
+    asked = []
+    verify = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, *a: (asked.append(pairs.count()), verify(pairs, *a))[1])
+    got = jaccard_join.jaccard_components(frame(spark, texts)).collect()
+    sets = {i: brute_set(t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(list(sets), sets)
+    assert sum(asked) <= 4 * len(texts)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
@@ -125,6 +148,35 @@ def test_packing(spark, small):
     assert packing.pack_documents(frame(spark, []), path).count() == 0
 
 
+def test_packing_is_online_and_close_to_the_bound(spark):
+    """Pieces in arrival order, 64 open bins: within 2 % of the bound, and a later piece
+    changes no earlier place."""
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 2048) if rng.random() < 0.3 else rng.randint(1, 700) for _ in range(20_000)]
+    bins = packing.OpenBins(2048, 64)
+    most = 0
+    for n in lengths:
+        bins.put(n)
+        most = max(most, bins.open)
+    assert most == 64 and bins.made <= 1.02 * sum(lengths) / 2048
+    rows = [(i, 0, n) for i, n in enumerate(lengths[:3000])]
+    one = lambda k: {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in packing.pack(spark.createDataFrame(rows[:k], "doc_id long, piece int, length long")).collect()}
+    short, whole = one(1500), one(3000)
+    assert all(whole[i] == at for i, at in short.items())
+
+
+def test_caches_are_bounded_in_bytes():
+    bpe = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), most=50_000)
+    text = " ".join(f"w{i}" for i in range(3000))
+    library = Tokenizer.from_file(bpe.path)
+    for k in range(3):
+        assert bpe.encode(text + str(k)) == np.array(library.encode(text + str(k), add_special_tokens=False).ids, "<u4").tobytes()
+        assert bpe.held <= 50_000 and len(bpe.known) < 1000
+    word = trie_bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"), most_bytes=10_000)
+    first = word.encode(["x" * 5000 + " hello", "hello there"])
+    assert word.encode(["hello there"])[0] == first[1] and len(word.ids) < 20
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert bins.put(6) == (0, 0) and bins.put(7) == (1, 0) and bins.put(5) == (2, 0)

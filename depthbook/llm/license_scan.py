@@ -5,8 +5,10 @@ Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z lowered. The automat
 the text as words joined by single spaces, so a phrase is found where its words stand
 consecutively. An identifier tag is followed by an expression such as
 ``(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0``; its licences
-become labels of their own. Where other text follows on the line, the longest beginning
-that is an expression counts; a tag without one counts for less.
+become labels of their own. The expression's value tells which of them it needs whatever
+is chosen (of an AND both sides', of an OR what both need) and which are a choice, so
+``MIT OR GPL-2.0`` and ``MIT AND GPL-2.0`` differ. Where other text follows on the line,
+the longest beginning that is an expression counts; a tag without one counts for less.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .textops import bounded
 
 # The base phrases and their labels.
 BASE = {
@@ -62,111 +65,107 @@ def _automaton():
     return a
 
 
-def parse(expression: str) -> list[str] | None:
-    """The expression in postfix order, or None if it is not one.
+def _read(line: str) -> tuple[list[str], int, bool]:
+    """Tokens up to the first that cannot go on, how many of them are the longest
+    expression, and whether nothing else is on the line.
 
-    The whole line up to a comment's end must parse; WITH binds closest, then AND, then
-    OR, each from left to right; WITH takes single identifiers only.
+    Only white space may stand between tokens. WITH stands between single identifiers. A
+    stop after an identifier ends it, and the expression.
     """
-    out, ops, operand = [], [], True
-    for t in _TOKEN.findall(expression):
-        rank = _RANK.get(t.upper())
-        if t == "(":
-            if not operand:
-                return None
-            ops.append(t)
-        elif t == ")":
-            if operand:
-                return None
-            while ops and ops[-1] != "(":
-                out.append(ops.pop())
-            if not ops:
-                return None
-            ops.pop()
-        elif rank:
-            if operand or rank == 3 and (not out or out[-1] in _RANK):
-                return None
-            while ops and ops[-1] != "(" and _RANK[ops[-1]] >= rank:
-                out.append(ops.pop())
-            ops.append(t.upper())
-            operand = True
-        else:
-            if not operand:
-                return None
-            out.append(t)
-            operand = False
-    if operand or "(" in ops:
-        return None
-    return out + ops[::-1]
-
-
-def beginning(line: str) -> list[str] | None:
-    """The longest beginning of a line that is an expression, in postfix order, or None.
-
-    It ends before the first token that cannot go on: one out of turn, or one that other
-    characters than white space part from the token before. A stop after a word ends it.
-    """
-    at = best = last = None
-    depth, operand = 0, True
+    tokens: list[str] = []
+    best = depth = upto = start = 0
+    before, clean = "", True  # what was read: nothing or an operator, (, ), a licence, WITH or its exception
     for m in _TOKEN.finditer(line):
-        if last is not None and line[last : m.start()].strip():
+        if not tokens:
+            start = m.start()
+        elif line[upto : m.start()].strip():
             break
-        at, last = m.start() if at is None else at, m.end()
         t, rank = m[0], _RANK.get(m[0].upper())
-        if (t == "(" or not rank and t != ")") != operand or t == ")" and not depth:
-            break
+        ended = before in (")", "licence", "exception")
         if t == "(":
-            depth += 1
+            if ended or before == "WITH":
+                break
+            depth, before = depth + 1, "("
         elif t == ")":
-            depth -= 1
+            if not ended or not depth:
+                break
+            depth, before = depth - 1, ")"
+        elif rank:
+            if not ended or rank == 3 and before != "licence":
+                break
+            t, before = t.upper(), "WITH" if rank == 3 else ""
         else:
-            operand = bool(rank)
-        whole = t.rstrip(".:-")
-        if not operand and not depth:
-            end = last - len(t) + len(whole)
-            # WITH may not take what stands before it
-            if parse(line[at:end]) is None:
+            if ended:
                 break
-            best = end
+            before = "exception" if before == "WITH" else "licence"
+        upto = m.end()
+        whole = t if rank else t.rstrip(".:-") or t
+        tokens.append(whole)
+        if not depth and before in (")", "licence", "exception"):
+            best = len(tokens)
         if whole != t:
+            clean = False
             break
-    return None if best is None else parse(line[at:best])
+    return tokens, best, clean and best == len(tokens) and not (line[:start] + line[upto:]).strip()
 
 
-def licences(postfix: list[str]) -> list[str]:
-    """The licences of an expression, sorted; `licence with exception` is one of them."""
-    stack: list[set[str]] = []
-    for t in postfix:
-        if t == "WITH":
-            b, a = stack.pop(), stack.pop()
-            stack.append({f"{x} with {y}" for x, y in zip(sorted(a), sorted(b))})
+def _postfix(tokens: list[str]) -> list[str]:
+    """Shunting yard: WITH binds closest, then AND, then OR, each from left to right."""
+    out: list[str] = []
+    ops: list[str] = []
+    for t in tokens:
+        if t == "(":
+            ops.append(t)
+        elif t == ")":
+            while ops[-1] != "(":
+                out.append(ops.pop())
+            ops.pop()
         elif t in _RANK:
-            b, a = stack.pop(), stack.pop()
-            stack.append(a | b)
+            while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[t]:
+                out.append(ops.pop())
+            ops.append(t)
         else:
-            stack.append({t.lower()})
-    return sorted(stack[0])
+            out.append(t)
+    return out + ops[::-1]
+
+
+def parse(expression: str) -> list[str] | None:
+    """The expression in postfix order, or None if the whole of it is not one."""
+    tokens, _, clean = _read(expression)
+    return _postfix(tokens) if tokens and clean else None
+
+
+def beginning(line: str) -> list[str] | None:
+    """The longest beginning of a line that is an expression, in postfix order, or None."""
+    tokens, best, _ = _read(line)
+    return _postfix(tokens[:best]) if best else None
 
 
-def evaluate(postfix: list[str], allowed: set[str]) -> bool:
-    """Whether the expression can be met with the allowed licences (lower case)."""
-    stack: list[tuple[bool, str]] = []
+def evaluate(postfix: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """(licences, those that every way to meet the expression needs), in lower case; a
+    licence with an exception is one of its own."""
+    stack: list[tuple[frozenset[str], frozenset[str]]] = []
     for t in postfix:
         if t in _RANK:
-            (b, y), (a, x) = stack.pop(), stack.pop()
-            name = f"{x} with {y}"
-            stack.append((name in allowed if t == "WITH" else a and b if t == "AND" else a or b, name))
+            (b, need_b), (a, need_a) = stack.pop(), stack.pop()
+            if t == "WITH":
+                one = frozenset({f"{next(iter(a))} with {next(iter(b))}"})
+                stack.append((one, one))
+            else:
+                stack.append((a | b, need_a | need_b if t == "AND" else need_a & need_b))
         else:
-            stack.append((t.lower() in allowed, t.lower()))
-    return stack[0][0]
+            one = frozenset({t.lower()})
+            stack.append((one, one))
+    return stack[0]
 
 
-def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels and score of a text."""
+def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, str, str]:
+    """n_words, n_base, first_word, last_word, base_labels, labels and score of a text, and
+    of its expressions the licences that are needed and those that are a choice."""
     text = text or ""
     flat = f" {_WORD_GAP.sub(' ', text.translate(_LOWER) if not text.islower() else text).strip(' ')} "
     if flat == "  ":
-        return 0, 0, None, None, "", "", 0.0
+        return 0, 0, None, None, "", "", 0.0, "", ""
     n_words = flat.count(" ") - 1
     places, base, labels, tags = [], set(), set(), 0
     seen, upto = 0, 0  # words before `upto`, counted once
@@ -182,18 +181,21 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
             tags += 1
         else:
             labels.add(NOTICES[phrase])
-    parsed = 0
+    parsed, needed, choices = 0, set(), set()
     if tags:
         found = list(_TAG_AT.finditer(text))
         for m, end in zip(found, [*(m.start() for m in found[1:]), len(text)]):
             line = _LINE.match(text, m.end(), end)[0].split("*/")[0].split("-->")[0]
-            postfix = parse(line) or beginning(line)
+            postfix = beginning(line)
             if postfix:
                 parsed += 1
-                labels.update(licences(postfix))
-    labels |= base
+                named, need = evaluate(postfix)
+                needed |= need
+                choices |= named - need
+    choices -= needed
+    labels |= base | needed | choices
     evidence = len(places) + 2 * parsed + 0.5 * (tags - parsed) + 0.5 * len(labels - base)
-    return n_words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), evidence / (evidence + 1.0)
+    return n_words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), evidence / (evidence + 1.0), ",".join(sorted(needed)), ",".join(sorted(choices))
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,16 +203,17 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text has no words, no places, empty labels and score 0; a very long
     text is one string of its own; repeated rows give repeated results; an empty table
-    gives none; other columns are ignored.
+    gives none; other columns are ignored; ties cannot arise. What one expression needs
+    is no choice, though another offers it.
     """
     small_batches(docs.sparkSession)
-    kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
+    kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "needed": pa.string(), "choices": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1):
             rows = [scan(t.as_py()) for t in b.column(1)]
             cols = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds.values()))], ["doc_id", *kinds])
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, needed string, choices string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -196,16 +197,51 @@ def test_license_scan(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert r["base_labels"] == ",".join(sorted({v for _, v in hits})) and 0 <= r["score"] <= 1
     assert got[len(texts) - 2]["labels"] == "apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit"
-    assert got[len(texts) - 1]["labels"] == ""
+    assert got[len(texts) - 1]["labels"] == "mit"  # the longest beginning that is an expression
+
+
+def brute_needed(postfix):
+    """Licences without which no choice of the others meets the expression."""
+
+    def met(allowed):
+        stack = []
+        for t in postfix:
+            if t in ("AND", "OR"):
+                b, a = stack.pop(), stack.pop()
+                stack.append(a and b if t == "AND" else a or b)
+            else:
+                stack.append(t.lower() in allowed)
+        return stack[0]
+
+    names = {t.lower() for t in postfix} - {"and", "or"}
+    return names, {x for x in names if not met(names - {x})}
 
 
 def test_license_expressions():
-    post = license_scan.parse("MIT OR GPL-2.0 AND BSD-3-Clause")
-    assert post == ["MIT", "GPL-2.0", "BSD-3-Clause", "AND", "OR"]
-    assert license_scan.evaluate(post, {"mit"}) and not license_scan.evaluate(post, {"gpl-2.0"})
-    assert license_scan.evaluate(license_scan.parse("(A OR B) AND C"), {"b", "c"})
-    for bad in ("", "AND", "MIT AND", "(MIT", "MIT)", "MIT MIT", "(A OR B) WITH C", "MIT ()"):
+    assert license_scan.parse("MIT OR GPL-2.0 AND BSD-3-Clause") == ["MIT", "GPL-2.0", "BSD-3-Clause", "AND", "OR"]
+    for bad in ("", "AND", "MIT AND", "(MIT", "MIT)", "MIT MIT", "(A OR B) WITH C", "A WITH (X OR Y)", "A WITH B WITH C", "(A) WITH B", "MIT ()", "MIT !!!", "MIT /", "/ MIT"):
         assert license_scan.parse(bad) is None, bad
+    rng = random.Random(2)
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice("ABCDEFG")
+        a, b = expression(depth - 1), expression(depth - 1)
+        return f"({a} {rng.choice(['AND', 'or'])} {b})" if rng.random() < 0.6 else f"{a} {rng.choice(['and', 'OR'])} {b}"
+
+    for _ in range(300):
+        post = license_scan.parse(expression(4))
+        assert license_scan.evaluate(post) == brute_needed(post)
+    long = " OR ".join(["MIT", "ISC"] * 20_000)
+    assert license_scan.evaluate(license_scan.beginning(long + " ! x")) == ({"mit", "isc"}, set())
+
+
+def test_license_and_differs_from_or(spark):
+    tag = "SPDX-License-Identifier: "
+    texts = [tag + "MIT OR GPL-2.0", tag + "MIT AND GPL-2.0", tag + "MIT AND (GPL-2.0 WITH x OR Zlib)", f"{tag}MIT OR ISC\n{tag}ISC"]
+    got = [(r["labels"], r["needed"], r["choices"]) for r in license_scan.scan_documents(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [("gpl-2.0,mit", "", "gpl-2.0,mit"), ("gpl-2.0,mit", "gpl-2.0,mit", ""), ("gpl-2.0 with x,mit,zlib", "mit", "gpl-2.0 with x,zlib"), ("isc,mit", "isc", "mit")]
+    assert license_scan.scan_documents(frame(spark, [])).count() == 0
 
 
 def test_license_tag_inside_a_line():
@@ -242,6 +278,72 @@ def test_main_text(spark):
     assert got[90]["text"] == "" and got[91]["n_chars"] == 0 and got[92]["text"] == "deep"
 
 
+def test_names_do_not_lose_the_article():
+    main_text = lambda body: site_style.Page(page(body), {}).main_text()
+    for name in ("page has-sidebar", "content no-sidebar", "post with-comments", "elementor-widget-text-editor", "widget"):
+        assert main_text(f"<nav>m</nav><div class='{name}'><p>The whole article</p></div><div class='sidebar'>x</div>") == "The whole article", name
+    assert main_text("<form id='f'><div><p>A page in a form</p><input><button>Go</button></div></form>") == "A page in a form"
+    assert main_text("<p>A line<button>Go</button> with <span hidden>no</span>fields</p>") == "A line with fields"
+    assert main_text("<div class='widget-area'><main><p>In a wrapper</p></main></div>") == "In a wrapper"
+    card = "<main><h1>T</h1><p>long text of main itself</p><section><article>card</article></section></main>"
+    assert main_text(card) == "T\nlong text of main itself\ncard"
+    assert main_text("<main><article><p>The article, which is most of it</p></article><p>more</p></main>") == "The article, which is most of it"
+    assert main_text("<article><p>Short</p></article><div class='comments'><p>" + "many words " * 50 + "</p></div>") == "Short"
+    assert main_text("<div class='sidebar'>" + "<a href='/x'>link here</a> " * 20 + "</div><p>t</p>") == "t"
+
+
+@pytest.mark.parametrize("source", ["<b>x" * 200_000, "<div>x" * 100_000, "<p>x" * 200_000, "<dd><div>" + "<b>" * 50_000 + "<dt>x</dt>" * 50_000, "<div class=ad>x" * 50_000, "</p>" * 300_000 + "x"])
+def test_nested_pages_take_linear_time(source):
+    began = time.time()
+    site_style.Page(source, {}).main_text()
+    assert time.time() - began < 8
+
+
+def brute_importance(pages):
+    """Composite importance of every node of one site, from each page's own tree."""
+    styles, texts, parents = {}, {}, {}
+    for p in pages:
+        got = site_style.Page(p, {})
+        for node, (parent, _, children) in got.nodes.items():
+            parents[node] = parent
+            styles.setdefault(node, []).append(tuple(children))
+        for node, text in {(b[0], b[3]) for b in got.blocks}:
+            texts.setdefault(node, []).append(text)
+
+    def composite(node):
+        m, own = len(styles[node]), texts.get(node, [])
+        counts = np.unique([str(x) for x in styles[node]], return_counts=True)[1]
+        presentation = -sum(c / m * np.log(c / m) for c in counts) / np.log(m) if m > 1 else 1.0
+        of_text = np.unique(own, return_counts=True)[1]
+        content = max(0.0, 1 - np.mean([np.log(c) / np.log(m) for c in of_text])) if m > 1 and own else 1.0
+        below = [(composite(c)[0], len(styles[c])) for c, up in parents.items() if up == node] + ([(content, m)] if own else [])
+        if not below:
+            return presentation, m
+        inner = sum(v * n for v, n in below) / sum(n for _, n in below)
+        g = site_style.GAMMA ** len(counts)
+        return (1 - g) * presentation + g * inner, m
+
+    return {n: composite(n)[0] for n in styles}
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(5)
+    body = lambda i: f"<div class='top'><p>Same</p></div><div class='story'><h2>Head {rng.randrange(4)}</h2>" + "".join(f"<p>text {rng.randrange(9)}</p>" for _ in range(rng.randrange(4))) + (f"<ul><li>{i}</li></ul>" if i % 3 else "") + "</div>"
+    sites = {f"h{k}": [page(body(i)) for i in range(n)] for k, n in enumerate((1, 2, 7, 25))}
+    rows = spark.createDataFrame([(h, p) for h, ps in sites.items() for p in ps], "host string, html string")
+    got = {(r["host"], r["node"]): r["composite"] for r in site_style.importance(rows).collect()}
+    want = {(h, n): v for h, ps in sites.items() for n, v in brute_importance(ps).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_pages_edge_cases(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, host string, node long, weak string")
+    assert site_style.extract(empty).count() == 0
+    row = (1, "http://a.example/", page("<p>x</p>"), "clash", 3, "w")
+    got = site_style.extract(spark.createDataFrame([row, row], empty.schema)).collect()
+    assert [tuple(r) for r in got] == [(1, "http://a.example/", "x", 1)] * 2
+
+
 def test_style_tree_removes_what_every_page_has(spark):
     rows = [(i, f"http://same.example/{i}", page(f"<div class='strip'><span>Read our paper daily</span></div><div class='story'><p>Story {i} of {i * 7}</p></div>")) for i in range(40)]
     got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

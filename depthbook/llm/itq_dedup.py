@@ -1,20 +1,29 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation learned on a bounded sample makes the signs of a vector's principal
-directions balanced binary codes. The code is cut into parts of about 8 bits, whatever
-the size of the table; each part is the key of a hash table. Vectors that meet under a
-key are compared by the cosine of the original vectors. A pair that agrees in no part is
-not found: of 64 bits about 1 % of the pairs at cosine 0.95, fewer above. A pair counts
-only under the first key its codes share, so links need no deduplication and only
-counts and one edge a vector and task leave a task: to the smallest id that it reaches
-through the task's links.
-
-A key with many vectors is dealt as pairs of chunks, so no task meets an unbounded
-group. Equal vectors are one class: compared once, counted as often as they occur.
+directions balanced binary codes. Every hash table has a part of the code as its key; the
+parts are cut from fixed shuffles of the bits. Vectors that meet under a key are compared
+by the cosine of the original vectors.
+
+One rule gives the width of a part and the number of tables at every size. The number is
+the least with which a pair at the least cosine, whose signs differ as those of random
+directions do, agrees in one part at least with probability `FOUND`; closer pairs are found
+more surely still. The width is the one of least work: wider parts have fewer vectors under
+a key and need more tables, and a row of a table counts as `ROW` comparisons. Work thus
+grows with less than the square of the table (a vector's part by about n to the power 0.4),
+beside the links themselves. A pair counts only under the first key its codes share, so
+links need no deduplication and only counts and one edge a vector and group leave a task:
+to the smallest id that it reaches through the group's links.
+
+A key with many vectors is dealt as pairs of chunks, so no task holds an unbounded group.
+Equal vectors are one class: compared once, counted as often as they occur.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import components, settle
 from .embeddings import block, fixed_sample, usable
 
-#: Vectors the rotation is learned on; vectors in one chunk of a key; bits of a part.
-SAMPLE, CHUNK, PART = 20_000, 512, 8
+#: Vectors the rotation is learned on; vectors in one chunk of a key; comparisons that a
+#: row of a table costs; the share of pairs at the least cosine that is to be found.
+SAMPLE, CHUNK, ROW, FOUND = 20_000, 512, 500, 0.99
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -41,12 +51,35 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.ndarr
     return mean, v @ r
 
 
-def keys(code: np.ndarray, parts: int) -> np.ndarray:
-    """All table keys of boolean codes, one column a table, without the table's number."""
-    cols = []
-    for p in np.array_split(np.arange(code.shape[1]), parts):
-        cols.append(code[:, p].astype(np.int64) @ (1 << np.arange(len(p), dtype=np.int64)))
-    return np.stack(cols, 1)
+def tables(n: int, bits: int, least: float) -> np.ndarray:
+    """The parts of a code of `bits` bits for n vectors, as masks of 64 bits."""
+    turn = np.arccos(np.clip(least, -1, 1)) / np.pi
+    differ = np.arange(bits + 1)
+    chance = np.array([math.comb(bits, d) * turn**d * (1 - turn) ** (bits - d) for d in differ])
+
+    def number(width: int) -> int:
+        agree = np.array([math.comb(bits - d, width) / math.comb(bits, width) for d in differ])
+        many = 1
+        while many < 4096 and chance @ (1 - agree) ** many > 1 - FOUND:
+            many += 1
+        return many
+
+    most = max(1, bits // (2 if bits >= 32 else 4))  # a short code needs short parts
+    options = {w: number(w) for w in range(min(8, most), min(24, most) + 1)}
+    width = min(options, key=lambda w: options[w] * (ROW + n / 2**w))
+    rng, masks = np.random.default_rng(17), {}
+    for _ in range(4 * options[width]):  # a short code has no more parts than that
+        order = rng.permutation(bits)
+        masks |= {sum(1 << int(b) for b in order[i : i + width]): 0 for i in range(0, bits - width + 1, width)}
+        if len(masks) >= options[width]:
+            break
+    return np.array(list(masks)[: options[width]], np.uint64)
+
+
+def codes(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    signs = (unit - mean) @ turn >= 0
+    return (signs.astype(np.uint64) << np.arange(signs.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def spread(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,60 +106,83 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     fine = usable(vectors, id_col, vec_col)
+    if dict(vectors.dtypes)[vec_col] == "array<float>":  # as wide as it came, until it is compared
+        fine = fine.withColumn("x", F.col("x").cast("array<float>"))
     same = settle(fine.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    if not same.count():
+    n = same.count()
+    if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     units = same.select(F.col("rep").alias("vec_id"), "x", "copies")
     sample = fixed_sample(units, SAMPLE)
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     bits = min(64, sample.shape[1])
     mean, turn = learn_rotation(sample, bits) if len(sample) > 1 else (np.zeros(sample.shape[1]), np.eye(sample.shape[1])[:, :bits])
-    parts = max(1, bits // PART)
+    masks = tables(n, bits, least)
     held = spark.sparkContext.broadcast((mean, turn))
 
-    def tables(frames):
-        mean, turn = held.value
-        for f in frames:
-            x = block(f["x"])
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
-            k = keys((unit - mean) @ turn >= 0, parts) if len(x) else np.zeros((0, 1), np.int64)
-            yield pd.DataFrame({"vec_id": f["vec_id"], "copies": f["copies"], "x": f["x"], "keys": list(k)})
+    @F.pandas_udf("long")
+    def code(x: pd.Series) -> pd.Series:
+        return pd.Series(codes(block(x).astype(float), *held.value).view(np.int64))
 
-    keyed = settle(units.mapInPandas(tables, "vec_id long, copies long, x array<double>, keys array<long>"), "keyed")
-    placed = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
+    coded = settle(units.withColumn("code", code("x")), "coded")
+    parts = F.array(*[F.lit(int(m)) for m in masks.view(np.int64)])
+    placed = coded.select("vec_id", "code", F.posexplode(parts).alias("t", "mask")).select("vec_id", "t", F.col("code").bitwiseAND(F.col("mask")).alias("key"))
     sizes = placed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = keyed.select("vec_id", "copies", "x", "keys", F.posexplode("keys").alias("t", "key")).join(sizes, ["t", "key"])
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    # ids find their key's size; the vectors follow only where they meet another
+    meets = placed.join(sizes, ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
     # chunk c meets every chunk, itself among them: pairs (i, j), i <= j
-    rows = rows.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
-    rows = rows.withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o")).select("t", "key", "i", "j", "c", "vec_id", "copies", "x", "keys")
-
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = int(f["t"].iloc[0]), f["i"].iloc[0], f["j"].iloc[0]
-        f = f.sort_values("vec_id")
-        left, right = (f, f) if i == j else (f[f["c"] == i], f[f["c"] == j])
-        out = {"vec_id": [], "n_links": [], "low": []}
+    meets = meets.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)")))
+    meets = meets.withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o")).select("vec_id", "t", "key", "i", "j", "c")
+    rows = meets.join(coded, "vec_id")
+
+    def compare(f: dict) -> dict | None:
+        t, i, j = int(f["t"][0]), f["i"][0], f["j"][0]
+        left = right = np.arange(len(f["c"])) if i == j else np.flatnonzero(f["c"] == i)
+        if i != j:
+            right = np.flatnonzero(f["c"] == j)
         if not len(left) or not len(right):
-            return pd.DataFrame(out)
-        a, b = block(left["x"]), block(right["x"])
-        a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-        linked = a @ b.T >= least
-        ia, ib = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        linked &= ia[:, None] != ib[None, :]
-        ka, kb = block(left["keys"]), block(right["keys"])
-        for e in range(t):  # met before
-            linked &= ka[:, e][:, None] != kb[:, e][None, :]
-        low_a, low_b = spread(linked, ia, ib)
-        sides = [(ia, linked, low_a, right["copies"])] if i == j else [(ia, linked, low_a, right["copies"]), (ib, linked.T, low_b, left["copies"])]
-        for ids, m, low, copies in sides:
+            return None
+        ids, x, copies, code = f["vec_id"], f["x"], f["copies"], f["code"]
+        linked = x[left] @ x[right].T >= least
+        if i == j:
+            np.fill_diagonal(linked, False)
+        a, b = np.nonzero(linked)
+        differ = code[left[a]] ^ code[right[b]]
+        for m in masks[:t]:  # met before
+            again = (differ & m) == 0
+            linked[a[again], b[again]] = False
+        low_a, low_b = spread(linked, ids[left], ids[right])
+        out = []
+        for rows_, m, low, other in [(left, linked, low_a, right)] if i == j else [(left, linked, low_a, right), (right, linked.T, low_b, left)]:
             some = np.flatnonzero(m.any(1))
-            out["vec_id"] += ids[some].tolist()
-            out["n_links"] += (m[some] @ copies.to_numpy()).tolist()
-            out["low"] += low[some].tolist()
-        return pd.DataFrame(out)
+            out.append({"vec_id": ids[rows_[some]], "n_links": m[some] @ copies[other], "low": low[some]})
+        return {k: np.concatenate([o[k] for o in out]) for k in out[0]}
 
-    met = settle(rows.groupBy("t", "key", "i", "j").applyInPandas(meet, "vec_id long, n_links long, low long"), "met")
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups (t, key, i, j) one after the other; a group may end in the next frame."""
+        kept: dict = {}
+        for f in frames:
+            if not len(f):
+                continue
+            new = {c: f[c].to_numpy() for c in ("t", "key", "i", "j", "c", "vec_id", "copies")}
+            new["code"] = f["code"].to_numpy().view(np.uint64)
+            x = block(f["x"]).astype(float)
+            new["x"] = x / np.linalg.norm(x, axis=1, keepdims=True)
+            kept = {c: np.concatenate([kept[c], v]) for c, v in new.items()} if kept else new
+            edge = np.flatnonzero(np.any([kept[c][1:] != kept[c][:-1] for c in ("t", "key", "i", "j")], axis=0)) + 1
+            out = [compare({c: v[a:b] for c, v in kept.items()}) for a, b in zip([0, *edge[:-1]], edge)] if len(edge) else []
+            kept = {c: v[edge[-1] :] for c, v in kept.items()} if len(edge) else kept
+            out = [o for o in out if o]
+            if out:
+                yield pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+        last = compare(kept) if kept else None
+        if last:
+            yield pd.DataFrame(last)
+
+    group = ("t", "key", "i", "j")
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "vec_id")
+    met = settle(dealt.mapInPandas(meet, "vec_id long, n_links long, low long"), "met")
     links = met.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     parts_ = components(met.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
     of_class = same.join(links, F.col("rep") == links["vec_id"], "left").drop("vec_id").join(parts_, F.col("rep") == parts_["id"], "left")

@@ -5,8 +5,16 @@ walks the cells in the order of summed centroid distances with a heap (multi-seq
 until the cells met hold its share of the collection, then its cells' entries are
 reranked by the inner product of the original vectors.
 
-Entries are dealt into buckets of cells and queries into blocks; a task meets one query
-block and one bucket, both of bounded size, and returns each query's best in it.
+The share is not guessed: of a documented sample of the queries the true neighbours are
+found by brute force, and the share is the least that reaches `recall` of them. Clustered
+vectors need a small one, whatever their number; vectors without structure need about half
+of the collection, and then the work grows with queries times vectors, as it does for any
+exact method.
+
+Entries are dealt into buckets of neighbouring cells and queries into blocks of
+neighbouring cells; a task meets one query block and one bucket, both of bounded size, and
+returns each query's best in it. Queries of a block ask for much the same cells, so a
+bucket travels to few blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import settle
 from .embeddings import block, fixed_sample, kmeans, usable
 
-#: Vectors the centroids are fitted on, entries of a bucket and queries of a block, about.
-SAMPLE, BUCKET, BLOCK = 20_000, 8_192, 1_024
+#: Vectors the centroids are fitted on, entries of a bucket and queries of a block, about;
+#: queries that the share is measured with.
+SAMPLE, BUCKET, BLOCK, ASKED = 20_000, 4_096, 1_024, 64
 
 
 class MultiIndex:
@@ -43,6 +52,13 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
+    def shares(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Entries that the walk has met once it has met each cell."""
+        order = (a[:, None] + b[None, :]).ravel().argsort(kind="stable")
+        out = np.empty(len(order), np.int64)
+        out[order] = self.counts.ravel()[order].cumsum()
+        return out
+
     def walk(self, a: np.ndarray, b: np.ndarray, wanted: float) -> list[int]:
         """Cells by a[i] + b[j], nearest first, until they hold `wanted` entries."""
         i_of, j_of = a.argsort(kind="stable"), b.argsort(kind="stable")
@@ -61,15 +77,59 @@ class MultiIndex:
         return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32, share: float = 0.55, least: int = 2_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _deal(rows: list[tuple[int, int]], size: int) -> dict[int, tuple[int, int]]:
+    """Cells in order fill even parts of `size` at most, about: (first part, parts) of each
+    cell; one larger than that gets several of its own."""
+    of, used, filled = {}, 0, 0
+    total = sum(m for _, m in rows)
+    size = -(-total // max(1, -(-total // size)))
+    for c, m in sorted(rows):
+        if filled and filled + m > size:
+            used, filled = used + 1, 0
+        parts = max(1, -(-m // size))
+        of[c] = (used, parts)
+        used, filled = (used + parts, 0) if parts > 1 else (used, filled + m)
+    return of
+
+
+def measured_share(index: MultiIndex, entries: DataFrame, asked: DataFrame, k: int, recall: float) -> float:
+    """The least share of the collection that holds `recall` of the k true neighbours of
+    at most ASKED queries (those of smallest id hash), found by brute force."""
+    sample = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).toPandas()
+    if not len(sample):
+        return 0.0
+    held = entries.sparkSession.sparkContext.broadcast((sample["vec_id"].to_numpy(), block(sample["x"])))
+
+    def brute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = held.value
+        for f in frames:
+            if not len(f):
+                continue
+            s = q @ block(f["x"]).T
+            s[ids[:, None] == f["vec_id"].to_numpy()[None, :]] = -np.inf
+            best = np.argsort(-s, 1)[:, :k]
+            r = np.repeat(np.arange(len(q)), best.shape[1])
+            yield pd.DataFrame({"r": r, "cell": f["cell"].to_numpy()[best.ravel()], "s": s[r, best.ravel()]})
+
+    near = entries.select("vec_id", "x", "cell").mapInPandas(brute, "r int, cell int, s double").where(F.col("s") > float("-inf"))
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("s"), "cell"))).where(F.col("n") <= k).select("r", "cell").toPandas()
+    if not len(near):
+        return 0.0
+    a, b = index.distances(held.value[1])
+    met = [index.shares(a[r], b[r])[own["cell"].to_numpy()] for r, own in near.groupby("r")]
+    return float(np.quantile(np.concatenate(met), recall, method="higher") / index.counts.sum())
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int | None = None, share: float | None = None, least: int = 2_000, recall: float = 0.94, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found by inner product.
 
     A query's own id is no candidate; ties go to the smaller vec_id; unusable vectors
     (null, zero, or holding null or non-finite components) take no part on either side;
     a query with fewer than k candidates gets them all; empty tables give no rows; extra
-    columns are ignored. Every usable vector is indexed. `share` of the collection (at
-    least `least` entries) is reranked: vectors without structure need a large share for
-    a high recall, clustered ones a small one.
+    columns are ignored. Rows that repeat an id are entries each, so such an id may fill
+    several ranks. Every usable vector is indexed. `share` of the collection (at least
+    `least` entries) is reranked, by default the one that measured_share() finds; `cells`
+    centroids a half, by default an eighth of the root of the number of vectors.
     """
     spark = vectors.sparkSession
     base = settle(usable(vectors, id_col, vec_col), "vectors")
@@ -78,54 +138,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32,
     n = base.count()
     if not n:
         return spark.createDataFrame([], schema)
-    index = MultiIndex(fixed_sample(base, SAMPLE), cells)
+    index = MultiIndex(fixed_sample(base, SAMPLE), cells or int(np.clip(np.sqrt(n) / 8, 16, 1024)))
     at = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("int")
     def cell(x: pd.Series) -> pd.Series:
         return pd.Series(at.value.cells(block(x)).astype(np.int32))
 
-    entries = base.withColumn("cell", cell("x"))
+    entries, asked = settle(base.withColumn("cell", cell("x")), "entries"), settle(asked.withColumn("cell", cell("x")), "asked")
     # at most cells^2 rows, whatever the collection
-    rows = entries.groupBy("cell").count().collect()
+    rows = [tuple(r) for r in entries.groupBy("cell").count().collect()]
     for c, m in rows:
         index.counts[c // len(index.second), c % len(index.second)] = m
-    # cells in order fill buckets; a cell larger than a bucket gets several of its own
-    order, bucket_of, used, filled = sorted(rows), {}, 0, 0
-    for c, m in order:
-        if filled and filled + m > BUCKET:
-            used, filled = used + 1, 0
-        parts = max(1, -(-m // BUCKET))
-        bucket_of[c] = (used, parts)
-        used, filled = (used + parts, 0) if parts > 1 else (used, filled + m)
+    bucket_of = _deal(rows, BUCKET)
+    block_of = _deal([tuple(r) for r in asked.groupBy("cell").count().collect()], BLOCK)
+    share = measured_share(index, entries, asked, k, recall) if share is None else share
     wanted = max(share * n, least)
-    lay = spark.sparkContext.broadcast((index, bucket_of))
-    n_queries = asked.count()
-    blocks = max(1, -(-n_queries // BLOCK))
+    lay = spark.sparkContext.broadcast((index, bucket_of, block_of))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, of = lay.value
+        of = lay.value[1]
         for f in frames:
             to = [of[c] for c in f["cell"]]
             yield pd.DataFrame({"bucket": [u + i % p for i, (u, p) in zip(f["vec_id"], to)], "cell": f["cell"], "vec_id": f["vec_id"], "x": f["x"]})
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each bucket that a query's cells lie in."""
-        ix, of = lay.value
+        ix, of, blocks = lay.value
         for f in frames:
+            if not len(f):
+                continue
             a, b = ix.distances(block(f["x"]))
             out = []
-            for i, x, p, q in zip(f["vec_id"], f["x"], a, b):
+            for i, x, own, p, q in zip(f["vec_id"], f["x"], f["cell"], a, b):
+                first, of_own = blocks[own]
+                to = first + i % of_own
                 by: dict[int, list[int]] = {}
                 for c in ix.walk(p, q, wanted):
                     u, parts = of[c]
                     for v in range(u, u + parts):
                         by.setdefault(v, []).append(c)
-                out += [(v, i, cs, x) for v, cs in by.items()]
-            yield pd.DataFrame(out, columns=["bucket", "query_id", "cells", "x"])
+                out += [(to, v, i, cs, x) for v, cs in by.items()]
+            yield pd.DataFrame(out, columns=["block", "bucket", "query_id", "cells", "x"])
 
     dealt = entries.mapInPandas(place, "bucket int, cell int, vec_id long, x array<double>")
-    probes = asked.mapInPandas(probe, "bucket int, query_id long, cells array<int>, x array<double>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    probes = asked.mapInPandas(probe, "block int, bucket int, query_id long, cells array<int>, x array<double>")
     # an entry goes to the query blocks that ask for its bucket, as the buckets do
     needed = probes.select(F.col("bucket").alias("of"), F.col("block").alias("to")).distinct()
     copies = dealt.join(needed, F.col("bucket") == F.col("of")).drop("of")
@@ -142,7 +199,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = 32,
             s = q @ x.T
             s[~asks[:, code]] = -np.inf
             s[left["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            floor = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9 if len(ids) > k else np.full(len(s), -np.inf)
+            # what rounding in the product may hide is summed again
+            slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+            floor = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - slack if len(ids) > k else np.full(len(s), -np.inf)
             for r, i in enumerate(left["query_id"]):
                 rows = np.flatnonzero((s[r] >= floor[r]) & (s[r] > -np.inf))
                 exact = (x[rows] * q[r]).sum(1)  # the same sum for equal vectors

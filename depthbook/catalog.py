@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthbook.functions import metrics
@@ -253,14 +255,13 @@ def slippage_bid(spark, sf_dir):
 _FROM, _TO = (f"epoch_us(TIMESTAMP '{t}')" for t in RANGE)
 
 
-def _micros(day: str) -> Column:
-    return F.unix_micros(F.lit(f"{day} 00:00:00+00:00").cast("timestamp"))
+def _micros(day: str) -> int:
+    return int(datetime.fromisoformat(f"{day}T00:00:00+00:00").timestamp()) * 1_000_000
 
 
 @query(f"WITH {_live()}{_TOP} SELECT book_id, ts, bid, ask FROM top WHERE ts BETWEEN {_FROM} AND {_TO}")
 def range_slice(spark, sf_dir):
-    top = _top(spark, sf_dir)
-    return top.where(F.col("ts").between(_micros(RANGE[0]), _micros(RANGE[1]))).select("book_id", "ts", "bid", "ask")
+    return depth.time_slice(_top(spark, sf_dir), *map(_micros, RANGE)).select("book_id", "ts", "bid", "ask")
 
 
 @query(f"WITH {_live()}, last AS (SELECT book_id, max(ts) AS ts FROM pts GROUP BY ALL) SELECT book_id, ts, side, price, size FROM live SEMI JOIN last USING (book_id, ts)")
@@ -409,11 +410,9 @@ def sc_slice_step(spark, sf_dir):
 
 @query("SELECT v.v AS value, (SELECT count(*) FROM part WHERE p_size < v.v) AS lo, (SELECT count(*) FROM part WHERE p_size <= v.v) AS hi FROM (VALUES (1), (17), (50)) v(v)")
 def sc_bisect(spark, sf_dir):
-    probes = spark.createDataFrame([(1,), (17,), (50,)], "value int")
-    sizes = _parts(spark, sf_dir).rows.groupBy("p_size").agg(F.count("*").alias("c"))  # one row a size
-    below = lambda op: F.coalesce(F.sum(F.when(op, F.col("c"))), F.lit(0))
-    met = probes.join(sizes, F.col("p_size") <= F.col("value"), "left")
-    return met.groupBy("value").agg(below(F.col("p_size") < F.col("value")).alias("lo"), below(F.col("p_size") <= F.col("value")).alias("hi"))
+    values, p = [1, 17, 50], _parts(spark, sf_dir)
+    lo, hi = p.bisect(values, right=False), p.bisect(values)
+    return spark.createDataFrame([(v, lo[v], hi[v]) for v in values], "value int, lo long, hi long")
 
 
 @query(f"SELECT p_size, min(rank) AS first_rank FROM {_RANKED} GROUP BY p_size")
@@ -432,38 +431,47 @@ def sc_peek(spark, sf_dir):
     return p.peek(0).union(p.peek(-1))
 
 
-def _keys(spark, sf_dir, residue: int, unique: str = "row") -> Ordered:
-    o = table(spark, sf_dir, "orders")
-    return Ordered.of(o.where(F.col("o_custkey") % 3 == residue).select(F.to_date("o_orderdate").alias("day")), "day", unique=unique)
+def _days(spark, sf_dir, name: str, column: str, unique: str = "row") -> Ordered:
+    return Ordered.of(table(spark, sf_dir, name).select(F.to_date(column).alias("day")), "day", unique=unique)
+
+
+def _both_days(spark, sf_dir, unique: str = "row") -> tuple[Ordered, Ordered]:
+    """The days of all orders and of all events."""
+    return _days(spark, sf_dir, "orders", "o_orderdate", unique), _days(spark, sf_dir, "events", "ts", unique)
 
 
-_A = "SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 3 = 0"
-_B = "SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 3 = 1"
+_A = "SELECT CAST(o_orderdate AS DATE) AS day FROM orders"
+_B = "SELECT CAST(ts AS DATE) AS day FROM events"
 
 
 @query(f"{_A} UNION {_B}")
 def sc_union(spark, sf_dir):
-    return _keys(spark, sf_dir, 0).union(_keys(spark, sf_dir, 1)).rows
+    a, b = _both_days(spark, sf_dir)
+    return a.union(b).rows
 
 
 @query(f"{_A} INTERSECT {_B}")
 def sc_intersect(spark, sf_dir):
-    return _keys(spark, sf_dir, 0).intersection(_keys(spark, sf_dir, 1)).rows
+    a, b = _both_days(spark, sf_dir)
+    return a.intersection(b).rows
 
 
 @query(f"{_A} EXCEPT {_B}")
 def sc_difference(spark, sf_dir):
-    return _keys(spark, sf_dir, 0).difference(_keys(spark, sf_dir, 1)).rows
+    a, b = _both_days(spark, sf_dir)
+    return a.difference(b).rows
 
 
 @query(f"(({_A}) EXCEPT ({_B})) UNION (({_B}) EXCEPT ({_A}))")
 def sc_symdiff(spark, sf_dir):
-    return _keys(spark, sf_dir, 0).symmetric_difference(_keys(spark, sf_dir, 1)).rows
+    a, b = _both_days(spark, sf_dir)
+    return a.symmetric_difference(b).rows
 
 
 @query(f"{_A} UNION ALL {_B}")
 def sc_multiset_add(spark, sf_dir):
-    return _keys(spark, sf_dir, 0, "no").concat(_keys(spark, sf_dir, 1, "no")).rows
+    a, b = _both_days(spark, sf_dir, "no")
+    return a.concat(b).rows
 
 
 @query("SELECT p_partkey, p_size FROM part, range(3)")
@@ -481,11 +489,8 @@ def sc_merge(spark, sf_dir):
 
 @query(f"SELECT NOT EXISTS (({_A}) EXCEPT ({_B})) AS a_in_b, NOT EXISTS (({_B}) EXCEPT ({_A})) AS b_in_a, NOT EXISTS (({_A}) INTERSECT ({_B})) AS apart")
 def sc_subset_flags(spark, sf_dir):
-    a, b = _keys(spark, sf_dir, 0).rows.distinct(), _keys(spark, sf_dir, 1).rows.distinct()
-    x, y = a.withColumn("_a", F.lit(1)), b.withColumn("_b", F.lit(1))
-    both = x.join(y, "day", "full_outer")
-    none = lambda c: F.count(F.when(c, 1)) == 0
-    return both.agg(none(F.col("_b").isNull()).alias("a_in_b"), none(F.col("_a").isNull()).alias("b_in_a"), none(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("apart"))
+    a, b = _both_days(spark, sf_dir)
+    return spark.createDataFrame([(a.issubset(b), b.issubset(a), a.isdisjoint(b))], "a_in_b boolean, b_in_a boolean, apart boolean")
 
 
 @query(_on_top("ts AS seq, bid, bidq, ask, askq"))

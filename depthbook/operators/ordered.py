@@ -132,18 +132,29 @@ class Ordered:
         """The row at a rank; the ends need no ranks."""
         if index in (0, -1):
             return self.sorted(reverse=index < 0).limit(1)
-        start, _ = self._span(index, None)
+        start = self._place(index)
         return self.ranked().where(F.col("rank") == start).drop("rank")
 
+    def _place(self, index: int) -> int:
+        """The rank at an index, which must be there."""
+        n = self.count()
+        if not -n <= index < n:
+            raise IndexError(f"no rank {index} among {n} rows")
+        return index + n if index < 0 else index
+
     def pop(self, index: int = -1) -> tuple[DataFrame, Ordered]:
-        start, _ = self._span(index, None)
+        start = self._place(index)
         r = self.ranked()
         return r.where(F.col("rank") == start).drop("rank"), self.with_rows(r.where(F.col("rank") != start).drop("rank"))
 
     def delete(self, start: int | None = None, stop: int | None = None, step: int = 1) -> Ordered:
-        lo, hi = self._span(start, stop)
         r = F.col("rank")
-        hit = (r >= lo) & (r < hi if hi is not None else F.lit(True)) & ((r - lo) % step == 0)
+        if step < 0:  # the ranks that a Python slice counting down names
+            hi, lo, _ = slice(start, stop, step).indices(self.count())
+            hit = (r <= hi) & (r > lo) & ((F.lit(hi) - r) % -step == 0)
+        else:
+            lo, hi = self._span(start, stop)
+            hit = (r >= lo) & (r < hi if hi is not None else F.lit(True)) & ((r - lo) % step == 0)
         return self.with_rows(self.ranked().where(~hit).drop("rank"))
 
     # by value

@@ -70,3 +70,15 @@ def test_maps(spark):
     got = lambda o: sorted((r["k"], r["v"]) for r in o.rows.collect())
     assert got(m) == [(1, 11), (2, 20)] and got(m.merge(other)) == [(1, 11), (2, 99), (3, 30)]
     assert got(m.setdefault(other.rows)) == [(1, 11), (2, 20), (3, 30)]
+
+
+def test_deletes_and_places_as_a_list(spark):
+    rows = spark.createDataFrame([(i,) for i in range(9)], "v int")
+    for start, stop, step in ((None, None, -2), (7, 1, -3), (2, 8, 2), (-3, None, 1)):
+        want = list(range(9))
+        del want[start:stop:step]
+        assert sorted(r[0] for r in Ordered.of(rows, "v").delete(start, stop, step).rows.collect()) == want
+    for index in (9, -10):
+        with pytest.raises(IndexError):
+            Ordered.of(rows, "v").pop(index)
+    assert Ordered.of(rows, "v").pop(-9)[0].first()[0] == 0

@@ -156,7 +156,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = settle(open_.select("token", "df", "at", "rest", *side), "open")
     common = open_.where(F.col("df") >= frequent).groupBy(*side).agg(F.array_sort(F.collect_list(F.struct("at", "token", "rest"))).alias("f"))
     few = common.where(F.size("f") <= most_frequent)
-    twos = F.expr("flatten(transform(f, (t, i) -> transform(slice(f, i + 2, size(f)), u -> struct(xxhash64(t.token, u.token) as key, t.rest as rest))))")
+    # under its first two common tokens a pair shares the first and what is left from the second on
+    twos = F.expr("flatten(transform(f, (t, i) -> transform(slice(f, i + 2, size(f)), u -> struct(xxhash64(t.token, u.token) as key, u.rest + 1 as rest))))")
     combos = few.select(*side, F.explode(twos).alias("k")).select("k.key", "k.rest", *side)
     singles = open_.where(F.col("df") < frequent).select(F.col("token").alias("key"), "rest", *side)
     many = common.where(F.size("f") > most_frequent).select(*side, F.explode("f").alias("k")).select(F.col("k.token").alias("key"), "k.rest", *side)

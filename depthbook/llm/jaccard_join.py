@@ -22,15 +22,18 @@ threshold t. Steps, all over every document:
    document shares 2t / (1 + t) of its own tokens at least, so only the leading ones of
    its prefix are asked, and pairs of near misses of one template are not made. Nor are
    pairs whose parities (256 bits a set) differ in more bits than linked sets can differ in
-   tokens. What is asked is verified the same way: no link between components is lost, whatever the
-   frequency; pairs inside a component can change nothing. A document with over
-   `most_frequent` frequent tokens in its prefix has them indexed one by one instead
-   of in all combinations, against all, which finds the same links.
+   tokens. Members of a key's largest component are not paired with each other, so what a
+   group of copies has linked already is not met again. What is asked is verified the same
+   way: no link between components is lost, whatever the frequency; pairs inside a
+   component can change nothing. A document with over `most_frequent` frequent tokens in
+   its prefix has them indexed one by one instead of in all combinations, against all,
+   which finds the same links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,21 +162,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # under its first two common tokens a pair shares the first and what is left from the second on
     twos = F.expr("flatten(transform(f, (t, i) -> transform(slice(f, i + 2, size(f)), u -> struct(xxhash64(t.token, u.token) as key, u.rest + 1 as rest))))")
     combos = few.select(*side, F.explode(twos).alias("k")).select("k.key", "k.rest", *side)
-    singles = open_.where(F.col("df") < frequent).select(F.col("token").alias("key"), "rest", *side)
     many = common.where(F.size("f") > most_frequent).select(*side, F.explode("f").alias("k")).select(F.col("k.token").alias("key"), "k.rest", *side)
-    every = open_.where(F.col("df") >= frequent).select(F.col("token").alias("key"), "rest", *side)
-    leading = f"{100 + percent} * rest >= 2 * {percent} * n"
-
-    def met(small: DataFrame, large: DataFrame) -> DataFrame:
-        """Pairs across components under a key, the smaller document on the left."""
-        x = small.where(leading).withColumnRenamed("rep", "x")
-        y = large.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("component_id").alias("other"), *(F.col(c).alias(f"y{c}") for c in _P))
-        differ = " + ".join(f"bit_count({c} ^ y{c})" for c in _P)
-        alike = f"{100 + percent} * (n + m - ({differ})) >= 2 * {percent} * (n + m)"
-        both = x.join(y, "key").where("component_id <> other and (n < m or n = m and x < y)").where(close).where(alike)
-        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    asked = met(singles, singles).union(met(combos, combos)).union(met(many, every)).union(met(every, many))
+    single = open_.select(F.col("token").alias("key"), "rest", "df", *side)
+    every, rare = single.where(F.col("df") >= frequent).drop("df"), single.where(F.col("df") < frequent).drop("df")
+
+    def postings(*parts: DataFrame) -> DataFrame:
+        """Parts of one posting table; each meets the same part of another table only."""
+        return reduce(DataFrame.union, [p.select(F.xxhash64(F.lit(i), "key").alias("key"), "rest", *side) for i, p in enumerate(parts)])
+
+    asking, asked = postings(rare, combos, many, every).where(f"{100 + percent} * rest >= 2 * {percent} * n"), postings(rare, combos, every, many)
+    # members of a key's largest component ask, and answer, the others under that key only
+    largest = asked.groupBy("key", "component_id").count().groupBy("key").agg(F.max(F.struct("count", "component_id")).alias("top"))
+    largest = largest.select("key", F.col("top.component_id").alias("inner"))
+    is_inner = F.col("component_id") == F.col("inner")
+    x = asking.join(largest, "key").withColumn("within", is_inner).drop("inner").withColumnRenamed("rep", "x")
+    y = asked.join(largest, "key").withColumn("within", F.explode(F.when(is_inner, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    y = y.select("key", "within", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("component_id").alias("other"), *(F.col(c).alias(f"y{c}") for c in _P))
+    differ = " + ".join(f"bit_count({c} ^ y{c})" for c in _P)
+    alike = f"{100 + percent} * (n + m - ({differ})) >= 2 * {percent} * (n + m)"
+    met = x.join(y, ["key", "within"]).where("component_id <> other and (n < m or n = m and x < y)").where(close).where(alike)
+    asked = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     across = asked.distinct().join(pairs, ["a", "b"], "left_anti")
     more = settle(_verify(across, sets, percent), "links")
     whole = components(links.union(more))

@@ -11,7 +11,7 @@ from depthbook.functions import metrics
 from depthbook.operators import depth, flow
 from depthbook.operators.ordered import Ordered
 from depthbook.plans import state
-from depthbook.sources.tape import events_tape, orders_tape, points_of, table
+from depthbook.sources.tape import STEP, events_tape, mixed_tape, orders_tape, points_of, table
 from depthbook.streaming.maintainer import live_top, run_available
 
 QUERIES: dict = {}
@@ -378,6 +378,56 @@ def series_diff(spark, sf_dir):
     return flow.series_diff(_events(spark, sf_dir), _events(spark, sf_dir, 2)).select("book_id", "ts", "n_bids", "n_asks", "qty")
 
 
+# The mixed tape: snapshots and updates, late points, equal timestamps
+
+
+def _mixed(mode: str) -> str:
+    """Records by their definition, then each kept point's rows by last write."""
+    by = "book_id, reset" if mode == "latest" else "book_id"
+    last = "QUALIFY reset = max(reset) OVER (PARTITION BY book_id)" if mode == "latest" else ""
+    return f"""tape AS (SELECT user_id % 10 AS book_id, event_id // 40 AS seq, event_id, min(epoch_us(ts)) OVER (PARTITION BY user_id % 10, event_id // 40) AS began,
+  CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'a' END AS side,
+  CAST(CASE WHEN event_id % 2 = 0 THEN 10000 - (event_id * 7919) % 41 ELSE 10000 + (event_id * 7919) % 41 END AS DOUBLE) AS price,
+  CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 + CAST(floor(value) AS BIGINT) % 50 END AS DOUBLE) AS size FROM events),
+arrived AS (SELECT DISTINCT book_id, seq, began - began % {STEP} - CASE WHEN seq % 5 = 3 THEN {4 * STEP} ELSE 0 END AS ts, CASE WHEN seq % 7 = 0 THEN 's' ELSE 'u' END AS kind FROM tape),
+resets AS (SELECT *, count(*) FILTER (kind = 's') OVER (PARTITION BY book_id ORDER BY seq) AS reset FROM arrived),
+marked AS (SELECT *, ts >= coalesce(max(ts) OVER (PARTITION BY {by} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) AS record FROM resets),
+epochs AS (SELECT *, count(*) FILTER (record AND kind = 's') OVER (PARTITION BY book_id ORDER BY seq) AS epoch FROM marked),
+since AS (SELECT * FROM epochs {last}),
+kept AS (SELECT * FROM since QUALIFY row_number() OVER (PARTITION BY book_id, ts ORDER BY seq DESC) = 1),
+written AS (SELECT p.book_id, p.ts, p.seq, r.seq AS set_at, r.kind, side, price, size FROM kept p
+  JOIN epochs r ON r.book_id = p.book_id AND r.epoch = p.epoch AND r.seq <= p.seq AND (r.seq = p.seq OR (r.record AND p.kind = 'u'))
+  JOIN tape t ON t.book_id = r.book_id AND t.seq = r.seq
+  QUALIFY row_number() OVER (PARTITION BY p.book_id, p.seq, side, price ORDER BY r.seq DESC, event_id DESC) = 1),
+pts AS (SELECT book_id, ts FROM kept),
+live AS (SELECT book_id, ts, side, price, size FROM written WHERE NOT (kind = 'u' AND size = 0))"""
+
+
+def _mixed_live(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    tape = mixed_tape(table(spark, sf_dir, "events"))
+    return state.live_levels(tape, points_of(tape), mode)
+
+
+@query(f"WITH {_mixed('delta')} SELECT * FROM live")
+def mixed_levels(spark, sf_dir):
+    return _mixed_live(spark, sf_dir, "delta")[1]
+
+
+@query(f"WITH {_mixed('delta')}{_TOP} SELECT book_id, ts, bid, bidq, ask, askq FROM top")
+def mixed_top(spark, sf_dir):
+    return state.top(*_mixed_live(spark, sf_dir, "delta"))
+
+
+@query(f"WITH {_mixed('latest')} SELECT * FROM live")
+def mixed_latest(spark, sf_dir):
+    return _mixed_live(spark, sf_dir, "latest")[1]
+
+
+@query(f"WITH {_mixed('latest')} SELECT * FROM pts")
+def mixed_latest_points(spark, sf_dir):
+    return _mixed_live(spark, sf_dir, "latest")[0]
+
+
 # Ordered relations over parts and orders
 
 
@@ -417,12 +467,12 @@ def sc_bisect(spark, sf_dir):
 
 @query(f"SELECT p_size, min(rank) AS first_rank FROM {_RANKED} GROUP BY p_size")
 def sc_index(spark, sf_dir):
-    return _parts(spark, sf_dir).ranked().groupBy("p_size").agg(F.min("rank").alias("first_rank"))
+    return _parts(spark, sf_dir).first_ranks("p_size")
 
 
 @query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
 def sc_count(spark, sf_dir):
-    return _parts(spark, sf_dir).rows.groupBy("p_size").agg(F.count("*").alias("n"))
+    return _parts(spark, sf_dir).counts("p_size")
 
 
 @query(f"SELECT p_partkey, p_size FROM {_RANKED} WHERE rank IN (0, (SELECT count(*) - 1 FROM part))")
@@ -431,6 +481,45 @@ def sc_peek(spark, sf_dir):
     return p.peek(0).union(p.peek(-1))
 
 
+@query(f"SELECT p_partkey, p_size FROM {_RANKED} WHERE rank <> 10")
+def sc_pop(spark, sf_dir):
+    return _parts(spark, sf_dir).pop(10)[1].rows
+
+
+@query(f"SELECT p_partkey, p_size FROM {_RANKED} WHERE NOT (rank >= 5 AND (rank - 5) % 7 = 0)")
+def sc_delete_slice(spark, sf_dir):
+    return _parts(spark, sf_dir).delete(5, None, 7).rows
+
+
+@query(f"SELECT p_partkey, p_size FROM {_RANKED} WHERE ((SELECT count(*) - 1 FROM part) - rank) % 3 <> 0")
+def sc_delete_down(spark, sf_dir):
+    return _parts(spark, sf_dir).delete(None, None, -3).rows
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_partkey <> (SELECT min(p_partkey) FROM part WHERE p_size = 17)")
+def sc_discard_one(spark, sf_dir):
+    return _parts(spark, sf_dir).discard(F.col("p_size") == 17, one=True).rows
+
+
+@query("SELECT k, coalesce(a.v, b.v) AS v FROM (SELECT p_partkey AS k, p_size AS v FROM part) a FULL JOIN (SELECT p_partkey * 2 AS k, p_size + 100 AS v FROM part) b USING (k)")
+def sc_setdefault(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return Ordered.of(p.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v")), "k", unique="key").setdefault(p.select((F.col("p_partkey") * 2).alias("k"), (F.col("p_size") + 100).alias("v"))).rows
+
+
+@query("SELECT p_type, p_partkey, row_number() OVER (ORDER BY p_type, p_partkey) - 1 AS rank FROM part")
+def sc_text_ranks(spark, sf_dir):
+    return Ordered.of(table(spark, sf_dir, "part").select("p_type", "p_partkey"), "p_type", ("p_partkey",)).ranked()
+
+
+@query("""WITH l AS (SELECT (SELECT list(p_size ORDER BY p_size) FROM part) AS a, (SELECT list(c_nationkey ORDER BY c_nationkey) FROM customer) AS b)
+SELECT CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS ab, CASE WHEN b < a THEN -1 WHEN b > a THEN 1 ELSE 0 END AS ba, 0 AS aa FROM l""")
+def sc_compare(spark, sf_dir):
+    a = Ordered.of(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("v")), "v")
+    b = Ordered.of(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("v")), "v")
+    return spark.createDataFrame([(a.compare(b), b.compare(a), a.compare(a))], "ab int, ba int, aa int")
+
+
 def _days(spark, sf_dir, name: str, column: str, unique: str = "row") -> Ordered:
     return Ordered.of(table(spark, sf_dir, name).select(F.to_date(column).alias("day")), "day", unique=unique)
 

@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
+def _scale(kind: str) -> Column:
+    """A double that never falls where the key `_k` of a type rises; it deals the buckets."""
+    k = F.col("_k")
+    if kind in ("string", "varchar", "char"):  # the first six bytes
+        return F.conv(F.rpad(F.substring(F.hex(k), 1, 12), 12, "0"), 16, 10).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(k).cast("double")
+    return F.unix_date(k.cast("date")).cast("double") if kind in ("date", "timestamp_ntz") else k.cast("double")
+
+
 @dataclass(frozen=True)
 class Ordered:
     """rows, the key (a Column expression, the identity for plain values) and the columns
@@ -55,9 +65,8 @@ class Ordered:
     def discard(self, value: Column, one: bool = False) -> Ordered:
         """Without the rows that meet a condition; with `one`, without the first of them."""
         if not one:
-            return self.with_rows(self.rows.where(~value))
-        w = Window.partitionBy(value).orderBy(self.key, *self.tie)
-        return self.with_rows(self.rows.withColumn("_n", F.row_number().over(w)).where(~value | (F.col("_n") > 1)).drop("_n"))
+            return self.with_rows(self.rows.where(~F.coalesce(value, F.lit(False))))
+        return self.with_rows(self.rows.exceptAll(self.rows.where(value).orderBy(self.key, *self.tie).limit(1)))
 
     def remove(self, value: Column) -> Ordered:
         if not self.contains(value):
@@ -75,6 +84,23 @@ class Ordered:
         new = more.withColumn("_k", self.key).join(self.rows.select(self.key.alias("_k")), "_k", "left_anti").drop("_k")
         return self.with_rows(self.rows.unionByName(new))
 
+    def get(self, key, column: str, default=None):
+        """The value of a map's key."""
+        row = self.rows.where(self.key == key).select(column).first()
+        return default if row is None else row[0]
+
+    def pop_key(self, key, column: str, *default):
+        """(value, map without the key); an absent key needs a default."""
+        row = self.rows.where(self.key == key).select(column).first()
+        if row is None and not default:
+            raise KeyError(key)
+        return (row[0] if row is not None else default[0]), self.discard(self.key == key)
+
+    @staticmethod
+    def fromkeys(rows: DataFrame, key: str, column: str, value=None) -> Ordered:
+        """A map that gives every key of `rows` one value."""
+        return Ordered(rows.select(key).distinct().withColumn(column, F.lit(value)), F.col(key), unique="key")
+
     def keys(self) -> DataFrame:
         return self.rows.select(self.key.alias("key"))
 
@@ -91,18 +117,19 @@ class Ordered:
         return self.rows.orderBy(*([c.desc() for c in by] if reverse else by))
 
     def ranked(self) -> DataFrame:
-        """rows and `rank`, from 0. Keys must be numeric."""
+        """rows and `rank`, from 0."""
         keyed = self.rows.withColumn("_k", self.key)
-        cuts = keyed.agg(F.percentile_approx(F.col("_k").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []
+        keyed = keyed.withColumn("_x", _scale(keyed.schema["_k"].dataType.typeName()))
+        cuts = keyed.agg(F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []
         cuts = sorted(set(cuts))
-        bucket = sum((F.when(F.col("_k") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        bucket = sum((F.when(F.col("_x") > c, 1).otherwise(0) for c in cuts), F.lit(0))
         keyed = keyed.withColumn("_b", bucket)
         counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
         before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
         counts = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
         w = Window.partitionBy("_b").orderBy("_k", *self.tie)
         out = keyed.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(counts), "_b")
-        return out.withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_k", "_b", "_r", "_before")
+        return out.withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_k", "_x", "_b", "_r", "_before")
 
     def count(self) -> int:
         return self.rows.count()
@@ -135,6 +162,11 @@ class Ordered:
         start = self._place(index)
         return self.ranked().where(F.col("rank") == start).drop("rank")
 
+    def iloc(self, index: int):
+        """The key at a rank."""
+        self._place(index)
+        return self.peek(index).select(self.key).first()[0]
+
     def _place(self, index: int) -> int:
         """The rank at an index, which must be there."""
         n = self.count()
@@ -188,6 +220,14 @@ class Ordered:
     def count_of(self, value: Column) -> int:
         return self.rows.where(value).count()
 
+    def counts(self, *columns: str) -> DataFrame:
+        """How often every value of some columns occurs: columns and n."""
+        return self.rows.groupBy(*columns).agg(F.count("*").alias("n"))
+
+    def first_ranks(self, *columns: str) -> DataFrame:
+        """The smallest rank of every value of some columns: columns and first_rank."""
+        return self.ranked().groupBy(*columns).agg(F.min("rank").alias("first_rank"))
+
     def index(self, value: Column, start: int | None = None, stop: int | None = None) -> int:
         """The smallest rank of a row that meets a condition, within [start, stop)."""
         lo, hi = self._span(start, stop)
@@ -234,6 +274,25 @@ class Ordered:
         a, b = self.rows, other.rows.select(*self.rows.columns)
         return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
+    def compare(self, other: Ordered) -> int:
+        """-1, 0 or 1: lexicographic order of the two sequences of (key, ties)."""
+        a = self.ranked().select("rank", F.struct(self.key.alias("k"), *self.tie).alias("a"))
+        b = other.ranked().select("rank", F.struct(other.key.alias("k"), *other.tie).alias("b"))
+        first = a.join(b, "rank", "full").where("not (a <=> b)").agg(F.min(F.struct("rank", "a", "b")).alias("f"))
+        return first.select(F.expr("case when f is null then 0 when f.a is null then -1 when f.b is null then 1 when f.a < f.b then -1 else 1 end")).first()[0]
+
+    def __lt__(self, other: Ordered) -> bool:
+        return self.compare(other) < 0
+
+    def __le__(self, other: Ordered) -> bool:
+        return self.compare(other) <= 0
+
+    def __gt__(self, other: Ordered) -> bool:
+        return self.compare(other) > 0
+
+    def __ge__(self, other: Ordered) -> bool:
+        return self.compare(other) >= 0
+
     # what an ordered relation refuses
 
     def _no(self, *_, **__):

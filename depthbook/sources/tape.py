@@ -45,6 +45,31 @@ def events_tape(events: DataFrame, shift: int = 0) -> DataFrame:
     )
 
 
+#: Microseconds of a time step of the mixed tape.
+STEP = 6 * 3600 * 1_000_000
+
+
+def mixed_tape(events: DataFrame) -> DataFrame:
+    """Snapshots and updates of ten books: a batch is a book's rows among forty consecutive
+    events. Every seventh batch is a snapshot, every fifth arrives four steps late, and
+    timestamps are whole steps of six hours, so that batches tie."""
+    bid = F.col("event_id") % 2 == 0
+    off = (F.col("event_id") * 7919) % 41
+    rows = events.select(
+        (F.col("user_id") % 10).alias("book_id"),
+        F.expr("event_id div 40").alias("seq"),
+        F.col("event_id").alias("ord"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.when(bid, "b").otherwise("a").alias("side"),
+        F.when(bid, 10000 - off).otherwise(10000 + off).cast("double").alias("price"),
+        F.when(F.col("event_type") == "error", 0.0).otherwise(1 + F.floor("value") % 50).cast("double").alias("size"),
+    )
+    first = F.min("at").over(Window.partitionBy("book_id", "seq"))
+    late = F.when(F.col("seq") % 5 == 3, 4 * STEP).otherwise(0)
+    kind = F.when(F.col("seq") % 7 == 0, "s").otherwise("u")
+    return rows.select("book_id", "seq", "ord", (first - first % STEP - late).alias("ts"), kind.alias("kind"), "side", "price", "size")
+
+
 def orders_tape(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Snapshot tape of orders: twenty books, a snapshot a day and book (the largest order
     key wins), its line items the levels. Returns (tape, points)."""

@@ -82,3 +82,37 @@ def test_deletes_and_places_as_a_list(spark):
         with pytest.raises(IndexError):
             Ordered.of(rows, "v").pop(index)
     assert Ordered.of(rows, "v").pop(-9)[0].first()[0] == 0
+
+
+def test_map_values(spark):
+    m = Ordered.of(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), "k", unique="key")
+    assert m.get("a", "v") == 1 and m.get("z", "v") is None and m.get("z", "v", 7) == 7
+    value, rest = m.pop_key("a", "v")
+    assert value == 1 and [tuple(r) for r in rest.rows.collect()] == [("b", 2)]
+    assert m.pop_key("z", "v", 9)[0] == 9
+    with pytest.raises(KeyError):
+        m.pop_key("z", "v")
+    same = Ordered.fromkeys(m.rows, "k", "v", 5)
+    assert sorted(map(tuple, same.rows.collect())) == [("a", 5), ("b", 5)]
+    assert m.iloc(0) == "a" and m.iloc(-1) == "b"
+    with pytest.raises(IndexError):
+        m.iloc(2)
+
+
+@pytest.mark.parametrize("kind, values", [("string", ["b", "é", "", "abcdefgh", "abcdefgz", "中", "b"]), ("date", ["2024-02-01", "1969-12-31", "2024-01-31"]), ("timestamp", ["2024-02-01 01:00:00", "1969-12-31 23:00:00", "2024-01-31 00:00:01"]), ("double", [2.5, -1.0, 0.25])])
+def test_ranks_of_any_type(spark, kind, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v string").selectExpr(f"cast(v as {kind}) as v")
+    got = [r["v"] for r in Ordered.of(rows, "v").ranked().orderBy("rank").collect()]
+    assert got == sorted(r["v"] for r in rows.collect())
+
+
+@pytest.mark.parametrize("a, b", [([1, 2], [1, 2, 3]), ([1, 3], [1, 2, 3]), ([], [1]), ([1, 2], [1, 2]), ([], [])])
+def test_compare_as_sequences(spark, a, b):
+    x, y = (Ordered.of(spark.createDataFrame([(v,) for v in values], "v int"), "v") for values in (a, b))
+    assert (x < y, x <= y, x > y, x >= y) == (a < b, a <= b, a > b, a >= b)
+
+
+def test_discard_keeps_null_rows(spark):
+    rows = Ordered.of(spark.createDataFrame([(1,), (1,), (None,)], "v int"), "v")
+    assert sorted(r["v"] or 0 for r in rows.discard(rows.key == 1).rows.collect()) == [0]
+    assert sorted(r["v"] or 0 for r in rows.discard(rows.key == 1, one=True).rows.collect()) == [0, 1]

@@ -50,10 +50,12 @@ def live_top(tape: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame) -> DataFrame:
     """Run a stream over all that its source has now; its output as a table.
 
-    Files and checkpoint go to the folder of spark.checkpoint.dir, or to one of our own
-    where that is unset.
+    Files and checkpoint go to the folder of spark.checkpoint.dir; a local session without
+    one gets a temporary folder, a cluster must have it.
     """
     spark = stream.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
     running = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start(f"{path}/rows")
     running.awaitTermination()

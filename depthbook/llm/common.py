@@ -14,12 +14,15 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir. A local session without one
+    gets a temporary folder, a cluster must have it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="depthbook-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has at most so many rows of ids (16 bytes each).
-BROADCAST_ROWS = 1_000_000
+from depthbook.plans.shared import settle, shared_dir
 
+__all__ = ["settle", "shared_dir"]  # for the operators
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local session without one
-    gets a temporary folder, a cluster must have it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="depthbook-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
+#: A side is broadcast only if it has at most so many rows of ids (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,18 +23,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: lineage ends here.
-
-    The parquet files survive a lost executor, are read as often as needed and never
-    recomputed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -120,6 +120,11 @@ def measured_share(index: MultiIndex, entries: DataFrame, asked: DataFrame, k: i
     return float(np.quantile(np.concatenate(met), recall, method="higher") / index.counts.sum())
 
 
+def spread(i: int, parts: int) -> int:
+    """One of some parts for an id; ids that share a divisor fill all of them."""
+    return ((int(i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % parts
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int | None = None, share: float | None = None, least: int = 2_000, recall: float = 0.94, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found by inner product.
 
@@ -160,7 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int | Non
         of = lay.value[1]
         for f in frames:
             to = [of[c] for c in f["cell"]]
-            yield pd.DataFrame({"bucket": [u + i % p for i, (u, p) in zip(f["vec_id"], to)], "cell": f["cell"], "vec_id": f["vec_id"], "x": f["x"]})
+            yield pd.DataFrame({"bucket": [u + spread(i, p) for i, (u, p) in zip(f["vec_id"], to)], "cell": f["cell"], "vec_id": f["vec_id"], "x": f["x"]})
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each bucket that a query's cells lie in."""
@@ -172,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int | Non
             out = []
             for i, x, own, p, q in zip(f["vec_id"], f["x"], f["cell"], a, b):
                 first, of_own = blocks[own]
-                to = first + i % of_own
+                to = first + spread(i, of_own)
                 by: dict[int, list[int]] = {}
                 for c in ix.walk(p, q, wanted):
                     u, parts = of[c]

@@ -63,7 +63,7 @@ def _features(d: np.ndarray, o: np.ndarray) -> np.ndarray:
     if len(starts):
         length = ends - starts
         h = word_hashes(d, starts, ends)
-        at["word_length"] = share(length)
+        at["word_length"] = np.log1p(share(length))  # a text may be one word of any length
         at["short_words"], at["long_words"] = share(length <= 2), share(length >= 14)
         at["ends_marked"] = share(~_MASK["letters"][d[ends - 1]] & ~_MASK["digits"][d[ends - 1]])
         at["stops"] = share(np.isin(d[ends - 1], (33, 46, 63)))
@@ -181,6 +181,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return grad + _penalty(w, decay)
 
     model.weights = _adam(gradient, w, rounds, rate)
+    if not np.isfinite(model.weights).all():
+        raise ArithmeticError("the risk has no finite minimum on these rows")
     return model
 
 
@@ -189,7 +191,7 @@ def _with_features(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 2):
-            x = features(b.column(2)).astype(np.float16)
+            x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "at", "x"])
 
     return rows.mapInArrow(run, "positive boolean, at long, x binary")
@@ -201,16 +203,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows marked 0 are never looked at as such: the class prior is estimated from positives
     and unlabelled rows unless it is given. Both are those of smallest id hash, up to the
     two bounds; null texts count as empty. With no positive or no row the model scores
-    every text the same. Repeated ids count once for a draw, with all their rows.
+    every text the same. What is drawn are different (id, text) pairs, so neither an id
+    with many texts nor a row with many copies brings more rows than the bounds.
     """
     small_batches(docs.sparkSession)
-    keys = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), F.col(text_col).alias("text")).where("_id is not null")
+    keys = keyed.select("_id", "_text")
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
-    draw = lambda ids, n: ids.distinct().orderBy(F.xxhash64(F.col("_id")), "_id").limit(n).select("_id")
-    chosen = draw(keys.join(good, "_id"), positives).withColumn("positive", F.lit(True)).union(draw(keys, unlabelled).withColumn("positive", F.lit(False)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("positive", F.xxhash64("_id", F.xxhash64("text")).alias("at"), "text")
-    got = _with_features(rows).toPandas().sort_values(["positive", "at"])
-    x = np.stack([np.frombuffer(r, np.float16) for r in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES) + WORDS), np.float32)
+    draw = lambda pairs, n: pairs.distinct().orderBy(F.xxhash64(F.col("_id")), "_id", "_text").limit(n)
+    chosen = draw(keys.join(good, "_id", "left_semi"), positives).withColumn("positive", F.lit(True)).union(draw(keys, unlabelled).withColumn("positive", F.lit(False)))
+    rows = keyed.join(F.broadcast(chosen), ["_id", "_text"]).select("positive", F.xxhash64("_id", "_text").alias("at"), "text")
+    got = _with_features(rows).dropDuplicates(["positive", "at"]).toPandas().sort_values(["positive", "at"])
+    x = np.stack([np.frombuffer(r, np.float32) for r in got["x"]]) if len(got) else np.zeros((0, len(FEATURES) + WORDS), np.float32)
     is_positive = got["positive"].to_numpy(bool)
     return fit(x[is_positive], x[~is_positive], prior)
 

@@ -106,6 +106,61 @@ def test_quality_edge_cases(spark):
     assert pu_quality.score(odd.limit(0), pu_quality.learn(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_survives_any_training_text(spark):
+    """One word of 200,000 characters, or of 30,000 wide ones, among the rows that teach."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    long = spark.createDataFrame([(10**9 + i, t, None, None, None) for i, t in enumerate(("x" * 200_000, "語" * 30_000, "word " * 40_000))], docs.schema)
+    marked = labels.union(spark.createDataFrame([(10**9, 1, 0), (10**9 + 1, 1, 0)], labels.schema))
+    before, after = pu_quality.learn(docs, labels), pu_quality.learn(docs.union(long), marked)
+    assert np.isfinite(after.weights).all() and abs(after.prior - before.prior) < 0.05
+    got = pu_quality.score(docs.union(long), after).join(marked, "doc_id").toPandas()
+    assert got.score.between(0, 1).all()
+    known = got[got.doc_id < 10**9]
+    assert ((known.score >= 0.5) == (known.quality == 1)).mean() > 0.95
+
+
+def test_quality_draws_bounded_rows(spark):
+    """An id with many texts, or a row with many copies, brings no more rows than the bound."""
+    rows = [(1, f"text {i} of one id") for i in range(300)] + [(2, "a copy")] * 300 + [(i, f"other text {i}") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    seen = []
+    fit = pu_quality.fit
+    try:
+        pu_quality.fit = lambda p, u, prior: seen.append((len(p), len(u))) or fit(p, u, prior)
+        pu_quality.learn(docs, labels, positives=50, unlabelled=60)
+        pu_quality.learn(docs, labels)
+    finally:
+        pu_quality.fit = fit
+    assert seen == [(50, 60), (301, 338)]
+
+
+def test_quality_risk_is_minimal():
+    """The fitted weights against the risk written out in double precision."""
+    rng = np.random.default_rng(3)
+    width, prior, decay = len(pu_quality.FEATURES) + pu_quality.WORDS, 0.6, 0.05
+    draw = lambda n, at: (rng.standard_normal((n, width)) * 0.5 + np.where(np.arange(width) < 4, at, 0)).astype(np.float32)
+    positive = draw(900, 0.5)
+    unlabelled = np.concatenate([draw(1080, 0.5), draw(720, -0.5)])
+    model = pu_quality.fit(positive, unlabelled, prior, decay=decay)
+    p, u = model.design(positive).astype(float), model.design(unlabelled).astype(float)
+
+    def risk(w):
+        loss = lambda z: np.log1p(np.exp(-z))
+        negative = loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+        free = np.arange(len(w)) != len(pu_quality.FEATURES)
+        return prior * loss(p @ w).mean() + max(0.0, negative) + decay / 2 * (w[free] ** 2).sum()
+
+    w = model.weights.astype(float)
+    least = risk(w)
+    assert least < risk(np.zeros(len(w)))
+    for k in range(0, len(w), 5):
+        for step in (-0.3, 0.3):
+            there = w.copy()
+            there[k] += step
+            assert risk(there) > least - 1e-4
+
+
 def vectors(spark, rows):
     rows = [(i, v and [None if c is None else float(c) for c in v]) for i, v in rows]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("x", F.lit("clash"))
@@ -162,6 +217,12 @@ def test_search_edge_cases(spark):
     assert multi_index.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_query_blocks_of_ids_with_a_common_divisor():
+    for parts in (2, 5, 20):
+        filled = np.bincount([multi_index.spread(20 * i, parts) for i in range(5000)], minlength=parts)
+        assert filled.min() > 0.8 * 5000 / parts and multi_index.spread(-20, parts) in range(parts)
+
+
 def test_cells_are_walked_in_order():
     rng = np.random.default_rng(0)
     ix = multi_index.MultiIndex(rng.standard_normal((300, 8)), 6)

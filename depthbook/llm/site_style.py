@@ -11,9 +11,11 @@ from each page. A host of one page has nothing to compare, and all of it is impo
 
 Some markup says by itself that it is not the article: navigation, footers, scripts, form
 fields, hidden elements and so on (certain), and classes and ids named after such things,
-and forms (likely). A likely one stays if it wraps the page's article or main element or,
-on a page without these, holds most of the text and few links: themes put such names on
-whole pages. Where a page has a main element its text counts, or that of the articles in
+replies or cards, and forms (likely). A likely one stays if it wraps the page's article or
+main element or, on a page without these, holds most of the text and few links: themes put
+such names on whole pages. Of articles the page's own are those within the fewest elements
+that may be replies, so a comment that is an article is no article of the page, and an
+article with a name of comments stays where there is no other. Where a page has a main element its text counts, or that of the articles in
 it if they are most of it; else that of its articles, if they are more than a scrap of the
 page. Where the tree would leave nothing of a page (a host of copies of one page), the
 page keeps what markup leaves.
@@ -54,6 +56,8 @@ NOISE_NAMES = frozenset(
 # names that say whose an element is not: has-sidebar, no-comments
 MODIFIERS = frozenset("has have no not non with without show shows hide hides enable disable".split())
 REPLIES = frozenset("comment comments commentlist disqus respond reply replies".split())
+# names of cards of other articles
+CARDS = frozenset("related promo teaser".split())
 # a start tag of the second closes an open element of the first
 CLOSED_BY = {"p": BLOCK - {"head", "title", "option", "optgroup", "caption"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
 # an implied end does not reach out of these
@@ -61,7 +65,9 @@ SCOPE = frozenset("html body table td th article section main div ul ol dl aside
 
 CLOSES: dict[str, tuple[str, ...]] = {t: tuple(k for k, v in CLOSED_BY.items() if t in v) for t in {t for v in CLOSED_BY.values() for t in v}}
 
-_MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_COMMENT_END = re.compile("--!?>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_VALUES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -158,7 +164,8 @@ class Page:
     @staticmethod
     def _kind(parent: int, tag: str, attributes: str) -> tuple[str, int, str]:
         """Key and node of an element, and what it says it is: noise for certain, likely
-        noise, noise if it is made of links, replies, an article, main, or nothing."""
+        noise, noise if it is made of links, replies, likely replies, an article, main, an
+        article or main that may be a reply or a card, or nothing."""
         key, kind = tag, "noise" if tag in NOISE else "likely" if tag == "form" else tag if tag in ("article", "main") else ""
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
@@ -168,18 +175,19 @@ class Page:
                     words = [[w.lower() for w in _NAME.findall(v)] for v in value.split()]
                     if name == "class":
                         key += "." + "-".join(sorted({w for v in words for w in v}))
+                    words = [v for v in words if v and v[0] not in MODIFIERS]
+                    if kind in ("article", "main") and any(not (REPLIES | CARDS).isdisjoint(v) for v in words):
+                        kind += "?"
                     if kind or tag in ("html", "body"):
                         continue
                     for v in words:
-                        if v and v[0] not in MODIFIERS and not NOISE_NAMES.isdisjoint(v):
-                            kind = "replies" if not REPLIES.isdisjoint(v) else "likely" if v[0] in NOISE_NAMES or v[-1] in NOISE_NAMES else kind or "links"
+                        if not NOISE_NAMES.isdisjoint(v):
+                            said = "replies" if REPLIES.issuperset(v) else "replies?" if not REPLIES.isdisjoint(v) or not CARDS.isdisjoint((v[0], v[-1])) else "likely" if v[0] in NOISE_NAMES or v[-1] in NOISE_NAMES else "links"
+                            kind = max(kind, said, key=("", "links", "likely", "replies?", "replies").index)
                 elif name == "role":
                     kind = "noise" if value.lower() in NOISE_ROLES else kind
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                     kind = "noise"
-        # comments on an article are often articles themselves
-        if tag in ("article", "main") and re.search(r"comment|related|promo|teaser", attributes, re.I):
-            kind = "replies"
         return key, node_hash(parent, key), kind
 
     def _end(self, tag: str) -> None:
@@ -191,29 +199,42 @@ class Page:
         self._close(at)
 
     def _read(self, source: str) -> None:
-        at, n = 0, len(source)
+        """One pass: each search goes on from where the last one ended. After the last '>'
+        there is text alone, and once quotes have hidden every further '>' from a tag they
+        count for nothing on the rest of the page."""
+        at, n, last, quotes = 0, len(source), source.rfind(">"), True
         while at < n:
-            m = _MARKUP.search(source, at)
-            if m is None:
+            i = source.find("<", at)
+            if i < 0 or i > last and not source.startswith("<!--", i):
                 self._say(source[at:])
                 break
-            if m.start() > at:
-                self._say(source[at : m.start()])
-            at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            attributes = m[3] if m[2] else m[6]
-            if m[1] or m[4]:
-                self._end(tag)
-            elif tag in RAW:
-                end = _END[tag].search(source, at)
+            if i > at:
+                self._say(source[at:i])
+            tag = _TAG.match(source, i)
+            if source.startswith("<!--", i):
+                end = _COMMENT_END.search(source, i + 4)
                 at = end.end() if end else n
+            elif source.startswith(("<!", "<?"), i):
+                at = source.find(">", i) + 1
+            elif tag is None:
+                self._say("<")
+                at = i + 1
             else:
-                self._start(tag, attributes.rstrip("/").strip() if attributes.strip() else "", attributes.endswith("/"))
+                end = _VALUES.match(source, tag.end()) if quotes else None
+                quotes = end is not None
+                at = end.end() if end else source.find(">", tag.end()) + 1
+                self._tag(tag[2].lower(), bool(tag[1]), source[tag.end() : at - 1])
+                if tag[2].lower() in RAW and not tag[1]:
+                    end = _END[tag[2].lower()].search(source, at)
+                    at = end.end() if end else n
         self._flush()
 
+    def _tag(self, tag: str, ends: bool, attributes: str) -> None:
+        if ends:
+            self._end(tag)
+        elif tag not in RAW:
+            self._start(tag, attributes.rstrip("/").strip() if attributes.strip() else "", attributes.endswith("/"))
+
     def _gone(self) -> list[bool]:
         """Which zones are no part of the article, with all that is in them."""
         n = len(self.zones)
@@ -221,21 +242,36 @@ class Page:
         for _, _, z, text, linked in self.blocks:
             size[z] += len(text)
             links[z] += linked
-        certain = [k == "noise" for _, k in self.zones]
+        kinds = [k for _, k in self.zones]
+        certain = [k == "noise" for k in kinds]
+        # how many zones around one, itself with them, may be replies or cards; a name of nothing else counts twice
+        replies, weight = [0] * n, {"replies": 2, "replies?": 1, "article?": 1, "main?": 1}
         for z in range(1, n):
-            certain[z] |= certain[self.zones[z][0]]
-        wraps = [k in ("article", "main") for _, k in self.zones]
+            up = self.zones[z][0]
+            certain[z] |= certain[up]
+            replies[z] = replies[up] + weight.get(kinds[z], 0)
         for z in range(n - 1, 0, -1):
             if not certain[z]:
-                up = self.zones[z][0]
-                size[up] += size[z]
-                links[up] += links[z]
-                wraps[up] |= wraps[z] and self.zones[z][1] != "replies"
+                size[self.zones[z][0]] += size[z]
+                links[self.zones[z][0]] += links[z]
+        # the page's own articles are those within the fewest replies; inside any, the largest
+        own = [z for z in range(1, n) if not certain[z] and kinds[z].rstrip("?") in ("article", "main")]
+        fewest = min((replies[z] for z in own), default=0)
+        own = [z for z in own if replies[z] == fewest]
+        if fewest:
+            own = [max(own, key=lambda z: (size[z], -z))]
+        wraps = [False] * n
+        for z in own:
+            wraps[z] = True
+        for z in range(n - 1, 0, -1):
+            wraps[self.zones[z][0]] |= wraps[z]
         gone = certain
         for z in range(1, n):
             up, kind = self.zones[z]
             most = not wraps[0] and 2 * size[z] > size[0] and 2 * links[z] < size[z]
-            here = kind == "replies" or kind == "likely" and not (wraps[z] or most) or kind == "links" and not wraps[z] and 2 * links[z] > size[z]
+            if kind == "replies":  # no other name: all of a page, or nothing of it
+                most = most and 10 * size[z] > 9 * size[0]
+            here = kind in ("replies", "replies?", "likely", "article?", "main?") and not (wraps[z] or most) or kind == "links" and not wraps[z] and 2 * links[z] > size[z]
             gone[z] |= here or gone[up]
         return gone
 
@@ -245,7 +281,7 @@ class Page:
         within: list[tuple[bool, bool]] = []
         for z, (up, kind) in enumerate(self.zones):
             article, main = within[up] if z else (False, False)
-            within.append((article or kind == "article", main or kind == "main"))
+            within.append((article or kind.rstrip("?") == "article", main or kind.rstrip("?") == "main"))
         left = [b for b in self.blocks if not gone[b[2]]]
         length = lambda rows: sum(len(b[3]) for b in rows)
         main = [b for b in left if within[b[2]][1]]

@@ -258,6 +258,10 @@ def test_license_tag_inside_a_line():
 # pages
 
 
+def main_text(source):
+    return site_style.Page(source, {}).main_text()
+
+
 def page(body, head="<title>t</title>"):
     return f"<!DOCTYPE html><html><head>{head}<script>var x='<p>no</p>';</script></head><body>{body}</body></html>"
 
@@ -292,6 +296,32 @@ def test_names_do_not_lose_the_article():
     assert main_text("<div class='sidebar'>" + "<a href='/x'>link here</a> " * 20 + "</div><p>t</p>") == "t"
 
 
+def test_names_of_comments_do_not_lose_the_article():
+    whole = "<p>The whole article</p>"
+    for name in ("class='post has-comments'", "class='post no-comments'", "class='post comments-open'", "data-comments-count='3'", "data-related-id=4", "id='promo-free'", "class='comment'"):
+        for tag in ("article", "main"):
+            assert main_text(f"<nav>m</nav><{tag} {name}>{whole}</{tag}><div class='sidebar'><p>other</p></div>") == "The whole article", (name, tag)
+    replies = "<div class='comments'><article class='comment'><p>One reply</p></article><article class='media'><p>Another reply of more words</p></article></div>"
+    for name in ("comments-open", "comments-enabled", "post-comments-wrapper", "reply-enabled content", "blog-comments"):
+        assert main_text(f"<nav>m</nav><div class='{name}'>{whole}</div><p>x</p>").startswith("The whole article"), name
+        for rest in ("", replies):
+            assert main_text(f"<nav>m</nav><div class='{name}'><article>{whole}</article>{rest}</div>") == "The whole article", name
+            assert main_text(f"<nav>m</nav><div class='{name}'><article>{whole}</article></div>{rest}") == "The whole article", name
+    assert main_text(f"<article>{whole}</article><section class='related'><article class='card'><p>Another story</p></article></section><article class='teaser'><p>A third</p></article>{replies}") == "The whole article"
+
+
+@pytest.mark.parametrize("source", ["<a" * 100_000, "<!a" * 100_000, "<" + "a" * 100_000, "<a" * 100_000 + ">", '<a ">"' * 40_000, "<a '" * 50_000 + ">", "<a =\"'>" * 30_000, '<p class="' * 50_000, "<!--" * 50_000, "<!--x->" * 50_000 + "<a"])
+def test_malformed_tags_take_linear_time(source):
+    began = time.time()
+    site_style.Page(source, {}).main_text()
+    assert time.time() - began < 2
+
+
+def test_malformed_tags_keep_text():
+    assert main_text("<p>1 < 2 and 3 > 2</p><p>a <b") == "1 < 2 and 3 > 2\na <b"
+    assert main_text("<p title='a > b'>one</p><p title='open>two</p>") == "one\ntwo"
+
+
 @pytest.mark.parametrize("source", ["<b>x" * 200_000, "<div>x" * 100_000, "<p>x" * 200_000, "<dd><div>" + "<b>" * 50_000 + "<dt>x</dt>" * 50_000, "<div class=ad>x" * 50_000, "</p>" * 300_000 + "x"])
 def test_nested_pages_take_linear_time(source):
     began = time.time()

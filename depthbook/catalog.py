@@ -12,7 +12,7 @@ from depthbook.operators import depth, flow
 from depthbook.operators.ordered import Ordered
 from depthbook.plans import state
 from depthbook.sources.tape import STEP, events_tape, mixed_tape, orders_tape, points_of, table
-from depthbook.streaming.maintainer import live_top, run_available
+from depthbook.streaming import maintainer
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -584,7 +584,42 @@ def sc_subset_flags(spark, sf_dir):
 
 @query(_on_top("ts AS seq, bid, bidq, ask, askq"))
 def streaming_top(spark, sf_dir):
-    """The events tape as a stream, through the stateful maintainer."""
+    """The events tape as a stream, through keyed state."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_available(live_top(events_tape(stream)))
+    return maintainer.run_available(maintainer.live_top(events_tape(stream)))
+
+
+def _replayed(spark, sf_dir, mode: str) -> DataFrame:
+    tape = mixed_tape(table(spark, sf_dir, "events"))
+    rows = maintainer.kept(maintainer.replay(tape, lambda t: maintainer.live_levels(t, mode)), mode)
+    return rows.where("side is not null").select("book_id", "ts", "side", "price", "size")
+
+
+@query(f"WITH {_mixed('delta')} SELECT * FROM live")
+def streaming_mixed_levels(spark, sf_dir):
+    """The mixed tape as a stream: records, late points and epochs by state."""
+    return _replayed(spark, sf_dir, "delta")
+
+
+@query(f"WITH {_mixed('latest')} SELECT * FROM live")
+def streaming_mixed_latest(spark, sf_dir):
+    return _replayed(spark, sf_dir, "latest")
+
+
+#: How much earlier than the latest a point may be, in the query of late rows.
+DELAY = 2 * STEP
+
+
+@query(f"""WITH {_mixed('delta')},
+timed AS (SELECT *, ts < coalesce(max(ts) OVER (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) - {DELAY} AS late FROM epochs),
+books AS (SELECT p.book_id, p.seq, side, price, size, r.kind FROM timed p
+  JOIN epochs r ON r.book_id = p.book_id AND r.epoch = p.epoch AND r.seq <= p.seq AND (r.seq = p.seq OR (r.record AND p.kind = 'u'))
+  JOIN tape t ON t.book_id = r.book_id AND t.seq = r.seq WHERE NOT p.late
+  QUALIFY row_number() OVER (PARTITION BY p.book_id, p.seq, side, price ORDER BY r.seq DESC, event_id DESC) = 1)
+SELECT p.book_id, p.seq, p.ts, late, side, price, size FROM timed p LEFT JOIN (SELECT * FROM books WHERE NOT (kind = 'u' AND size = 0)) USING (book_id, seq) WHERE NOT late
+UNION ALL SELECT p.book_id, p.seq, p.ts, late, side, price, size FROM timed p JOIN tape USING (book_id, seq) WHERE late""")
+def streaming_dead_letters(spark, sf_dir):
+    """Levels of every point in time, and the tape rows of those that come too late."""
+    tape = mixed_tape(table(spark, sf_dir, "events"))
+    return maintainer.replay(tape, lambda t: maintainer.live_levels(t, delay=DELAY)).select("book_id", "seq", "ts", "late", "side", "price", "size")

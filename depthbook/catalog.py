@@ -460,9 +460,47 @@ def sc_slice_step(spark, sf_dir):
 
 @query("SELECT v.v AS value, (SELECT count(*) FROM part WHERE p_size < v.v) AS lo, (SELECT count(*) FROM part WHERE p_size <= v.v) AS hi FROM (VALUES (1), (17), (50)) v(v)")
 def sc_bisect(spark, sf_dir):
-    values, p = [1, 17, 50], _parts(spark, sf_dir)
-    lo, hi = p.bisect(values, right=False), p.bisect(values)
-    return spark.createDataFrame([(v, lo[v], hi[v]) for v in values], "value int, lo long, hi long")
+    return _parts(spark, sf_dir).bisect_frame([1, 17, 50])
+
+
+@query("SELECT c_custkey, p_size, (SELECT count(*) FROM part WHERE part.p_size % 7 < v.p_size % 7) AS lo, (SELECT count(*) FROM part WHERE part.p_size % 7 <= v.p_size % 7) AS hi FROM (SELECT c_custkey, c_nationkey AS p_size FROM customer) v")
+def sc_bisect_value(spark, sf_dir):
+    """Insertion ranks of a table of values, through the key function."""
+    values = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("p_size"))
+    return Ordered.of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") % 7).bisect_rows(values)
+
+
+def _part_map(spark, sf_dir) -> Ordered:
+    """Types of parts by key, as a map."""
+    return Ordered.of(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey", unique="key")
+
+
+@query("SELECT p_partkey AS key FROM part QUALIFY (row_number() OVER (ORDER BY p_partkey) - 1) >= 3 AND (row_number() OVER (ORDER BY p_partkey) - 4) % 5 = 0")
+def sc_view_keys(spark, sf_dir):
+    """Every fifth key of a map, from the fourth, through its view."""
+    return _part_map(spark, sf_dir).keys()[3::5]
+
+
+@query("SELECT p_partkey AS key, p_type FROM part QUALIFY row_number() OVER (ORDER BY p_partkey DESC) <= 40")
+def sc_view_items(spark, sf_dir):
+    return _part_map(spark, sf_dir).items("p_type")[-40:]
+
+
+@query("SELECT p_type FROM part QUALIFY (row_number() OVER (ORDER BY p_partkey DESC) - 1) % 4 = 0")
+def sc_view_values(spark, sf_dir):
+    return _part_map(spark, sf_dir).values("p_type")[::-4]
+
+
+@query("SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def sc_view_algebra(spark, sf_dir):
+    """Keys of a map that another map has not."""
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return (_part_map(spark, sf_dir).keys() - Ordered.of(sold, "p_partkey", unique="key").keys()).rows
+
+
+@query("SELECT p_partkey, p_type FROM part QUALIFY (row_number() OVER (ORDER BY p_partkey) - 1) % 3 <> 0")
+def sc_view_delete(spark, sf_dir):
+    return _part_map(spark, sf_dir).keys().delete(slice(None, None, 3)).rows
 
 
 @query(f"SELECT p_size, min(rank) AS first_rank FROM {_RANKED} GROUP BY p_size")
@@ -517,7 +555,8 @@ SELECT CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS ab, CASE WHEN b <
 def sc_compare(spark, sf_dir):
     a = Ordered.of(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("v")), "v")
     b = Ordered.of(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("v")), "v")
-    return spark.createDataFrame([(a.compare(b), b.compare(a), a.compare(a))], "ab int, ba int, aa int")
+    ab, ba, aa = (x.compare_frame(y).select(F.col("order").alias(n)) for n, x, y in (("ab", a, b), ("ba", b, a), ("aa", a, a)))
+    return ab.join(F.broadcast(ba)).join(F.broadcast(aa))  # of one row each
 
 
 def _days(spark, sf_dir, name: str, column: str, unique: str = "row") -> Ordered:
@@ -579,7 +618,7 @@ def sc_merge(spark, sf_dir):
 @query(f"SELECT NOT EXISTS (({_A}) EXCEPT ({_B})) AS a_in_b, NOT EXISTS (({_B}) EXCEPT ({_A})) AS b_in_a, NOT EXISTS (({_A}) INTERSECT ({_B})) AS apart")
 def sc_subset_flags(spark, sf_dir):
     a, b = _both_days(spark, sf_dir)
-    return spark.createDataFrame([(a.issubset(b), b.issubset(a), a.isdisjoint(b))], "a_in_b boolean, b_in_a boolean, apart boolean")
+    return a.flags_frame(b).toDF("a_in_b", "b_in_a", "apart")
 
 
 @query(_on_top("ts AS seq, bid, bidq, ask, askq"))

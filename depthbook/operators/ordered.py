@@ -1,29 +1,20 @@
 """Ordered relations: a DataFrame with a sort key and a tie-break, addressed by value,
 key or rank.
 
-Ranks are found in two levels: rows fall into buckets at approximate quantiles of the
-key, a bucket is ranked by itself and starts after the rows of the buckets before it.
+Ranks come from ranges of the whole sort key (plans/ranks.py), so neither a long relation
+nor a frequent key is one task.
 """
 
 from __future__ import annotations
 
 import operator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
-
-def _scale(kind: str) -> Column:
-    """A double that never falls where the key `_k` of a type rises; it deals the buckets."""
-    k = F.col("_k")
-    if kind in ("string", "varchar", "char"):  # the first six bytes
-        return F.conv(F.rpad(F.substring(F.hex(k), 1, 12), 12, "0"), 16, 10).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(k).cast("double")
-    return F.unix_date(k.cast("date")).cast("double") if kind in ("date", "timestamp_ntz") else k.cast("double")
+from depthbook.plans import ranks
 
 
 @dataclass(frozen=True)
@@ -35,6 +26,7 @@ class Ordered:
     key: Column
     tie: tuple[str, ...] = ()
     unique: str = "no"
+    range_rows: int = ranks.RANGE_ROWS
 
     # construction and bulk change
 
@@ -101,14 +93,15 @@ class Ordered:
         """A map that gives every key of `rows` one value."""
         return Ordered(rows.select(key).distinct().withColumn(column, F.lit(value)), F.col(key), unique="key")
 
-    def keys(self) -> DataFrame:
-        return self.rows.select(self.key.alias("key"))
+    def keys(self) -> View:
+        return View(self, (self.key.alias("key"),), True)
 
-    def items(self) -> DataFrame:
-        return self.rows
+    def items(self, *columns: str) -> View:
+        """Keys with the values of some columns (all by default)."""
+        return View(self, (self.key.alias("key"), *map(F.col, columns or self.rows.columns)), True)
 
-    def values(self, *columns: str) -> DataFrame:
-        return self.rows.select(*columns)
+    def values(self, *columns: str) -> View:
+        return View(self, tuple(map(F.col, columns or self.rows.columns)), False)
 
     # order and rank
 
@@ -118,18 +111,7 @@ class Ordered:
 
     def ranked(self) -> DataFrame:
         """rows and `rank`, from 0."""
-        keyed = self.rows.withColumn("_k", self.key)
-        keyed = keyed.withColumn("_x", _scale(keyed.schema["_k"].dataType.typeName()))
-        cuts = keyed.agg(F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []
-        cuts = sorted(set(cuts))
-        bucket = sum((F.when(F.col("_x") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-        keyed = keyed.withColumn("_b", bucket)
-        counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
-        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-        counts = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-        w = Window.partitionBy("_b").orderBy("_k", *self.tie)
-        out = keyed.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(counts), "_b")
-        return out.withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_k", "_x", "_b", "_r", "_before")
+        return ranks.number(self.rows, [self.key, *map(F.col, self.tie)], "rank", self.range_rows)
 
     def count(self) -> int:
         return self.rows.count()
@@ -205,17 +187,48 @@ class Ordered:
 
     irange_key = irange
 
+    def bisect_frame(self, keys: list) -> DataFrame:
+        """(value, lo, hi): the left and right insertion ranks of several keys, in one pass
+        when the frame is read."""
+        lo, hi = (F.array(*[F.count(F.when(cmp(self.key, v), 1)) for v in keys]) for cmp in (operator.lt, operator.le))
+        both = self.rows.agg(F.arrays_zip(F.array(*map(F.lit, keys)).alias("value"), lo.alias("lo"), hi.alias("hi")).alias("at"))
+        return both.select(F.inline("at").alias("value", "lo", "hi"))
+
+    def bisect_key(self, keys: list, right: bool = True) -> dict:
+        """Insertion ranks of several keys."""
+        return {r["value"]: r["hi" if right else "lo"] for r in self.bisect_frame(list(keys)).collect()}
+
+    def key_of(self, value: dict):
+        """The key that the key expression gives a row, named by its columns."""
+        kinds = {f.name: f.dataType for f in self.rows.schema.fields}
+        return self.rows.sparkSession.range(1).select(*[F.lit(v).cast(kinds[n]).alias(n) for n, v in value.items()]).select(self.key).first()[0]
+
     def bisect(self, values: list, right: bool = True) -> dict:
-        """Insertion ranks of several values in one pass."""
-        cmp = operator.le if right else operator.lt
-        row = self.rows.agg(*[F.count(F.when(cmp(self.key, v), 1)).alias(f"v{i}") for i, v in enumerate(values)]).first()
-        return {v: row[i] for i, v in enumerate(values)}
+        """Insertion ranks of several values; a value is a row (a dict of the columns that
+        the key reads, which then is the answer's place) or, of plain values, the key."""
+        keys = [self.key_of(v) if isinstance(v, dict) else v for v in values]
+        found = self.bisect_key(sorted(set(keys)), right)
+        return {i if isinstance(v, dict) else v: found[k] for i, (v, k) in enumerate(zip(values, keys))}
 
     def bisect_left(self, value) -> int:
-        return self.bisect([value], right=False)[value]
+        return next(iter(self.bisect([value], right=False).values()))
 
     def bisect_right(self, value) -> int:
-        return self.bisect([value])[value]
+        return next(iter(self.bisect([value]).values()))
+
+    def bisect_rows(self, values: DataFrame) -> DataFrame:
+        """`values` with lo and hi: the insertion ranks of a table of values, whose columns
+        the key expression reads.
+
+        Rows are counted by key and the counts summed in the order of the keys, so no row
+        meets every value and a frequent key is one count.
+        """
+        asked = values.select(F.struct("*").alias("_v"), self.key.alias("_k"))
+        both = self.rows.select(self.key.alias("_k"), F.lit(1).alias("_own")).union(asked.select("_k", F.lit(0)))
+        per = both.groupBy("_k").agg(F.sum("_own").alias("_n"))
+        upto = ranks.running_sum(per, [F.col("_k")], "_n", "_hi", self.range_rows)
+        met = asked.join(upto.withColumnRenamed("_k", "_of"), F.col("_k").eqNullSafe(F.col("_of")))
+        return met.select("_v.*", (F.col("_hi") - F.col("_n")).alias("lo"), F.col("_hi").alias("hi"))
 
     def count_of(self, value: Column) -> int:
         return self.rows.where(value).count()
@@ -261,6 +274,15 @@ class Ordered:
         """Of two maps; the other's value wins."""
         return replace(self, unique="key").update(other.rows)
 
+    def flags_frame(self, other: Ordered) -> DataFrame:
+        """(subset, superset, disjoint) of the two relations' different rows, in one
+        aggregate when the frame is read."""
+        side = lambda rows, a, b: rows.select(*self.rows.columns, F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+        both = side(self.rows, True, False).union(side(other.rows, False, True))
+        rows = both.groupBy(*self.rows.columns).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+        flags = {"subset": F.col("_b"), "superset": F.col("_a"), "disjoint": ~(F.col("_a") & F.col("_b"))}
+        return rows.agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(n) for n, c in flags.items()])
+
     def issubset(self, other: Ordered) -> bool:
         return not self.difference(other).rows.limit(1).count()
 
@@ -274,12 +296,26 @@ class Ordered:
         a, b = self.rows, other.rows.select(*self.rows.columns)
         return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
+    def compare_frame(self, other: Ordered) -> DataFrame:
+        """(order): -1, 0 or 1, the lexicographic order of the two sequences of (key, ties).
+
+        Two sorted sequences part at the smallest value that one has more often; there the
+        other goes on with a larger value or ends. So counts decide, and no ranks are needed.
+        """
+        side = lambda o, a, b: o.rows.select(F.struct(o.key.alias("k"), *o.tie).alias("_v"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+        per = side(self, 1, 0).union(side(other, 0, 1)).groupBy("_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+        parts = per.agg(
+            F.min(F.when(F.col("_a") != F.col("_b"), F.struct("_v", "_a", "_b"))).alias("at"),
+            F.max(F.when(F.col("_a") > 0, F.col("_v"))).alias("last_a"),
+            F.max(F.when(F.col("_b") > 0, F.col("_v"))).alias("last_b"),
+        )
+        goes_on = lambda last: F.coalesce(F.col(last) > F.col("at._v"), F.lit(False))
+        order = F.when(F.col("at").isNull(), 0).when(F.col("at._a") > F.col("at._b"), F.when(goes_on("last_b"), -1).otherwise(1)).otherwise(F.when(goes_on("last_a"), 1).otherwise(-1))
+        return parts.select(order.alias("order"))
+
     def compare(self, other: Ordered) -> int:
         """-1, 0 or 1: lexicographic order of the two sequences of (key, ties)."""
-        a = self.ranked().select("rank", F.struct(self.key.alias("k"), *self.tie).alias("a"))
-        b = other.ranked().select("rank", F.struct(other.key.alias("k"), *other.tie).alias("b"))
-        first = a.join(b, "rank", "full").where("not (a <=> b)").agg(F.min(F.struct("rank", "a", "b")).alias("f"))
-        return first.select(F.expr("case when f is null then 0 when f.a is null then -1 when f.b is null then 1 when f.a < f.b then -1 else 1 end")).first()[0]
+        return self.compare_frame(other).first()[0]
 
     def __lt__(self, other: Ordered) -> bool:
         return self.compare(other) < 0
@@ -299,3 +335,73 @@ class Ordered:
         raise NotImplementedError("an ordered relation has no such position")
 
     reverse = append = extend = insert = set_at = _no
+
+
+@dataclass(frozen=True)
+class View:
+    """The keys, items or values of an ordered relation in its order, as a sequence; keys
+    and items also as a set."""
+
+    of: Ordered
+    columns: tuple[Column, ...]
+    is_set: bool
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.of.rows.select(*self.columns)
+
+    def __len__(self) -> int:
+        return self.of.count()
+
+    def sorted(self, reverse: bool = False) -> DataFrame:
+        return self.of.sorted(reverse).select(*self.columns)
+
+    def slice(self, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
+        return self.of.islice(start, stop, step).select(*self.columns)
+
+    def __getitem__(self, index: int | slice):
+        """A row, or the rows of a slice as a DataFrame in order."""
+        if isinstance(index, slice):
+            return self.slice(index.start, index.stop, 1 if index.step is None else index.step)
+        self.of._place(index)
+        return self.of.peek(index).select(*self.columns).first()
+
+    def delete(self, index: int | slice) -> Ordered:
+        """The relation without what the view has at an index or a slice."""
+        if isinstance(index, slice):
+            return self.of.delete(index.start, index.stop, 1 if index.step is None else index.step)
+        return self.of.pop(index)[1]
+
+    def _hit(self, values: tuple) -> Column:
+        return reduce(operator.and_, [c.eqNullSafe(F.lit(v)) for c, v in zip(self.columns, values)])
+
+    def contains(self, *values) -> bool:
+        return self.of.contains(self._hit(values))
+
+    def count_of(self, *values) -> int:
+        return self.of.count_of(self._hit(values))
+
+    def index(self, *values, start: int | None = None, stop: int | None = None) -> int:
+        return self.of.index(self._hit(values), start, stop)
+
+    def as_set(self) -> Ordered:
+        """The view's rows as an ordered set of their own."""
+        if not self.is_set:
+            raise TypeError("values are no set")
+        rows = self.rows
+        return Ordered.of(rows, rows.columns[0], tuple(rows.columns[1:]), "row")
+
+    def __and__(self, other: View) -> Ordered:
+        return self.as_set().intersection(other.as_set())
+
+    def __or__(self, other: View) -> Ordered:
+        return self.as_set().union(other.as_set())
+
+    def __sub__(self, other: View) -> Ordered:
+        return self.as_set().difference(other.as_set())
+
+    def __xor__(self, other: View) -> Ordered:
+        return self.as_set().symmetric_difference(other.as_set())
+
+    def isdisjoint(self, other: View) -> bool:
+        return self.as_set().isdisjoint(other.as_set())

@@ -20,6 +20,21 @@ RANGE_ROWS = 1 << 17
 MOST_RANGES = 1 << 14
 
 
+def _ranges(rows: DataFrame, order: list[Column], n: int, range_rows: int) -> DataFrame:
+    """The rows, written in ranges of the order: `_range` numbers them, `_at` the rows of
+    each, both from 0. The order must tell all rows apart."""
+    ranges = min(-(-n // range_rows), MOST_RANGES)
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # the id of a row is (number of its task) * 2^33 + its place there
+    return settle(dealt, "ranges").withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at") - F.shiftleft("_range", 33))
+
+
+def _before(sizes: DataFrame, into: str) -> DataFrame:
+    """(_range, into): the sum of `_n` over the ranges before each."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over MOST_RANGES rows at most
+    return sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(into))
+
+
 def number(rows: DataFrame, order: list[Column], into: str = "rank", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add `into`, the rank of each row from 0, in the order of the columns.
 
@@ -31,13 +46,19 @@ def number(rows: DataFrame, order: list[Column], into: str = "rank", range_rows:
     n = rows.count()
     if n <= range_rows:  # one range
         return rows.withColumn(into, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    ranges, by = min(-(-n // range_rows), MOST_RANGES), [*order, F.col("_row")]
-    # within a range the id counts from (number of the range) * 2^33
-    dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("_row").withColumn("_at", F.monotonically_increasing_id())
-    dealt = settle(dealt, "ranges").withColumn("_range", F.shiftright("_at", 33))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.col("_at") - F.shiftleft("_range", 33)
-    return dealt.join(F.broadcast(starts), "_range").withColumn(into, F.col("_start") + inside).drop("_range", "_at", "_start")
+    dealt = _ranges(settle(rows.withColumn("_row", F.monotonically_increasing_id()), "rows"), [*order, F.col("_row")], n, range_rows)
+    starts = _before(dealt.groupBy("_range").agg(F.count("*").alias("_n")), "_start")
+    return dealt.join(F.broadcast(starts), "_range").withColumn(into, F.col("_start") + F.col("_at")).drop("_row", "_range", "_at", "_start")
+
+
+def running_sum(rows: DataFrame, order: list[Column], column: str, into: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add `into`, the sum of a column up to and with each row, in an order that tells all
+    rows apart: inside a range by a window, over the ranges before it by their sums."""
+    n = rows.count()
+    upto = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if n <= range_rows:
+        return rows.withColumn(into, F.sum(column).over(upto(Window)))
+    dealt = _ranges(rows, order, n, range_rows)
+    starts = _before(dealt.groupBy("_range").agg(F.sum(column).alias("_n")), "_start")
+    own = dealt.withColumn("_own", F.sum(column).over(upto(Window.partitionBy("_range"))))
+    return own.join(F.broadcast(starts), "_range").withColumn(into, F.col("_start") + F.col("_own")).drop("_range", "_at", "_start", "_own")

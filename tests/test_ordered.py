@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from depthbook.operators.ordered import Ordered
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ def test_irange(data, inclusive):
 def test_search(data):
     rows, rel = data
     keys = [r[1] for r in rows]
+    assert rel.bisect_left({"v": 17}) == rel.bisect_left(17)
     assert rel.bisect_left(17) == sum(k < 17 for k in keys) and rel.bisect_right(17) == sum(k <= 17 for k in keys)
     assert rel.index(F.col("v") == 17) == keys.index(17) and rel.count_of(F.col("v") == 17) == keys.count(17)
     with pytest.raises(ValueError):
@@ -116,3 +118,80 @@ def test_discard_keeps_null_rows(spark):
     rows = Ordered.of(spark.createDataFrame([(1,), (1,), (None,)], "v int"), "v")
     assert sorted(r["v"] or 0 for r in rows.discard(rows.key == 1).rows.collect()) == [0]
     assert sorted(r["v"] or 0 for r in rows.discard(rows.key == 1, one=True).rows.collect()) == [0, 1]
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """9,000 rows in ranges of about 500: a key and a whole row that a third of them share."""
+    rng = random.Random(3)
+    rows = [(7, 0) if i % 3 == 0 else (7, i) if i % 3 == 1 else (rng.randrange(1000), i) for i in range(9000)]
+    made = spark.createDataFrame(rows, "v int, i int").repartition(4)
+    return sorted(rows), Ordered(made, F.col("v"), ("i",), range_rows=500)
+
+
+def test_ranks_of_a_hot_key(hot):
+    rows, rel = hot
+    ranked = rel.ranked()
+    assert [(r["v"], r["i"]) for r in ranked.orderBy("rank").collect()] == rows
+    assert sorted(r["rank"] for r in ranked.select("rank").collect()) == list(range(9000))
+    files = [f.removeprefix("file://") for f in ranked.inputFiles() if "/ranges-" in f]
+    sizes = [n for n in (pq.read_metadata(f).num_rows for f in files) if n]
+    assert len(sizes) >= 18 and max(sizes) < 2 * 500
+
+
+def test_slices_of_many_ranges(hot):
+    rows, rel = hot
+    for a, b, s in ((450, 1100, 1), (5, None, 701), (-20, -3, 2), (None, None, -899)):
+        assert [(r["v"], r["i"]) for r in rel.islice(a, b, s).collect()] == rows[a:b:s]
+    assert rel.index(F.col("v") == 7) == [v for v, _ in rows].index(7)
+    got, rest = rel.pop(4000)
+    assert tuple(got.first()) == rows[4000] and sorted(map(tuple, rest.rows.collect())) == rows[:4000] + rows[4001:]
+
+
+def test_bisect_through_the_key_function(spark, hot):
+    rows, _ = hot
+    made = spark.createDataFrame(rows, "v int, i int")
+    rel = Ordered(made, F.col("v") % 10, ("i",), range_rows=3)
+    keys = [v % 10 for v, _ in rows]
+    assert rel.key_of({"v": 123}) == 3
+    assert rel.bisect([{"v": 123}, {"v": 9}, {"v": 123}]) == {i: sum(k <= w for k in keys) for i, w in enumerate((3, 9, 3))}
+    assert rel.bisect_left({"v": 55}) == sum(k < 5 for k in keys) and rel.bisect_key([5], right=False) == {5: sum(k < 5 for k in keys)}
+    values = spark.createDataFrame([(1, 17), (2, 17), (3, 123), (4, 1008), (5, -5)], "n int, v int")
+    key = lambda v: v % 10 if v >= 0 else -(-v % 10)
+    got = {r["n"]: (r["lo"], r["hi"]) for r in rel.bisect_rows(values).collect()}
+    assert got == {n: (sum(k < key(v) for k in keys), sum(k <= key(v) for k in keys)) for n, v in ((1, 17), (2, 17), (3, 123), (4, 1008), (5, -5))}
+
+
+def test_views(spark):
+    make = lambda pairs: Ordered.of(spark.createDataFrame(pairs, "k string, v int"), "k", unique="key")
+    pairs = [(c, i % 3) for i, c in enumerate("abcdefgh")]
+    m, other = make(pairs), make([("c", 2), ("d", 9), ("z", 1)])
+    keys, items, values = m.keys(), m.items("v"), m.values("v")
+    plain = lambda rows: [tuple(r) for r in rows.collect()]
+    assert keys[0][0] == "a" and keys[-1][0] == "h" and tuple(items[2]) == ("c", 2) and values[4][0] == 1
+    for cut in (slice(2, 5), slice(None, None, -2), slice(-3, None), slice(6, 1, -3)):
+        assert plain(keys[cut]) == [(k,) for k, _ in pairs[cut]]
+        assert plain(items[cut]) == pairs[cut] and plain(values[cut]) == [(v,) for _, v in pairs[cut]]
+        want = list(pairs)
+        del want[cut]
+        assert sorted(plain(keys.delete(cut).rows)) == want
+    with pytest.raises(IndexError):
+        keys[8]
+    with pytest.raises(IndexError):
+        items.delete(-9)
+    assert len(values) == 8 and values.count_of(1) == 3 and values.index(2) == 2 and values.index(2, start=3) == 5
+    assert keys.contains("c") and not keys.contains("z") and items.contains("c", 2) and not items.contains("c", 1)
+    assert plain(keys.sorted(reverse=True))[0] == ("h",) and sorted(plain(items.delete(0).rows)) == pairs[1:]
+    own, more = {k for k, _ in pairs}, {"c", "d", "z"}
+    for got, want in ((keys & other.keys(), own & more), (keys | other.keys(), own | more), (keys - other.keys(), own - more), (keys ^ other.keys(), own ^ more)):
+        assert {r[0] for r in got.rows.collect()} == want
+    assert plain((items & other.items("v")).rows) == [("c", 2)] and not keys.isdisjoint(other.keys())
+    with pytest.raises(TypeError):
+        values & values
+
+
+def test_flags(spark):
+    make = lambda xs: Ordered.of(spark.createDataFrame([(x,) for x in xs], "v int"), "v", unique="row")
+    for a, b in (([1, 2], [1, 2, 3]), ([1], [2]), ([], []), ([], [1]), ([1, None], [None, 1])):
+        got = tuple(make(a).flags_frame(make(b)).first())
+        assert got == (set(a) <= set(b), set(a) >= set(b), set(a).isdisjoint(b))

@@ -39,13 +39,18 @@ def _tape(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     return events_tape(table(spark, sf_dir, "events"), shift)
 
 
-def _events(spark: SparkSession, sf_dir: str, shift: int = 0) -> tuple[DataFrame, DataFrame]:
+def _books(spark: SparkSession, sf_dir: str, shift: int = 0, **options) -> state.Books:
     tape = _tape(spark, sf_dir, shift)
-    return state.live_levels(tape, points_of(tape), in_order=True, collapsed=True)
+    return state.books(tape, points_of(tape), in_order=True, collapsed=True, **options)
 
 
-def _top(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
-    return state.top(*_events(spark, sf_dir, shift))
+def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = _books(spark, sf_dir)
+    return b.kept, state.live(b)
+
+
+def _top(spark: SparkSession, sf_dir: str, shift: int = 0, **options) -> DataFrame:
+    return state.tops(_books(spark, sf_dir, shift, **options))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -240,14 +245,14 @@ SELECT t.book_id, t.ts, CASE WHEN coalesce(there, 0) < {v} THEN 'inf'::DOUBLE EL
 
 @query(_slippage_sql("a", 60))
 def slippage_ask(spark, sf_dir):
-    kept, live = _events(spark, sf_dir)
-    return depth.slippage(kept, live, state.top(kept, live), "a", 60)
+    b = _books(spark, sf_dir)
+    return depth.slippage(b.kept, state.live(b), state.tops(b), "a", 60)
 
 
 @query(_slippage_sql("b", 60))
 def slippage_bid(spark, sf_dir):
-    kept, live = _events(spark, sf_dir)
-    return depth.slippage(kept, live, state.top(kept, live), "b", 60)
+    b = _books(spark, sf_dir)
+    return depth.slippage(b.kept, state.live(b), state.tops(b), "b", 60)
 
 
 # Slices and look-ups
@@ -261,14 +266,16 @@ def _micros(day: str) -> int:
 
 @query(f"WITH {_live()}{_TOP} SELECT book_id, ts, bid, ask FROM top WHERE ts BETWEEN {_FROM} AND {_TO}")
 def range_slice(spark, sf_dir):
-    return depth.time_slice(_top(spark, sf_dir), *map(_micros, RANGE)).select("book_id", "ts", "bid", "ask")
+    start, end = map(_micros, RANGE)
+    return _top(spark, sf_dir, start=start, end=end).select("book_id", "ts", "bid", "ask")
 
 
 @query(f"WITH {_live()}, last AS (SELECT book_id, max(ts) AS ts FROM pts GROUP BY ALL) SELECT book_id, ts, side, price, size FROM live SEMI JOIN last USING (book_id, ts)")
 def point_lookup(spark, sf_dir):
     """The whole book at one timestamp of each series: an exact match."""
-    kept, live = _events(spark, sf_dir)
-    return live.join(kept.groupBy("book_id").agg(F.max("ts").alias("ts")), ["book_id", "ts"], "left_semi")
+    tape = _tape(spark, sf_dir)
+    last = points_of(tape).groupBy("book_id").agg(F.max("ts").alias("ts"))
+    return state.live(state.books(tape, points_of(tape), in_order=True, collapsed=True, axis=last)).drop("chunk")
 
 
 @query("SELECT DISTINCT user_id % 10 AS book_id, epoch_us(ts) AS ts FROM events")
@@ -280,9 +287,8 @@ def timestamps(spark, sf_dir):
 def contains_ts(spark, sf_dir):
     """Whether the midnight of each event's day is a timestamp of the order books."""
     _, points = _orders(spark, sf_dir)
-    known = points.select("ts").distinct().withColumn("there", F.lit(True))
     days = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("book_id"), F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("ts")).distinct()
-    return days.join(known, "ts", "left").select("book_id", "ts", F.coalesce("there", F.lit(False)).alias("there"))
+    return depth.at_moments(points.select("ts"), days).select("book_id", "ts", "there")
 
 
 @query(f"WITH {_SNAPS}{_LEVELS} SELECT book_id, ts AS timestamp, side, level, price, size FROM levels")
@@ -375,7 +381,11 @@ both_ AS (SELECT book_id, ts, side, price, o.size AS old, n.size AS new FROM liv
 agg AS (SELECT book_id, ts, count(*) FILTER (side = 'b') AS n_bids, count(*) FILTER (side = 'a') AS n_asks, sum(coalesce(new, 0)) AS qty FROM both_ WHERE new IS NULL OR new <> coalesce(old, 0) GROUP BY ALL)
 SELECT p.book_id, p.ts, coalesce(n_bids, 0) AS n_bids, coalesce(n_asks, 0) AS n_asks, coalesce(qty, 0.0::DOUBLE) AS qty FROM pts p LEFT JOIN agg USING (book_id, ts)""")
 def series_diff(spark, sf_dir):
-    return flow.series_diff(_events(spark, sf_dir), _events(spark, sf_dir, 2)).select("book_id", "ts", "n_bids", "n_asks", "qty")
+    tapes = [_tape(spark, sf_dir, shift) for shift in (0, 2)]
+    a, b = map(points_of, tapes)
+    axis = a.join(b, ["book_id", "ts"], "left_semi").select("book_id", "ts")
+    left, right = (state.books(t, p, in_order=True, collapsed=True, axis=axis) for t, p in zip(tapes, (a, b)))
+    return flow.span_diff(left, right).select("book_id", "ts", "n_bids", "n_asks", "qty")
 
 
 # The mixed tape: snapshots and updates, late points, equal timestamps
@@ -415,7 +425,8 @@ def mixed_levels(spark, sf_dir):
 
 @query(f"WITH {_mixed('delta')}{_TOP} SELECT book_id, ts, bid, bidq, ask, askq FROM top")
 def mixed_top(spark, sf_dir):
-    return state.top(*_mixed_live(spark, sf_dir, "delta"))
+    tape = mixed_tape(table(spark, sf_dir, "events"))
+    return state.tops(state.books(tape, points_of(tape)))
 
 
 @query(f"WITH {_mixed('latest')} SELECT * FROM live")

@@ -265,7 +265,7 @@ class BookSeries:
             names = sorted({b["ts"] for b in self._batches})
             batches = self._batches if whole else [b | {"ts": names.index(b["ts"])} for b in self._batches]
             tape, points = from_batches(self.spark, batches)
-            kept, live = state.live_levels(tape, points, self.mode, width=1 << 20)
+            kept, live = state.live_levels(tape, points, self.mode, dense=True)
             if not whole:
                 shown = self.spark.createDataFrame([(Decimal(i), float(t)) for i, t in enumerate(names)], "ts decimal(38,0), _ts double")
                 kept, live = (f.join(F.broadcast(shown), "ts").withColumn("ts", F.col("_ts")).drop("_ts") for f in (kept, live))
@@ -294,7 +294,7 @@ class BookSeries:
 
     def _book(self, ts: Any) -> Book:
         b = Book(self.spark, f"{self.name}@{ts}", self.tick_size)
-        b.timestamp, b._frame = ts, self.live.where(F.col("ts") == moment(ts)).select("side", "price", "size")
+        b.timestamp, b._frame = ts, depth.at_moment(self.live, ts).select("side", "price", "size")
         return b
 
     def get_at_timestamp(self, timestamp: Any) -> Book | None:
@@ -310,7 +310,7 @@ class BookSeries:
         return self.get_range(at.start, at.stop) if isinstance(at, slice) else self.get_at_timestamp(at)
 
     def __contains__(self, timestamp: Any) -> bool:
-        return bool(self.kept.where(F.col("ts") == moment(timestamp)).limit(1).count())
+        return bool(depth.at_moment(self.kept, timestamp).limit(1).count())
 
     def __iter__(self) -> Iterator[Book]:
         return (self._book(t) for t in self.timestamps)

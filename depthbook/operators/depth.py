@@ -6,24 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthbook.functions import metrics
+from depthbook.plans.state import in_time, point_keys
 from depthbook.schema import INF, moment, sort_price
 
 
 def with_depth(levels: DataFrame) -> DataFrame:
     """Add `depth`, the levels of the row's side, for negative indices."""
-    return levels.withColumn("depth", F.count("*").over(Window.partitionBy("book_id", "ts", "side")))
+    return levels.withColumn("depth", F.count("*").over(Window.partitionBy(*point_keys(levels), "side")))
 
 
 def with_best(levels: DataFrame) -> DataFrame:
     """Add `best`, the best price of the row's side."""
-    w = Window.partitionBy("book_id", "ts", "side")
+    w = Window.partitionBy(*point_keys(levels), "side")
     return levels.withColumn("best", F.when(F.col("side") == "b", F.max("price").over(w)).otherwise(F.min("price").over(w)))
 
 
 def per_point(kept: DataFrame, levels: DataFrame, **columns) -> DataFrame:
     """Aggregate levels by point; points without levels get 0.0."""
-    agg = levels.groupBy("book_id", "ts").agg(*[c.alias(n) for n, c in columns.items()])
-    return kept.join(agg, ["book_id", "ts"], "left").select("book_id", "ts", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in columns])
+    agg = levels.groupBy(*point_keys(levels)).agg(*[c.alias(n) for n, c in columns.items()])
+    return kept.join(agg.drop("chunk"), ["book_id", "ts"], "left").select("book_id", "ts", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in columns])
 
 
 def slippage(kept: DataFrame, live: DataFrame, top: DataFrame, side: str, volume: float) -> DataFrame:
@@ -35,15 +36,15 @@ def slippage(kept: DataFrame, live: DataFrame, top: DataFrame, side: str, volume
     if side not in ("a", "ask", "b", "bid"):
         raise ValueError(f"side must be midprice, a, ask, b or bid, not {side!r}")
     s = side[0]
-    run = Window.partitionBy("book_id", "ts").orderBy(sort_price()).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*point_keys(live)).orderBy(sort_price()).rowsBetween(Window.unboundedPreceding, 0)
     v = F.lit(float(volume))
     part = live.where(F.col("side") == s).withColumn("cum", F.sum("size").over(run))
     take = F.greatest(F.lit(0.0), F.least(F.col("size"), v - (F.col("cum") - F.col("size"))))
-    filled = part.withColumn("take", take).groupBy("book_id", "ts").agg(F.sum(F.col("take") * F.col("price")).alias("cost"), F.max("cum").alias("there"))
+    filled = part.withColumn("take", take).groupBy(*point_keys(live)).agg(F.sum(F.col("take") * F.col("price")).alias("cost"), F.max("cum").alias("there"))
     mid = metrics.midprice()
     signed = F.col("cost") / v - mid if s == "a" else mid - F.col("cost") / v
     thin = F.coalesce(F.col("there"), F.lit(0.0)) < v
-    return kept.join(top, ["book_id", "ts"]).join(filled, ["book_id", "ts"], "left").select("book_id", "ts", F.when(thin, F.lit(INF)).otherwise(signed).alias("slippage"))
+    return kept.join(top, ["book_id", "ts"]).join(filled.drop("chunk"), ["book_id", "ts"], "left").select("book_id", "ts", F.when(thin, F.lit(INF)).otherwise(signed).alias("slippage"))
 
 
 def export(levels: DataFrame, start=None, end=None) -> DataFrame:
@@ -52,10 +53,20 @@ def export(levels: DataFrame, start=None, end=None) -> DataFrame:
     return rows.orderBy("book_id", "ts", F.desc("side"), "level").select("book_id", F.col("ts").alias("timestamp"), "side", "level", "price", "size")
 
 
-def time_slice(df: DataFrame, start=None, end=None) -> DataFrame:
-    if start is not None:
-        df = df.where(F.col("ts") >= moment(start))
-    return df.where(F.col("ts") <= moment(end)) if end is not None else df
+time_slice = in_time
+
+
+def at_moments(points: DataFrame, moments: DataFrame) -> DataFrame:
+    """`moments` (book_id, ts) with `there`: whether the series has a book at exactly that
+    timestamp. Without a book_id in `points` or `moments`, any of the series."""
+    keys = ["book_id", "ts"] if "book_id" in points.columns and "book_id" in moments.columns else ["ts"]
+    known = points.select(*keys).distinct().withColumn("there", F.lit(True))
+    return moments.join(known, keys, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def at_moment(rows: DataFrame, ts) -> DataFrame:
+    """The rows of points, levels or tops at exactly one timestamp."""
+    return rows.where(F.col("ts") == moment(ts))
 
 
 def split_budget(levels: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthbook.plans.state import chunk_width, place
+from depthbook.plans import ranks
+from depthbook.plans.state import Books, met, numbered, place
 from depthbook.schema import side_long, sort_price
 from depthbook.sources.tape import last_writes
 
@@ -23,7 +24,7 @@ def flow_rows(tape: DataFrame, points: DataFrame, updates_only: bool = False) ->
         d = F.col("size") - F.coalesce(F.lag("size").over(key), F.lit(0.0))
         moved = rows.withColumn("_d", d).join(first, "book_id").where("seq > _first")
         return moved.select("book_id", "seq", F.greatest("_d", F.lit(0.0)).alias("arrivals"), F.greatest(-F.col("_d"), F.lit(0.0)).alias("cancels"))
-    placed = place(points, chunk_width(points))
+    placed = place(numbered(points))
     last = placed.groupBy("book_id").agg(F.max("epoch").alias("_last"))
     r = rows.join(placed.select("book_id", "seq", "epoch"), ["book_id", "seq"]).join(first, "book_id").join(last, "book_id")
     for n, f in (("p", F.lag), ("n", F.lead)):
@@ -54,9 +55,11 @@ def series_extent(kept: DataFrame) -> DataFrame:
 
 
 def consecutive(kept: DataFrame) -> DataFrame:
-    """(book_id, ts, next_ts) of neighbouring points."""
-    w = Window.partitionBy("book_id").orderBy("ts")
-    return kept.select("book_id", "ts", F.lead("ts").over(w).alias("next_ts")).where("next_ts is not null")
+    """(book_id, ts, next_ts) of neighbouring points: a point meets the one of the next
+    rank, so no book is one window."""
+    r = ranks.number(kept.select("book_id", "ts"), [F.col("book_id"), F.col("ts")], "_r")
+    after = r.select("book_id", (F.col("_r") - 1).alias("_r"), F.col("ts").alias("next_ts"))
+    return r.join(after, ["book_id", "_r"]).select("book_id", "ts", "next_ts")
 
 
 def compare(old: DataFrame, new: DataFrame, keys: list[str], absent: str = "zero") -> DataFrame:
@@ -78,15 +81,46 @@ def in_diff_order(diff: DataFrame) -> DataFrame:
     return diff.orderBy(F.desc("side"), "is_delete", sort_price()).select(side_long(F.col("side")).alias("side"), "price", "size")
 
 
+def _delta_columns(rows: DataFrame, both: DataFrame) -> DataFrame:
+    """Deltas (book_id, ts, side, price, size) gathered by point, over all points."""
+    keys = ["book_id", "ts"]
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(sort_price().alias("at"), "price", "size"))))
+    many = lambda s: F.count(F.when(F.col("side") == s, 1))
+    per = rows.groupBy(*keys).agg(side("b").alias("bids"), side("a").alias("asks"), many("b").alias("n_bids"), many("a").alias("n_asks"), F.sum("size").alias("qty"))
+    flat = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_bids", "n_asks")]
+    return both.join(per, keys, "left").select(*keys, flat("bids").alias("bids"), flat("asks").alias("asks"), F.coalesce("qty", F.lit(0.0)).alias("qty"), *zero)
+
+
 def series_diff(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Per timestamp that both series have: (book_id, ts, n_bids, n_asks, qty) and the
     deltas as arrays of (price, size), best first; empty where nothing changes."""
     both = left[0].join(right[0], ["book_id", "ts"])
     keys = ["book_id", "ts"]
     a, b = (live.join(both, keys, "left_semi") for live in (left[1], right[1]))
-    rows = compare(a, b, keys)
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(sort_price().alias("at"), "price", "size"))))
-    per = rows.groupBy(*keys).agg(side("b").alias("bids"), side("a").alias("asks"), F.sum("size").alias("qty"))
-    flat = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")))
-    out = both.join(per, keys, "left").select(*keys, flat("bids").alias("bids"), flat("asks").alias("asks"), F.coalesce("qty", F.lit(0.0)).alias("qty"))
-    return out.withColumn("n_bids", F.size("bids").cast("long")).withColumn("n_asks", F.size("asks").cast("long"))
+    return _delta_columns(compare(a, b, keys), both)
+
+
+def span_diff(left: Books, right: Books) -> DataFrame:
+    """As series_diff, of books over one axis of points and without late ones.
+
+    The spans of both series are spliced price by price into stretches of one pair of
+    sizes; only stretches where the two differ are met with the points.
+    """
+    keys = ["book_id", "side", "price"]
+    sides = {"a": left.spans, "b": right.spans}
+
+    def changes(name: str) -> DataFrame:
+        """Where a span of one side begins (its size) and ends (null)."""
+        edge = lambda at, size: sides[name].select(*keys, F.col(at).alias("no"), *[F.lit(True if s == name else None).cast("boolean").alias(f"on_{s}") for s in "ab"], *[(size if s == name else F.lit(None)).cast("double").alias(s) for s in "ab"])
+        return edge("vf", F.col("size")).union(edge("vt", F.lit(None)))
+
+    # where a span ends and the next begins the beginning counts: an end has no size
+    both = changes("a").union(changes("b")).groupBy(*keys, "no").agg(*[F.max(c).alias(c) for c in ("on_a", "on_b", "a", "b")])
+    w = Window.partitionBy(*keys).orderBy("no")
+    now = [F.last(F.when(F.col(f"on_{s}"), F.struct(s)), True).over(w)[s].alias(f"_{s}") for s in "ab"]
+    pieces = both.select(*keys, F.col("no").alias("vf"), F.lead("no").over(w).alias("vt"), *now)
+    gone = F.col("_b").isNull() & F.col("_a").isNotNull()
+    changed = F.col("_b").isNotNull() & (F.col("_b") != F.coalesce("_a", F.lit(0.0)))
+    unequal = pieces.where("vf < vt").where(gone | changed).select(*keys, F.coalesce("_b", F.lit(0.0)).alias("size"), "vf", "vt")
+    return _delta_columns(met(left.points, unequal), left.kept)

@@ -1,29 +1,51 @@
 """State reconstruction: the book at every point of a tape.
 
-Every level is valid on an interval of arrival numbers, from the row that sets it to the
-next row of its price (or the next snapshot). A point's book is the intervals that hold
-its arrival number. The interval join is an equi join on (book, chunk), a chunk being a
-stretch of arrival numbers of bounded population: intervals are cut at chunk borders, so
-the range test is a residual over a few hundred rows, whatever the tape's length, and a
-hot book is many keys.
+The points of a book are numbered in order of arrival. A level is valid on a span of
+numbers, from the row that sets it to the next row of its price (or the next snapshot),
+and a point's book is the spans that hold its number. Two joins find them, both equi joins
+whose keys hold a bounded number of points however a book's points lie in time, so a hot
+book is many keys:
+
+* whole books (`live`): numbers are cut into chunks of CHUNK_POINTS, spans at the borders
+  of chunks, and the range test is a residual;
+* best prices (`tops`): a span is the union of a few nodes of a tree over the numbers (FAN
+  nodes of one level make one of the next), each node knows the best prices of the spans
+  that have it, and a point asks the one node of each level that holds it. This costs the
+  same at any depth of the book.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthbook.schema import sort_price
+from depthbook.plans import ranks
+from depthbook.plans.shared import settle
+from depthbook.schema import moment, sort_price
 from depthbook.sources.tape import last_writes
 
-#: Points in a chunk, about.
-CHUNK_POINTS = 256
+#: Points in a chunk; nodes in a node of the next level.
+CHUNK_POINTS, FAN = 256, 8
+COLUMNS = ("book_id", "ts", "side", "price", "size")
+
+
+def numbered(points: DataFrame, dense: bool = False) -> DataFrame:
+    """Points with `no`, their number in their book in order of arrival, from 0, and the
+    chunk of that number. `dense` promises that seq is that number."""
+    if dense:
+        p = points.withColumn("no", F.col("seq"))
+    else:
+        r = ranks.number(points, [F.col("book_id"), F.col("seq")], "_r")
+        p = r.join(r.groupBy("book_id").agg(F.min("_r").alias("_first")), "book_id").withColumn("no", F.col("_r") - F.col("_first")).drop("_r", "_first")
+        p = settle(p, "points")
+    return p.withColumn("chunk", _part("no", CHUNK_POINTS))
 
 
-def chunk_width(points: DataFrame, chunk_points: int = CHUNK_POINTS) -> int:
-    """Arrival numbers in a chunk, so that a book has about chunk_points points in it."""
-    lo, hi, n, books = points.agg(F.min("seq"), F.max("seq"), F.count("*"), F.approx_count_distinct("book_id")).first()
-    return 1 if not n else max(1, int((hi - lo + 1) * chunk_points * max(1, books) // n))
+def _part(no: str, width: int) -> Column:
+    return F.floor(F.col(no) / width).cast("long")
 
 
 def running(points: DataFrame, column: str, how: str, into: str, before: bool = False, by: tuple[str, ...] = ("book_id",)) -> DataFrame:
@@ -41,13 +63,13 @@ def running(points: DataFrame, column: str, how: str, into: str, before: bool =
     return own.withColumn(into, both).drop("_own", "_before")
 
 
-def place(points: DataFrame, width: int, mode: str = "delta") -> DataFrame:
-    """Points with chunk, epoch (snapshots among the records so far) and record.
+def place(points: DataFrame, mode: str = "delta") -> DataFrame:
+    """Numbered points with epoch (snapshots among the records so far) and record.
 
     A record is a point that the next update builds on: one at or after every earlier
     timestamp. In `latest` mode a snapshot forgets what came before it.
     """
-    p = points.withColumn("chunk", F.floor(F.col("seq") / width).cast("long"))
+    p = points
     if mode == "latest":
         p = running(p.withColumn("_s", (F.col("kind") == "s").cast("long")), "_s", "sum", "reset").drop("_s")
         p = running(p, "ts", "max", "_max", before=True, by=("book_id", "reset"))
@@ -67,72 +89,172 @@ def survivors(placed: DataFrame, mode: str = "delta") -> DataFrame:
     return placed.join(placed.groupBy("book_id", "ts").agg(F.max("seq").alias("seq")), ["book_id", "ts", "seq"], "left_semi")
 
 
-def intervals(rows: DataFrame, width: int, ends: DataFrame | None, last_seq: int) -> DataFrame:
-    """Live levels of record rows as (book_id, epoch, chunk, side, price, size, vf, vt),
-    one row for each chunk that an interval meets.
+def in_time(points: DataFrame, start: Any = None, end: Any = None) -> DataFrame:
+    """Rows within a time range, both ends inclusive, None open."""
+    points = points.where(F.col("ts") >= moment(start)) if start is not None else points
+    return points.where(F.col("ts") <= moment(end)) if end is not None else points
+
+
+@dataclass(frozen=True)
+class Books:
+    """points: those kept, (book_id, ts, no, chunk, record). spans: (book_id, side, price,
+    size, vf, vt), the numbers from vf to before vt. own: rows of points that are no
+    records, on top of the spans (updates) or alone (snapshots)."""
+
+    points: DataFrame
+    spans: DataFrame
+    own: DataFrame | None = None
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.points.select("book_id", "ts")
+
+
+def _spans(rows: DataFrame, ends: DataFrame | None, bounds: DataFrame) -> DataFrame:
+    """Spans of record rows (book_id, seq, no, epoch, side, price, size, kind) within each
+    book's bounds (book_id, lo, hi); a book without bounds has none.
 
     Tombstones end the level before them and then go; zero sizes of snapshots stay.
     """
     key = Window.partitionBy("book_id", "epoch", "side", "price").orderBy("seq")
-    iv = rows.withColumn("vt", F.lead("seq").over(key)).where("not (kind = 'u' and size = 0)").withColumnRenamed("seq", "vf")
+    r = rows.join(bounds, "book_id").where("no < hi").withColumn("vt", F.lead("no").over(key)).where("not (kind = 'u' and size = 0)")
     if ends is not None:
-        iv = iv.join(ends, ["book_id", "epoch"], "left").withColumn("vt", F.coalesce("vt", "epoch_end")).drop("epoch_end")
-    iv = iv.withColumn("vt", F.coalesce("vt", F.lit(last_seq + 1)))
-    first, last = F.floor(F.col("vf") / width), F.floor((F.col("vt") - 1) / width)
-    return iv.select("book_id", "epoch", "side", "price", "size", "vf", "vt", F.explode(F.sequence(first, last)).alias("chunk"))
+        r = r.join(ends, ["book_id", "epoch"], "left").withColumn("vt", F.coalesce("vt", "epoch_end"))
+    r = r.withColumn("vt", F.least(F.coalesce("vt", "hi"), "hi"))
+    return r.select("book_id", "side", "price", "size", F.greatest("no", "lo").alias("vf"), "vt").where("vf < vt")
 
 
-def live_levels(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: bool = False, collapsed: bool = False, width: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points kept, live levels (book_id, ts, side, price, size)) of a tape.
+def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: bool = False, collapsed: bool = False, dense: bool = False, start: Any = None, end: Any = None, axis: DataFrame | None = None) -> Books:
+    """The books of a tape at the points that its series keep, of a time range if one is
+    given, or at exactly the points (book_id, ts) of an `axis`: what no such point can see
+    is left out before anything is joined.
 
     `in_order` promises that arrival and timestamp order agree, with unique timestamps
     and updates only; it saves the passes that find records and epochs. `collapsed`
-    promises one tape row per (batch, side, price).
+    promises one tape row per (batch, side, price). Of an axis the points that the tape has
+    are kept, and they alone are numbered.
     """
     rows = tape if collapsed else last_writes(tape)
-    if in_order:
-        width = width or chunk_width(points)
-        last_seq = points.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        p = points.select("book_id", "seq", "ts", F.floor(F.col("seq") / width).alias("chunk"))
-        iv = intervals(rows.withColumn("epoch", F.lit(0)), width, None, last_seq).drop("epoch")
-        met = p.join(iv, ["book_id", "chunk"]).where("vf <= seq and seq < vt")
-        return points.select("book_id", "ts"), met.select("book_id", "ts", "side", "price", "size")
-    if set(points.select("kind").distinct().toPandas()["kind"]) == {"s"}:
-        # snapshots alone: every point is its own rows
+    rows = rows.select("book_id", "seq", "side", "price", "size", "kind")
+    p = numbered(points, dense)
+    placed = p.withColumns({"epoch": F.lit(0), "record": F.lit(True)}) if in_order else place(p, mode)
+    kept = in_time(placed if in_order else survivors(placed, mode), start, end)
+    if axis is not None:
+        # numbers that count the axis' points alone: between two of them nothing is seen
+        kept = kept.join(axis.select("book_id", "ts").distinct(), ["book_id", "ts"], "left_semi")
+        on = placed.join(kept.select("book_id", "seq", F.lit(1).alias("_on")), ["book_id", "seq"], "left").withColumn("_on", F.coalesce("_on", F.lit(0)))
+        placed = running(on, "_on", "sum", "_upto").withColumn("no", F.col("_upto") - F.col("_on")).withColumn("chunk", _part("no", CHUNK_POINTS)).drop("_upto")
+        kept, placed = placed.where("_on = 1").drop("_on"), placed.drop("_on")
+    ends = None if in_order else placed.where("record and kind = 's'").select("book_id", (F.col("epoch") - 1).alias("epoch"), F.col("no").alias("epoch_end"))
+    marked = rows.join(placed.select("book_id", "seq", "no", "epoch", "record"), ["book_id", "seq"])
+    own = None if in_order else marked.where("not record").join(kept.select("book_id", "seq", "ts", "chunk"), ["book_id", "seq"])
+    # a late snapshot stands on nothing
+    no = F.col("no") if in_order else F.when(F.col("record") | (F.col("kind") == "u"), F.col("no"))
+    kept = kept.select("book_id", "ts", no.alias("no"), "chunk", "record")
+    bounds = kept.groupBy("book_id").agg(F.min("no").alias("lo"), (F.max("no") + 1).alias("hi"))
+    return Books(kept, _spans(marked.where("record"), ends, bounds), own)
+
+
+def met(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(book_id, chunk, ts, side, price, size) of each point and each span that holds it."""
+    first, last = _part("vf", CHUNK_POINTS), F.floor((F.col("vt") - 1) / CHUNK_POINTS).cast("long")
+    cut = spans.withColumn("chunk", F.explode(F.sequence(first, last)))
+    pairs = points.select("book_id", "chunk", "no", "ts").join(cut, ["book_id", "chunk"]).where("vf <= no and no < vt")
+    return pairs.select("book_id", "chunk", "ts", "side", "price", "size")
+
+
+def live(b: Books) -> DataFrame:
+    """Live levels (book_id, chunk, ts, side, price, size) of every point; the rows of a
+    point have one chunk, by which they are dealt."""
+    if b.own is None:
+        return met(b.points, b.spans)
+    return met(b.points.where("record"), b.spans).unionByName(_late(b))
+
+
+def _late(b: Books) -> DataFrame:
+    """Live levels of the points that are no records: the last record's, under their own."""
+    base = met(b.points.where("not record and no is not null"), b.spans)
+    base = base.join(b.own.select("book_id", "ts", "side", "price"), ["book_id", "ts", "side", "price"], "left_anti")
+    own = b.own.where("not (kind = 'u' and size = 0)")
+    return base.unionByName(own.select(*base.columns))
+
+
+def snapshots_alone(points: DataFrame) -> bool:
+    return not points.where("kind <> 's'").limit(1).count()
+
+
+def live_levels(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: bool = False, collapsed: bool = False, dense: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(points kept, live levels (book_id, ts, side, price, size)) of a tape; see books()."""
+    if not in_order and snapshots_alone(points):
+        # every point is its own rows
         kept = points.join(points.groupBy("book_id", "ts").agg(F.max("seq").alias("seq")), ["book_id", "ts", "seq"], "left_semi")
         if mode == "latest":
             kept = kept.join(points.groupBy("book_id").agg(F.max("seq").alias("seq")), ["book_id", "seq"], "left_semi")
-        return kept.select("book_id", "ts"), rows.join(kept.select("book_id", "seq"), ["book_id", "seq"], "left_semi").select("book_id", "ts", "side", "price", "size")
-    width = width or chunk_width(points)
-    last_seq = points.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    placed = place(points, width, mode)
-    kept = survivors(placed, mode)
-    marked = rows.select("book_id", "seq", "side", "price", "size", "kind").join(placed.select("book_id", "seq", "epoch", "record"), ["book_id", "seq"])
-    ends = placed.where("record and kind = 's'").select("book_id", (F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("epoch_end"))
-    iv = intervals(marked.where("record").drop("record"), width, ends, last_seq)
-    based = kept.where("record or kind = 'u'").select("book_id", "epoch", "chunk", "seq", "ts", "record")
-    met = based.join(iv, ["book_id", "epoch", "chunk"]).where("vf <= seq and seq < vt")
-    # a late update stands on the last record, under its own rows
-    own = marked.where("not record").join(kept.select("book_id", "seq", "ts"), ["book_id", "seq"])
-    late = met.where("not record").join(own.select("book_id", "seq", "side", "price"), ["book_id", "seq", "side", "price"], "left_anti")
-    cols = ("book_id", "ts", "side", "price", "size")
-    live = met.where("record").select(*cols).union(late.select(*cols)).union(own.where("not (kind = 'u' and size = 0)").select(*cols))
-    return kept.select("book_id", "ts"), live
+        rows = tape if collapsed else last_writes(tape)
+        return kept.select("book_id", "ts"), rows.join(kept.select("book_id", "seq"), ["book_id", "seq"], "left_semi").select(*COLUMNS)
+    b = books(tape, points, mode, in_order, collapsed, dense)
+    return b.kept, live(b).select(*COLUMNS)
+
+
+def point_keys(df: DataFrame) -> list[str]:
+    """What tells points apart: with their chunk, so that rows dealt by it stay there."""
+    return ["book_id", *(["chunk"] if "chunk" in df.columns else []), "ts"]
 
 
 def levels(live: DataFrame) -> DataFrame:
     """Live levels numbered best first: (book_id, ts, side, level, price, size)."""
-    w = Window.partitionBy("book_id", "ts", "side").orderBy(sort_price())
-    return live.select("book_id", "ts", "side", (F.row_number().over(w) - 1).alias("level"), "price", "size")
+    keys = point_keys(live)
+    w = Window.partitionBy(*keys, "side").orderBy(sort_price())
+    return live.select(*keys, "side", (F.row_number().over(w) - 1).alias("level"), "price", "size")
 
 
-def top(kept: DataFrame, live: DataFrame) -> DataFrame:
-    """Best price and size of both sides of every point kept; 0.0 for an empty side."""
+def _best() -> list[Column]:
     bid, ask = F.col("side") == "b", F.col("side") == "a"
-    best = live.groupBy("book_id", "ts").agg(
+    return [
         F.max(F.when(bid, F.col("price"))).alias("bid"),
         F.max_by(F.when(bid, F.col("size")), F.when(bid, F.col("price"))).alias("bidq"),
         F.min(F.when(ask, F.col("price"))).alias("ask"),
         F.min_by(F.when(ask, F.col("size")), F.when(ask, F.col("price"))).alias("askq"),
-    )
-    return kept.join(best, ["book_id", "ts"], "left").select("book_id", "ts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bid", "bidq", "ask", "askq")])
+    ]
+
+
+def _filled() -> list[Column]:
+    return [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bid", "bidq", "ask", "askq")]
+
+
+def top(kept: DataFrame, live: DataFrame) -> DataFrame:
+    """Best price and size of both sides of every point kept; 0.0 for an empty side."""
+    best = live.groupBy("book_id", "ts").agg(*_best())
+    return kept.join(best, ["book_id", "ts"], "left").select("book_id", "ts", *_filled())
+
+
+def _nodes(height: int) -> Column:
+    """The nodes (level, node) that a span [vf, vt) is the union of, in a tree of `height`
+    levels: of each level those that no node of the next level covers."""
+    at = lambda f, c, k: f(F.col(c) / FAN**k).cast("long")
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
+    found = []
+    for k in range(height):
+        a, b, up_a, up_b = at(F.ceil, "vf", k), at(F.floor, "vt", k), at(F.ceil, "vf", k + 1), at(F.floor, "vt", k + 1)
+        some = run(a, b) if k == height - 1 else F.when(up_a < up_b, F.concat(run(a, up_a * FAN), run(up_b * FAN, b))).otherwise(run(a, b))
+        found.append(F.transform(some, lambda n: F.struct(F.lit(k).alias("level"), n.alias("node"))))  # noqa: B023  (called at once)
+    return F.concat(*found)
+
+
+def tops(b: Books) -> DataFrame:
+    """Best price and size of both sides of every point kept; 0.0 for an empty side.
+
+    Costs a few rows for each span and one for each point and level of the tree, whatever
+    the depth of the books.
+    """
+    most = b.points.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0] + 1
+    height = 1
+    while FAN**height < most:
+        height += 1
+    nodes = b.spans.select("book_id", "side", "price", "size", F.inline(_nodes(height))).groupBy("book_id", "level", "node").agg(*_best())
+    record = b.points.where("record") if b.own is not None else b.points
+    path = F.array(*[F.struct(F.lit(k).alias("level"), _part("no", FAN**k).alias("node")) for k in range(height)])
+    asked = record.select("book_id", "ts", F.inline(path)).join(nodes, ["book_id", "level", "node"], "left")
+    best = asked.groupBy("book_id", "ts").agg(F.max("bid").alias("bid"), F.max_by("bidq", "bid").alias("bidq"), F.min("ask").alias("ask"), F.min_by("askq", "ask").alias("askq"))
+    best = best.select("book_id", "ts", *_filled())
+    return best if b.own is None else best.unionByName(top(b.points.where("not record").select("book_id", "ts"), _late(b)))

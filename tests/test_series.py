@@ -1,12 +1,14 @@
 """Series: documented example, retention modes, and random tapes against a dict model."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from depthbook.engine import BookSeries
-from depthbook.operators import flow
+from depthbook.operators import depth, flow
 from depthbook.plans import state
 from depthbook.sources.tape import from_books
+from pyspark.sql import functions as F
 
 T = [1770990337346989262321, 1770990337346989262322, 1770990337346989262323]
 
@@ -106,7 +108,7 @@ def tape(rng, ordered):
 
 
 @pytest.mark.parametrize("mode", ["delta", "latest"])
-def test_random_tapes(spark, mode):
+def test_random_tapes(spark, mode, monkeypatch):
     """Many random tapes at once, each a book of its own."""
     rng, expected, books, points = random.Random(3), set(), {}, set()
     for book in range(60):
@@ -116,10 +118,14 @@ def test_random_tapes(spark, mode):
             points.add((book, ts))
             expected |= {(book, ts, s, float(p), float(q)) for (s, p), q in levels.items()}
     t, p = from_books(spark, books)
-    for width in (3, None):
-        kept, live = state.live_levels(t, p, mode, width=width)
+    for width, fan in ((3, 2), (256, 8)):
+        monkeypatch.setattr(state, "CHUNK_POINTS", width)
+        monkeypatch.setattr(state, "FAN", fan)
+        kept, live = state.live_levels(t, p, mode)
         assert {(r[0], int(r[1])) for r in kept.collect()} == points
         assert {(r[0], int(r[1]), *r[2:]) for r in live.collect()} == expected
+        plain = lambda df: sorted((r["book_id"], int(r["ts"]), r["bid"], r["bidq"], r["ask"], r["askq"]) for r in df.collect())
+        assert plain(state.tops(state.books(t, p, mode))) == plain(state.top(kept, live))
 
 
 def test_random_flow(spark):
@@ -137,3 +143,46 @@ def test_random_flow(spark):
     t, p = from_books(spark, tapes)
     got = {r["book_id"]: (r["arrivals"], r["cancels"]) for r in flow.flow_by_book(t, p).collect()}
     assert got == expected
+
+
+def test_slices_and_moments_read_their_part(spark, monkeypatch):
+    """Books of a range or of single moments equal those of the whole, from fewer spans."""
+    rng = random.Random(11)
+    tapes = {book: tape(rng, True) + [{"kind": "u", "ts": 100 + i, "rows": [(rng.choice("ba"), rng.randint(1, 5), rng.randint(0, 3))]} for i in range(300)] for book in range(3)}
+    t, p = from_books(spark, tapes)
+    monkeypatch.setattr(state, "CHUNK_POINTS", 16)
+    whole = state.books(t, p)
+    rows = lambda df, *where: sorted((r["book_id"], int(r["ts"]), r["side"], r["price"], r["size"]) for r in df.where(F.expr(*where) if where else F.lit(True)).collect())
+    part = state.books(t, p, start=150, end=160)
+    assert rows(state.live(part)) == rows(state.live(whole), "ts between 150 and 160") and rows(state.live(part))
+    moments = p.where("ts in (120, 333)").select("book_id", "ts").union(spark.createDataFrame([(0, Decimal(7777))], "book_id long, ts decimal(38,0)"))
+    at = state.books(t, p, axis=moments)
+    assert rows(state.live(at)) == rows(state.live(whole), "ts in (120, 333)")
+    assert at.spans.count() < 2 * 3 * 10 and part.spans.count() < whole.spans.count() / 5
+    there = {(r["book_id"], int(r["ts"])): r["there"] for r in depth.at_moments(whole.kept, moments).collect()}
+    assert there == {(b, ts): True for b in range(3) for ts in (120, 333)} | {(0, 7777): False}
+
+
+def test_chunks_of_points_that_lie_close(spark):
+    """Nine points of ten in a hundredth of the arrival numbers: chunks hold alike many."""
+    seqs = sorted({*range(10_000, 10_900), *range(0, 90_000, 900)})
+    points = spark.createDataFrame([(b, s, Decimal(s), "u") for b in (1, 2) for s in seqs], "book_id long, seq long, ts decimal(38,0), kind string")
+    sizes = [r["count"] for r in state.numbered(points).groupBy("book_id", "chunk").count().collect()]
+    assert max(sizes) == state.CHUNK_POINTS and sum(sizes) == 2 * len(seqs)
+
+
+def test_span_diff_equals_the_diff_of_books(spark, monkeypatch):
+    """Two series over different points: only timestamps of both count."""
+    rng = random.Random(12)
+    left, right = ({b: [x for x in tape(rng, True) + tape(rng, True)] for b in range(25)} for _ in range(2))
+    for tapes in (left, right):
+        for batches in tapes.values():
+            for i, x in enumerate(batches):
+                x["ts"] = 2 * i + (rng.random() < 0.3)
+    (t1, p1), (t2, p2) = (from_books(spark, x) for x in (left, right))
+    monkeypatch.setattr(state, "CHUNK_POINTS", 4)
+    axis = p1.join(p2, ["book_id", "ts"], "left_semi").select("book_id", "ts")
+    got = flow.span_diff(*(state.books(t, p, axis=axis) for t, p in ((t1, p1), (t2, p2))))
+    want = flow.series_diff(*(state.live_levels(t, p) for t, p in ((t1, p1), (t2, p2))))
+    plain = lambda df: sorted((r["book_id"], int(r["ts"]), r["n_bids"], r["n_asks"], r["qty"], r["bids"], r["asks"]) for r in df.collect())
+    assert plain(got) == plain(want) and any(r["n_bids"] for r in want.collect())

@@ -11,6 +11,7 @@ from depthbook.functions import metrics
 from depthbook.operators import depth, flow
 from depthbook.operators.ordered import Ordered
 from depthbook.plans import state
+from depthbook.plans.shared import settle
 from depthbook.sources.tape import STEP, events_tape, mixed_tape, orders_tape, points_of, table
 from depthbook.streaming import maintainer
 
@@ -383,7 +384,7 @@ SELECT p.book_id, p.ts, coalesce(n_bids, 0) AS n_bids, coalesce(n_asks, 0) AS n_
 def series_diff(spark, sf_dir):
     tapes = [_tape(spark, sf_dir, shift) for shift in (0, 2)]
     a, b = map(points_of, tapes)
-    axis = a.join(b, ["book_id", "ts"], "left_semi").select("book_id", "ts")
+    axis = settle(a.join(b, ["book_id", "ts"], "left_semi").select("book_id", "ts"), "axis")
     left, right = (state.books(t, p, in_order=True, collapsed=True, axis=axis) for t, p in zip(tapes, (a, b)))
     return flow.span_diff(left, right).select("book_id", "ts", "n_bids", "n_asks", "qty")
 

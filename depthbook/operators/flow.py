@@ -108,19 +108,20 @@ def span_diff(left: Books, right: Books) -> DataFrame:
     sizes; only stretches where the two differ are met with the points.
     """
     keys = ["book_id", "side", "price"]
-    sides = {"a": left.spans, "b": right.spans}
 
-    def changes(name: str) -> DataFrame:
+    def changes(spans: DataFrame, name: str) -> DataFrame:
         """Where a span of one side begins (its size) and ends (null)."""
-        edge = lambda at, size: sides[name].select(*keys, F.col(at).alias("no"), *[F.lit(True if s == name else None).cast("boolean").alias(f"on_{s}") for s in "ab"], *[(size if s == name else F.lit(None)).cast("double").alias(s) for s in "ab"])
-        return edge("vf", F.col("size")).union(edge("vt", F.lit(None)))
+        edge = lambda at, size: F.struct(F.col(at).alias("no"), size.cast("double").alias("_size"))
+        edges = F.array(edge("vf", F.col("size")), edge("vt", F.lit(None)))
+        at = spans.select(*keys, F.inline(edges))
+        return at.select(*keys, "no", *[F.lit(True if s == name else None).cast("boolean").alias(f"on_{s}") for s in "ab"], *[(F.col("_size") if s == name else F.lit(None).cast("double")).alias(s) for s in "ab"])
 
     # where a span ends and the next begins the beginning counts: an end has no size
-    both = changes("a").union(changes("b")).groupBy(*keys, "no").agg(*[F.max(c).alias(c) for c in ("on_a", "on_b", "a", "b")])
+    both = changes(left.spans, "a").union(changes(right.spans, "b")).groupBy(*keys, "no").agg(*[F.max(c).alias(c) for c in ("on_a", "on_b", "a", "b")])
     w = Window.partitionBy(*keys).orderBy("no")
     now = [F.last(F.when(F.col(f"on_{s}"), F.struct(s)), True).over(w)[s].alias(f"_{s}") for s in "ab"]
     pieces = both.select(*keys, F.col("no").alias("vf"), F.lead("no").over(w).alias("vt"), *now)
     gone = F.col("_b").isNull() & F.col("_a").isNotNull()
     changed = F.col("_b").isNotNull() & (F.col("_b") != F.coalesce("_a", F.lit(0.0)))
     unequal = pieces.where("vf < vt").where(gone | changed).select(*keys, F.coalesce("_b", F.lit(0.0)).alias("size"), "vf", "vt")
-    return _delta_columns(met(left.points, unequal), left.kept)
+    return _delta_columns(met(left.points, unequal, left.most), left.kept)

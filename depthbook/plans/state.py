@@ -27,21 +27,32 @@ from depthbook.plans.shared import settle
 from depthbook.schema import moment, sort_price
 from depthbook.sources.tape import last_writes
 
-#: Points in a chunk; nodes in a node of the next level.
+#: Points in a chunk; nodes in a node of the next level (a power of two).
 CHUNK_POINTS, FAN = 256, 8
+#: Points of a task that makes whole books of them, about.
+TASK_POINTS = 64 * CHUNK_POINTS
 COLUMNS = ("book_id", "ts", "side", "price", "size")
 
 
 def numbered(points: DataFrame, dense: bool = False) -> DataFrame:
     """Points with `no`, their number in their book in order of arrival, from 0, and the
     chunk of that number. `dense` promises that seq is that number."""
+    return _numbered(points, dense)[0]
+
+
+def _numbered(points: DataFrame, dense: bool = False) -> tuple[DataFrame, int]:
+    """The numbered points, and how many there are."""
     if dense:
-        p = points.withColumn("no", F.col("seq"))
+        return points.withColumn("no", F.col("seq")).withColumn("chunk", _part("seq", CHUNK_POINTS)), points.count()
+    points = settle(points, "points")
+    n = points.count()
+    if n <= ranks.RANGE_ROWS:  # one window is no larger than that
+        w = Window.partitionBy("book_id").orderBy("seq")
+        p = points.withColumn("no", (F.row_number().over(w) - 1).cast("long"))
     else:
         r = ranks.number(points, [F.col("book_id"), F.col("seq")], "_r")
         p = r.join(r.groupBy("book_id").agg(F.min("_r").alias("_first")), "book_id").withColumn("no", F.col("_r") - F.col("_first")).drop("_r", "_first")
-        p = settle(p, "points")
-    return p.withColumn("chunk", _part("no", CHUNK_POINTS))
+    return p.withColumn("chunk", _part("no", CHUNK_POINTS)), n
 
 
 def _part(no: str, width: int) -> Column:
@@ -99,11 +110,13 @@ def in_time(points: DataFrame, start: Any = None, end: Any = None) -> DataFrame:
 class Books:
     """points: those kept, (book_id, ts, no, chunk, record). spans: (book_id, side, price,
     size, vf, vt), the numbers from vf to before vt. own: rows of points that are no
-    records, on top of the spans (updates) or alone (snapshots)."""
+    records, on top of the spans (updates) or alone (snapshots). most: no number is as
+    large."""
 
     points: DataFrame
     spans: DataFrame
     own: DataFrame | None = None
+    most: int = 1
 
     @property
     def kept(self) -> DataFrame:
@@ -136,13 +149,18 @@ def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: boo
     """
     rows = tape if collapsed else last_writes(tape)
     rows = rows.select("book_id", "seq", "side", "price", "size", "kind")
-    p = numbered(points, dense)
+    p, n = _numbered(points, dense)
     placed = p.withColumns({"epoch": F.lit(0), "record": F.lit(True)}) if in_order else place(p, mode)
     kept = in_time(placed if in_order else survivors(placed, mode), start, end)
     if axis is not None:
         # numbers that count the axis' points alone: between two of them nothing is seen
-        kept = kept.join(axis.select("book_id", "ts").distinct(), ["book_id", "ts"], "left_semi")
-        on = placed.join(kept.select("book_id", "seq", F.lit(1).alias("_on")), ["book_id", "seq"], "left").withColumn("_on", F.coalesce("_on", F.lit(0)))
+        flag = lambda df, keys: df.select(*keys, F.lit(1).alias("_on")).distinct()
+        if in_order and start is None and end is None:  # every point is kept
+            on = placed.join(flag(axis, ["book_id", "ts"]), ["book_id", "ts"], "left")
+        else:
+            kept = kept.join(axis.select("book_id", "ts").distinct(), ["book_id", "ts"], "left_semi")
+            on = placed.join(flag(kept, ["book_id", "seq"]), ["book_id", "seq"], "left")
+        on = on.withColumn("_on", F.coalesce("_on", F.lit(0)))
         placed = running(on, "_on", "sum", "_upto").withColumn("no", F.col("_upto") - F.col("_on")).withColumn("chunk", _part("no", CHUNK_POINTS)).drop("_upto")
         kept, placed = placed.where("_on = 1").drop("_on"), placed.drop("_on")
     ends = None if in_order else placed.where("record and kind = 's'").select("book_id", (F.col("epoch") - 1).alias("epoch"), F.col("no").alias("epoch_end"))
@@ -152,14 +170,22 @@ def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: boo
     no = F.col("no") if in_order else F.when(F.col("record") | (F.col("kind") == "u"), F.col("no"))
     kept = kept.select("book_id", "ts", no.alias("no"), "chunk", "record")
     bounds = kept.groupBy("book_id").agg(F.min("no").alias("lo"), (F.max("no") + 1).alias("hi"))
-    return Books(kept, _spans(marked.where("record"), ends, bounds), own)
+    return Books(kept, _spans(marked.where("record"), ends, bounds), own, n)
+
+
+def _tasks(df: DataFrame, n: int, rows: int) -> int:
+    """Tasks for n points, of `rows` points each or, where they are few, all that there are:
+    what joins them makes many rows of each, which their own size does not tell."""
+    return max(-(-n // rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def met(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """(book_id, chunk, ts, side, price, size) of each point and each span that holds it."""
+def met(points: DataFrame, spans: DataFrame, n: int) -> DataFrame:
+    """(book_id, chunk, ts, side, price, size) of each of n points and each span that holds it."""
     first, last = _part("vf", CHUNK_POINTS), F.floor((F.col("vt") - 1) / CHUNK_POINTS).cast("long")
     cut = spans.withColumn("chunk", F.explode(F.sequence(first, last)))
-    pairs = points.select("book_id", "chunk", "no", "ts").join(cut, ["book_id", "chunk"]).where("vf <= no and no < vt")
+    # dealt by chunk once: what follows by point needs no shuffle. A broadcast of the points,
+    # small as they may be, would leave all that is made of them to the few tasks of the spans
+    pairs = points.select("book_id", "chunk", "no", "ts").repartition(_tasks(points, n, TASK_POINTS), "book_id", "chunk").hint("merge").join(cut, ["book_id", "chunk"]).where("vf <= no and no < vt")
     return pairs.select("book_id", "chunk", "ts", "side", "price", "size")
 
 
@@ -167,13 +193,13 @@ def live(b: Books) -> DataFrame:
     """Live levels (book_id, chunk, ts, side, price, size) of every point; the rows of a
     point have one chunk, by which they are dealt."""
     if b.own is None:
-        return met(b.points, b.spans)
-    return met(b.points.where("record"), b.spans).unionByName(_late(b))
+        return met(b.points, b.spans, b.most)
+    return met(b.points.where("record"), b.spans, b.most).unionByName(_late(b))
 
 
 def _late(b: Books) -> DataFrame:
     """Live levels of the points that are no records: the last record's, under their own."""
-    base = met(b.points.where("not record and no is not null"), b.spans)
+    base = met(b.points.where("not record and no is not null"), b.spans, b.most)
     base = base.join(b.own.select("book_id", "ts", "side", "price"), ["book_id", "ts", "side", "price"], "left_anti")
     own = b.own.where("not (kind = 'u' and size = 0)")
     return base.unionByName(own.select(*base.columns))
@@ -228,17 +254,18 @@ def top(kept: DataFrame, live: DataFrame) -> DataFrame:
     return kept.join(best, ["book_id", "ts"], "left").select("book_id", "ts", *_filled())
 
 
-def _nodes(height: int) -> Column:
-    """The nodes (level, node) that a span [vf, vt) is the union of, in a tree of `height`
+def _in_nodes(spans: DataFrame, height: int) -> DataFrame:
+    """Spans with the nodes (level, node) that each is the union of, in a tree of `height`
     levels: of each level those that no node of the next level covers."""
-    at = lambda f, c, k: f(F.col(c) / FAN**k).cast("long")
-    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
-    found = []
-    for k in range(height):
-        a, b, up_a, up_b = at(F.ceil, "vf", k), at(F.floor, "vt", k), at(F.ceil, "vf", k + 1), at(F.floor, "vt", k + 1)
-        some = run(a, b) if k == height - 1 else F.when(up_a < up_b, F.concat(run(a, up_a * FAN), run(up_b * FAN, b))).otherwise(run(a, b))
-        found.append(F.transform(some, lambda n: F.struct(F.lit(k).alias("level"), n.alias("node"))))  # noqa: B023  (called at once)
-    return F.concat(*found)
+    bits = FAN.bit_length() - 1
+    by_level = spans.withColumn("level", F.explode(F.array(*map(F.lit, range(height)))))
+    down = lambda c, k: F.expr(f"shiftright({c}, {bits} * ({k}))")
+    up = lambda c, k: -F.expr(f"shiftright(-{c}, {bits} * ({k}))")
+    ends = {"_a": up("vf", "level"), "_b": down("vt", "level"), "_c": up("vf", "level + 1") * FAN, "_d": down("vt", "level + 1") * FAN}
+    run = lambda a, b: F.when(F.col(a) < F.col(b), F.sequence(F.col(a), F.col(b) - 1)).otherwise(F.array().cast("array<long>"))
+    covered = (F.col("_c") < F.col("_d")) & (F.col("level") < height - 1)
+    node = F.explode(F.when(covered, F.concat(run("_a", "_c"), run("_d", "_b"))).otherwise(run("_a", "_b")))
+    return by_level.withColumns(ends).where("_a < _b").withColumn("node", node).drop(*ends)
 
 
 def tops(b: Books) -> DataFrame:
@@ -247,14 +274,15 @@ def tops(b: Books) -> DataFrame:
     Costs a few rows for each span and one for each point and level of the tree, whatever
     the depth of the books.
     """
-    most = b.points.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0] + 1
     height = 1
-    while FAN**height < most:
+    while FAN**height < b.most:
         height += 1
-    nodes = b.spans.select("book_id", "side", "price", "size", F.inline(_nodes(height))).groupBy("book_id", "level", "node").agg(*_best())
-    record = b.points.where("record") if b.own is not None else b.points
-    path = F.array(*[F.struct(F.lit(k).alias("level"), _part("no", FAN**k).alias("node")) for k in range(height)])
-    asked = record.select("book_id", "ts", F.inline(path)).join(nodes, ["book_id", "level", "node"], "left")
+    nodes = _in_nodes(b.spans, height).groupBy("book_id", "level", "node").agg(*_best())
+    record = (b.points.where("record") if b.own is not None else b.points)
+    record = record.repartition(_tasks(record, b.most, 8 * TASK_POINTS), "book_id", "no")
+    path = record.withColumn("level", F.explode(F.array(*map(F.lit, range(height)))))
+    node = F.expr(f"shiftright(no, {FAN.bit_length() - 1} * level)").alias("node")
+    asked = path.select("book_id", "ts", "level", node).join(nodes, ["book_id", "level", "node"], "left")
     best = asked.groupBy("book_id", "ts").agg(F.max("bid").alias("bid"), F.max_by("bidq", "bid").alias("bidq"), F.min("ask").alias("ask"), F.min_by("askq", "ask").alias("askq"))
     best = best.select("book_id", "ts", *_filled())
     return best if b.own is None else best.unionByName(top(b.points.where("not record").select("book_id", "ts"), _late(b)))

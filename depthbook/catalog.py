@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from depthbook.functions import metrics
 from depthbook.operators import depth, flow
 from depthbook.operators.ordered import Ordered
 from depthbook.plans import state
-from depthbook.plans.shared import settle
+from depthbook.plans.shared import settle, shared_dir
+from depthbook.sources import sinks
 from depthbook.sources.tape import STEP, events_tape, mixed_tape, orders_tape, points_of, table
 from depthbook.streaming import maintainer
 
@@ -229,6 +231,13 @@ def aggq_ticks(spark, sf_dir):
     return _aggregated(spark, sf_dir, depth.with_best, bid_5=metrics.aggq_ticks("b", 10, TICK), ask_5=metrics.aggq_ticks("a", 10, TICK))
 
 
+@query(f"WITH {_live()}{_BEST}, agg AS (SELECT book_id, ts, sum(size) FILTER (side = 'b' AND price >= hi - 3) AS bid_3, sum(size) FILTER (side = 'a' AND price <= lo + 3) AS ask_3 FROM near GROUP BY ALL) " + _filled("bid_3", "ask_3"))
+def aggq_whole_ticks(spark, sf_dir):
+    """Prices of a tenth, where differences of doubles fall beside the tick: three whole ticks."""
+    cheap = lambda levels: depth.with_best(levels.withColumn("price", F.col("price") / 10))
+    return _aggregated(spark, sf_dir, cheap, bid_3=metrics.aggq_whole_ticks("b", 3, 0.1), ask_3=metrics.aggq_whole_ticks("a", 3, 0.1))
+
+
 @query(f"WITH {_live()}, agg AS (SELECT book_id, ts, sum(size) FILTER (side = 'b' AND price >= 9985) AS bid_9985, sum(size) FILTER (side = 'a' AND price <= 10015) AS ask_10015 FROM live GROUP BY ALL) " + _filled("bid_9985", "ask_10015"))
 def aggq_price(spark, sf_dir):
     kept, live = _events(spark, sf_dir)
@@ -299,6 +308,23 @@ def levels_export(spark, sf_dir):
     return depth.export(state.levels(live)).withColumn("level", F.col("level").cast("long"))
 
 
+def _written(spark, sf_dir, kind: str) -> DataFrame:
+    """The export through a sink and back."""
+    rows, path = levels_export(spark, sf_dir), f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    {"csv": sinks.write_csv, "parquet": sinks.write_parquet}[kind](rows, path)
+    return spark.read.schema(rows.schema).option("header", True).format(kind).load(path)
+
+
+@query(ORACLES["levels_export"])
+def levels_csv(spark, sf_dir):
+    return _written(spark, sf_dir, "csv")
+
+
+@query(ORACLES["levels_export"])
+def levels_parquet(spark, sf_dir):
+    return _written(spark, sf_dir, "parquet")
+
+
 @query(f"WITH {_SNAPS}{_LEVELS} SELECT book_id, ts, side, level, price, size FROM levels WHERE level < CASE side WHEN 'b' THEN 2 ELSE 1 END")
 def levels_topn_split(spark, sf_dir):
     tape, points = _orders(spark, sf_dir)
@@ -349,6 +375,14 @@ def snapshot_flow(spark, sf_dir):
     return flow.flow_by_book(tape, points).select("book_id", "arrivals", "cancels")
 
 
+@query(f"""WITH {_live()} SELECT book_id, ts AS seq, side, price FROM (SELECT *, lag(size) OVER (PARTITION BY book_id, side, price ORDER BY ts) AS before FROM tape)
+WHERE size = 0 AND coalesce(before, 0) = 0""")
+def absent_deletes(spark, sf_dir):
+    """Deletes of levels that are not there."""
+    tape = _tape(spark, sf_dir)
+    return flow.absent_deletes(tape, points_of(tape))
+
+
 @query("SELECT user_id % 10 AS book_id, count(DISTINCT ts) AS n_points FROM events GROUP BY ALL")
 def series_len(spark, sf_dir):
     return flow.series_extent(points_of(_tape(spark, sf_dir))).select("book_id", "n_points")
@@ -440,6 +474,15 @@ def mixed_latest_points(spark, sf_dir):
     return _mixed_live(spark, sf_dir, "latest")[0]
 
 
+@query(f"""WITH {_mixed('latest')}, newest AS (SELECT book_id, max_by(ts, seq) AS ts, max(seq) FILTER (kind = 's') AS since FROM arrived GROUP BY ALL),
+last AS (SELECT n.book_id, n.ts, side, price, size, CASE WHEN t.seq % 7 = 0 THEN 's' ELSE 'u' END AS kind FROM tape t JOIN newest n ON n.book_id = t.book_id AND t.seq >= coalesce(since, 0)
+  QUALIFY row_number() OVER (PARTITION BY t.book_id, side, price ORDER BY t.seq DESC, event_id DESC) = 1)
+SELECT book_id, ts, side, price, size FROM last WHERE NOT (kind = 'u' AND size = 0)""")
+def mixed_current(spark, sf_dir):
+    """The one book that a series keeps whose mode is `current`."""
+    return _mixed_live(spark, sf_dir, "current")[1]
+
+
 # Ordered relations over parts and orders
 
 

@@ -64,7 +64,8 @@ class SideAccessor(Accessor):
 class Book:
     """A single limit order book."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, tick_size: float = 1, *, bids=None, asks=None):
+    def __init__(self, spark: SparkSession, name: str | None = None, tick_size: float = 1, *, bids=None, asks=None, compat: bool = False):
+        self.compat = compat  # an unknown side is an ask in set_updates and nothing in update
         self.spark, self.name, self.tick_size = spark, name or f"book-{id(self)}", tick_size
         self.timestamp: Any = int(time.time() * 1000)
         self._batches: list[dict] = []
@@ -87,12 +88,22 @@ class Book:
 
     def set_updates(self, updates, timestamp=0) -> None:
         """Absolute sizes, in order; size 0 deletes; an unknown side is an error."""
-        self._batches.append({"kind": "u", "ts": 0, "rows": [(_side(s), p, q) for s, p, q in updates]})
+        side = (lambda s: _SIDES.get(s, "a")) if self.compat else _side
+        self._batches.append({"kind": "u", "ts": 0, "rows": [(side(s), p, q) for s, p, q in updates]})
         if timestamp != 0:
             self.timestamp = timestamp
 
     def update(self, side, price, size, timestamp=0) -> None:
-        self.set_updates([(side, price, size)], timestamp)
+        if not self.compat or side in _SIDES:
+            self.set_updates([(side, price, size)], timestamp)
+
+    def delete(self, side, price) -> bool:
+        """Delete a level; whether it was there."""
+        s = _side(side)
+        there = bool(self.levels().where((F.col("side") == s) & (F.col("price") == float(price))).limit(1).count())
+        if there:
+            self.set_updates([(s, price, 0)])
+        return there
 
     def levels(self) -> DataFrame:
         """side, level, price, size: the last write of every price."""
@@ -213,9 +224,12 @@ class Book:
 
 
 class BookSeries:
-    """Books by timestamp. `strict` refuses updates at a timestamp that is there."""
+    """Books by timestamp. `strict` refuses updates at a timestamp that is there. Mode
+    `latest` keeps the books since the last snapshot, `current` the last one alone. With
+    `compat` updates of an unknown side are nothing instead of an error."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, tick_size: float = 1, mode: str = "delta", strict: bool = False):
+    def __init__(self, spark: SparkSession, name: str | None = None, tick_size: float = 1, mode: str = "delta", strict: bool = False, compat: bool = False):
+        self.compat = compat
         self.spark, self.name, self.tick_size, self.strict = spark, name or f"series-{id(self)}", tick_size, strict
         self._mode, self._fixed = mode, False
         self._batches: list[dict] = []
@@ -242,18 +256,19 @@ class BookSeries:
     def _known(self) -> set:
         known: set = set()
         for b in self._batches:
-            known = {b["ts"]} if self.mode == "latest" and b["kind"] == "s" else known | {b["ts"]}
+            known = {b["ts"]} if self.mode == "current" or self.mode == "latest" and b["kind"] == "s" else known | {b["ts"]}
         return known
 
     def set_snapshot(self, bids, asks, timestamp=0, force: bool = False) -> None:
-        if self.mode != "latest" and not force and timestamp in self._known():
+        if self.mode == "delta" and not force and timestamp in self._known():
             raise ValueError(f"there is a book at {timestamp}")
         self._add("s", [("b", p, q) for p, q in bids] + [("a", p, q) for p, q in asks], timestamp)
 
     def set_updates(self, updates, timestamp=0) -> None:
         if self.strict and timestamp in self._known():
             raise ValueError(f"there is a book at {timestamp}")
-        self._add("u", [(_side(s), p, q) for s, p, q in updates], timestamp)
+        known = [u for u in updates if u[0] in _SIDES] if self.compat else updates
+        self._add("u", [(_side(s), p, q) for s, p, q in known], timestamp)
 
     def update(self, side, price, size, timestamp=0) -> None:
         self.set_updates([(side, price, size)], timestamp)

@@ -93,6 +93,19 @@ def aggq_ticks(side: str, ticks: float, tick_size: float, best: str = "best") ->
     return F.coalesce(F.sum(F.when((_C("side") == side) & (_C(best) > 0) & inside, _C("size"))), F.lit(0.0))
 
 
+def in_ticks(price: str | Column, tick_size: float) -> Column:
+    """A price as a whole number of ticks, the nearest."""
+    return F.rint((_C(price) if isinstance(price, str) else price) / F.lit(tick_size)).cast("long")
+
+
+def aggq_whole_ticks(side: str, ticks: int, tick_size: float, best: str = "best") -> Column:
+    """As aggq_ticks, with prices as whole numbers of ticks: no rounding of a difference of
+    doubles decides whether a level counts."""
+    away = in_ticks("price", tick_size) - in_ticks(best, tick_size)
+    inside = away >= -ticks if side == "b" else away <= ticks
+    return F.coalesce(F.sum(F.when((_C("side") == side) & (_C(best) > 0) & inside, _C("size"))), F.lit(0.0))
+
+
 def aggq_price(side: str, price: float) -> Column:
     """Size at or better than a price."""
     inside = _C("price") >= price if side == "b" else _C("price") <= price

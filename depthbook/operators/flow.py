@@ -41,6 +41,17 @@ def flow_rows(tape: DataFrame, points: DataFrame, updates_only: bool = False) ->
     )
 
 
+def absent_deletes(tape: DataFrame, points: DataFrame) -> DataFrame:
+    """(book_id, seq, side, price) of updates of an in-order tape that delete a level which
+    is not there. A level is there after a row of its price since the last snapshot (with
+    its rows) that did not delete it."""
+    placed = place(numbered(points)).select("book_id", "seq", "epoch")
+    key = Window.partitionBy("book_id", "epoch", "side", "price").orderBy("seq")
+    rows = last_writes(tape).join(placed, ["book_id", "seq"]).withColumn("_gone", (F.col("kind") == "u") & (F.col("size") == 0))
+    before = F.coalesce(F.lag("_gone").over(key), F.lit(True))
+    return rows.withColumn("_before", before).where("_gone and _before").select("book_id", "seq", "side", "price")
+
+
 def flow_by_book(tape: DataFrame, points: DataFrame, updates_only: bool = False) -> DataFrame:
     """(book_id, arrivals, cancels, updates) of every book; 0.0 with a single point."""
     total = flow_rows(tape, points, updates_only).groupBy("book_id").agg(F.sum("arrivals").alias("a"), F.sum("cancels").alias("c"))

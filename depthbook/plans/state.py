@@ -78,9 +78,13 @@ def place(points: DataFrame, mode: str = "delta") -> DataFrame:
     """Numbered points with epoch (snapshots among the records so far) and record.
 
     A record is a point that the next update builds on: one at or after every earlier
-    timestamp. In `latest` mode a snapshot forgets what came before it.
+    timestamp. In `latest` mode a snapshot forgets what came before it; in `current` mode
+    there is one book at a time, on which every update builds.
     """
     p = points
+    if mode == "current":
+        p = p.withColumns({"record": F.lit(True), "_s": (F.col("kind") == "s").cast("long")})
+        return running(p, "_s", "sum", "epoch").drop("_s")
     if mode == "latest":
         p = running(p.withColumn("_s", (F.col("kind") == "s").cast("long")), "_s", "sum", "reset").drop("_s")
         p = running(p, "ts", "max", "_max", before=True, by=("book_id", "reset"))
@@ -93,7 +97,9 @@ def place(points: DataFrame, mode: str = "delta") -> DataFrame:
 
 def survivors(placed: DataFrame, mode: str = "delta") -> DataFrame:
     """The points a series keeps: the last arrival of each timestamp, in `latest` mode of
-    those since the last snapshot."""
+    those since the last snapshot, in `current` mode of all."""
+    if mode == "current":
+        return placed.join(placed.groupBy("book_id").agg(F.max("seq").alias("seq")), ["book_id", "seq"], "left_semi")
     if mode == "latest":
         last = placed.groupBy("book_id").agg(F.max("reset").alias("_last"))
         placed = placed.join(last, "book_id").where(F.col("reset") == F.col("_last")).drop("_last", "reset")
@@ -214,8 +220,8 @@ def live_levels(tape: DataFrame, points: DataFrame, mode: str = "delta", in_orde
     if not in_order and snapshots_alone(points):
         # every point is its own rows
         kept = points.join(points.groupBy("book_id", "ts").agg(F.max("seq").alias("seq")), ["book_id", "ts", "seq"], "left_semi")
-        if mode == "latest":
-            kept = kept.join(points.groupBy("book_id").agg(F.max("seq").alias("seq")), ["book_id", "seq"], "left_semi")
+        if mode != "delta":
+            kept = points.join(points.groupBy("book_id").agg(F.max("seq").alias("seq")), ["book_id", "seq"], "left_semi")
         rows = tape if collapsed else last_writes(tape)
         return kept.select("book_id", "ts"), rows.join(kept.select("book_id", "seq"), ["book_id", "seq"], "left_semi").select(*COLUMNS)
     b = books(tape, points, mode, in_order, collapsed, dense)

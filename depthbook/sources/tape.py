@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depthbook.schema import POINTS, TAPE
+from depthbook.schema import POINTS, TAPE, side_short
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,18 @@ def orders_tape(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, Data
     return tape, points.select("book_id", F.col("ts").alias("seq"), "ts", F.lit("s").alias("kind"))
 
 
+def known_sides(rows: DataFrame, unknown: str = "error") -> DataFrame:
+    """Tape rows with sides 'b' and 'a' in either spelling. Another side is an error when
+    it is read, or, as `unknown` says, the row is left out ('ignore') or an ask ('ask')."""
+    s, known = side_short(F.col("side")), F.coalesce(F.col("side").isin("b", "bid", "a", "ask"), F.lit(False))
+    if unknown == "ignore":
+        return rows.where(known).withColumn("side", s)
+    if unknown not in ("error", "ask"):
+        raise ValueError(f"unknown must be error, ignore or ask, not {unknown!r}")
+    other = F.lit("a") if unknown == "ask" else F.raise_error(F.concat(F.lit("unknown side "), F.coalesce("side", F.lit("null"))))
+    return rows.withColumn("side", F.when(known, s).otherwise(other))
+
+
 def points_of(tape: DataFrame) -> DataFrame:
     """The points of a tape without empty batches."""
     return tape.select("book_id", "seq", "ts", "kind").distinct()

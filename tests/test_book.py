@@ -4,7 +4,11 @@ import math
 import zipfile
 
 import pytest
-from depthbook.engine import Book
+from depthbook.engine import Book, BookSeries
+from depthbook.sources.tape import known_sides
+
+
+# The books and numbers of the documented example (FIXTURES.md), in natural order.
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +98,33 @@ def test_exports(static, tmp_path):
         assert z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 6
     static.to_parquet(str(tmp_path / "b.parquet"))
     assert static.spark.read.parquet(str(tmp_path / "b.parquet")).count() == 5
+
+
+def test_unknown_sides(spark):
+    b = Book(spark, compat=True, bids=[(1.0, 1.0)], asks=[(3.0, 1.0)])
+    b.set_updates([("x", 2.0, 5.0)])
+    b.update("x", 7.0, 5.0)
+    assert b._rows("a") == [(2.0, 5.0), (3.0, 1.0)] and b._rows("b") == [(1.0, 1.0)]
+    with pytest.raises(ValueError):
+        Book(spark).update("x", 7.0, 5.0)
+    rows = spark.createDataFrame([("b", 1), ("ask", 2), ("x", 3), (None, 4)], "side string, n int")
+    plain = lambda df: [tuple(r) for r in df.orderBy("n").collect()]
+    assert plain(known_sides(rows, "ignore")) == [("b", 1), ("a", 2)]
+    assert plain(known_sides(rows, "ask")) == [("b", 1), ("a", 2), ("a", 3), ("a", 4)]
+    assert plain(known_sides(rows.where("n < 3"))) == [("b", 1), ("a", 2)]
+    with pytest.raises(Exception, match="unknown side"):
+        known_sides(rows).collect()
+
+
+def test_deleting_a_level_says_whether_it_was_there(spark):
+    b = Book(spark, bids=[(1.0, 1.0), (2.0, 1.0)])
+    assert b.delete("bid", 2) and not b.delete("bid", 2) and not b.delete("ask", 1)
+    assert b._rows("b") == [(1.0, 1.0)]
+
+
+def test_current_mode_keeps_one_book(spark):
+    s = BookSeries(spark, mode="current", compat=True)
+    s.set_snapshot([(5.0, 1.0)], [(6.0, 1.0)], 10)
+    s.update("b", 4.0, 2.0, 20)
+    s.set_updates([("b", 5.0, 0), ("x", 9.0, 9.0)], 15)
+    assert s.timestamps == [15] and s[15]._rows("b") == [(4.0, 2.0)] and s[15]._rows("a") == [(6.0, 1.0)]

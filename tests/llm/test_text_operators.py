@@ -255,6 +255,44 @@ def test_license_tag_inside_a_line():
     assert labels(tag + "OR MIT") == "" and labels(tag) == "" and labels(tag + "(MIT text") == ""
 
 
+def brute_notices(text):
+    """Labels of the notices whose words no longer notice holds."""
+    w = brute_words(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    hits = [(k, k + len(p.split()), v) for p, v in license_scan.NOTICES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and a[:2] != b[:2]
+    return {h[2] for h in hits if not any(inside(h, o) for o in hits)} - {None}
+
+
+def test_license_labels_equal_brute_force():
+    rng = random.Random(7)
+    words = sorted({w for p in [*license_scan.NOTICES, *license_scan.BASE] for w in p.split()} | {"x"})
+    phrases = [*license_scan.NOTICES, *license_scan.BASE]
+    for _ in range(600):
+        text = " ".join(rng.choice(phrases) if rng.random() < 0.6 else rng.choice(words) for _ in range(rng.randrange(6)))
+        w = brute_words(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        base = {v for p, v in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+        assert license_scan.scan(text)[5] == ",".join(sorted(base | brute_notices(text))), text
+
+
+def test_license_names_of_other_licences():
+    labels = lambda t: license_scan.scan(t)[5]
+    assert labels("Creative Commons Attribution-NonCommercial 4.0") == "cc-by-nc"
+    assert labels("Creative Commons Attribution-Non-Commercial-ShareAlike") == "cc-by-nc-sa"
+    assert labels("BSD 3-Clause License") == "bsd-3-clause" and labels("the 2-clause BSD license") == "bsd-2-clause"
+    assert labels("Not in the public domain") == "" and labels("not in the public domain. public domain") == "public-domain"
+    tag = "SPDX-License-Identifier: "
+    assert labels(tag + "the licence applies") == labels(tag + "NONE") == labels(tag + "NOASSERTION") == ""
+    assert labels(tag + "LicenseRef-Mine-1 OR DocumentRef-x:LicenseRef-Y") == "documentref-x:licenseref-y,licenseref-mine-1"
+    assert labels(tag + "GPL-2.0+ and other files") == "gpl-2.0+"
+
+
+def test_license_choices_that_are_met():
+    got = license_scan.scan("SPDX-License-Identifier: (MIT OR Apache-2.0) AND MIT")
+    assert got[5] == "apache-2.0,mit" and got[7:] == ("mit", "")
+    got = license_scan.scan("SPDX-License-Identifier: (MIT OR Apache-2.0) AND (ISC OR Zlib) AND MIT")
+    assert got[7:] == ("mit", "isc,zlib")
+
+
 # pages
 
 

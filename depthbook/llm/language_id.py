@@ -24,6 +24,9 @@ from .textops import bounded, mix, slices, utf8
 BUCKETS = 1 << 12
 #: Training rows of each language, drawn by a hash of the text; a documented bound.
 ROWS_A_LANGUAGE = 600
+#: Rows of all languages together, which the driver holds as profiles of 8 KB at most; where
+#: there are many languages each gets its share, two rows at least.
+ALL_ROWS = 24_000
 FAMILIES = {"germanic": ("de", "en", "nl", "sv", "da", "no"), "romance": ("es", "fr", "it", "pt", "ro", "ca")}
 
 # ASCII letters lowered, bytes of longer characters kept, the rest one space
@@ -129,8 +132,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", families: dict[str, tuple[str, ...]] | None = None, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel:
-    """Fit on at most `rows_a_language` texts of each language, those of smallest hash.
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", families: dict[str, tuple[str, ...]] | None = None, rows_a_language: int = ROWS_A_LANGUAGE, all_rows: int = ALL_ROWS) -> LanguageModel:
+    """Fit on at most `rows_a_language` texts of each language and about `all_rows` of all,
+    those of smallest hash.
 
     Profiles are made by the executors; only they reach the driver, which holds them and
     the machines of every language that occurs. A text that several rows of a language
@@ -140,11 +144,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", famil
     families = FAMILIES if families is None else families
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
     counts = settle(known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    few = counts.count() <= BROADCAST_ROWS
+    languages = counts.count()
+    few = languages <= BROADCAST_ROWS
+    rows_a_language = min(rows_a_language, max(2, all_rows // max(1, languages)))
     # a share of each language's distinct texts by their hash, at most the bound by
     # expectation, then the bound itself
     hashed = known.join(F.broadcast(counts) if few else counts, "lang")
-    drawn = hashed.where(F.expr(f"pmod(h, 1000003) < 1000003 * {1.3 * rows_a_language} / n")).dropDuplicates(["lang", "h"])
+    drawn = hashed.where(F.expr(f"pmod(h, 1000003) < 1000003 * {max(1.3 * rows_a_language, rows_a_language + 12)} / n")).dropDuplicates(["lang", "h"])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1, 1 << 18, 128):

@@ -47,6 +47,16 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert len(language_id.learn(docs, rows_a_language=2).languages) == 1010
 
 
+def test_many_languages_share_the_bound(spark, monkeypatch):
+    """30 languages of 40 texts each under a bound of 90 rows; every language is learned."""
+    rows = [(f"l{k:02}", " ".join(f"w{k}x{i % 7}{j}" for j in range(20 + i))) for k in range(30) for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    fitted, fit = [], language_id.linear_svm
+    monkeypatch.setattr(language_id, "linear_svm", lambda x, y: fitted.append(len(x)) or fit(x, y))
+    model = language_id.learn(docs, all_rows=90)
+    assert len(model.languages) == 30 and max(fitted) <= 90
+
+
 def test_families_come_first():
     m = language_id.LanguageModel(["de", "en", "es"], [[0, 1], [2]], np.zeros((1, 3)), np.zeros(3), [(0, 1)])
     best, score = m.decide(np.array([[1.0, -1.0, -2.0], [1.0, -1.0, 2.0], [-1.0, 1.0, 5.0]]))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from dataclasses import replace
 from decimal import Decimal
 from typing import Any
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from depthbook.functions import metrics
 from depthbook.operators import depth, flow
 from depthbook.plans import state
+from depthbook.plans.shared import settle
 from depthbook.schema import INF, moment, sort_price
 from depthbook.sources import sinks
 from depthbook.sources.tape import from_batches
@@ -234,6 +236,7 @@ class BookSeries:
         self._mode, self._fixed = mode, False
         self._batches: list[dict] = []
         self._held: tuple[DataFrame, DataFrame] | None = None
+        self._books: state.Books | None = None
 
     mode = property(lambda s: s._mode)
 
@@ -242,16 +245,26 @@ class BookSeries:
 
     @staticmethod
     def of_tape(tape: DataFrame, points: DataFrame, tick_size: float = 1, mode: str = "delta") -> BookSeries:
-        """A series over a tape table of any size."""
+        """A series over a tape table of any size. Its points and spans are written once, and
+        what is asked for is made of them."""
         s = BookSeries(tape.sparkSession, tick_size=tick_size, mode=mode)
-        s._held, s._fixed = state.live_levels(tape, points, mode), True
+        b = state.books(tape, points, mode)
+        b = replace(b, points=settle(b.points, "kept"), spans=settle(b.spans, "spans"), own=settle(b.own, "own"))
+        s._books, s._held, s._fixed = b, (b.kept, state.live(b).drop("chunk")), True
         return s
 
     def _add(self, kind: str, rows: list, timestamp: Any) -> None:
         if self._fixed:
             raise TypeError("a series over a table or a slice is read only")
         self._batches.append({"kind": kind, "ts": timestamp, "rows": rows})
-        self._held = None
+        self.release()
+
+    def release(self) -> None:
+        """Let go of the frames that are kept in memory; they are made again when needed."""
+        if self._held is not None and not self._fixed:
+            for f in self._held:
+                f.unpersist()
+            self._held = None
 
     def _known(self) -> set:
         known: set = set()
@@ -295,7 +308,7 @@ class BookSeries:
         return state.levels(self.live)
 
     def top(self) -> DataFrame:
-        return state.top(self.kept, self.live)
+        return state.tops(self._books) if self._books else state.top(self.kept, self.live)
 
     # access
 

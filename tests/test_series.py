@@ -186,3 +186,25 @@ def test_span_diff_equals_the_diff_of_books(spark, monkeypatch):
     want = flow.series_diff(*(state.live_levels(t, p) for t, p in ((t1, p1), (t2, p2))))
     plain = lambda df: sorted((r["book_id"], int(r["ts"]), r["n_bids"], r["n_asks"], r["qty"], r["bids"], r["asks"]) for r in df.collect())
     assert plain(got) == plain(want) and any(r["n_bids"] for r in want.collect())
+
+
+@pytest.mark.parametrize("mode", ["delta", "latest", "current"])
+def test_series_over_a_table(spark, mode):
+    """The same answers as of a series of literal batches."""
+    rng = random.Random(21)
+    batches = tape(rng, False) + tape(rng, False) + [{"kind": "u", "ts": 3, "rows": [("b", 2, 2)]}]
+    literal = BookSeries(spark, mode=mode)
+    for b in batches:
+        rows = [(s, float(p), float(q)) for s, p, q in b["rows"]]
+        if b["kind"] == "s":
+            literal.set_snapshot(*[[(p, q) for s, p, q in rows if s == side] for side in "ba"], b["ts"], force=True)
+        else:
+            literal.set_updates(rows, b["ts"])
+    over = BookSeries.of_tape(*from_books(spark, {0: batches}), mode=mode)
+    assert over.timestamps == literal.timestamps and over.len == literal.len
+    plain = lambda df: [tuple(map(str, r)) for r in df.collect()]
+    for name in ("spread", "bid", "ask", "vi"):
+        assert plain(getattr(over, name)) == plain(getattr(literal, name)), name
+    assert plain(over.table()) == plain(literal.table()) and over.update_frequency() == literal.update_frequency()
+    literal.release()
+    assert literal.len == over.len

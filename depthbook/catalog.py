@@ -8,13 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depthbook.engine import BookSeries
 from depthbook.functions import metrics
 from depthbook.operators import depth, flow
 from depthbook.operators.ordered import Ordered
 from depthbook.plans import state
 from depthbook.plans.shared import settle, shared_dir
 from depthbook.sources import sinks
-from depthbook.sources.tape import STEP, events_tape, mixed_tape, orders_tape, points_of, table
+from depthbook.sources.tape import STEP, events_tape, mixed_tape, orders_tape, points_of, refused, table
 from depthbook.streaming import maintainer
 
 QUERIES: dict = {}
@@ -96,6 +97,15 @@ _NAN = "'nan'::DOUBLE"
 _SPREAD = f"CASE WHEN bid > 0 AND ask > 0 THEN ask - bid ELSE {_NAN} END"
 
 
+def _series(spark: SparkSession, sf_dir: str) -> BookSeries:
+    """All events as one series over a table."""
+    tape = _tape(spark, sf_dir).withColumn("book_id", F.lit(0))
+    return BookSeries.of_tape(tape, points_of(tape), TICK)
+
+
+_ONE = _live().replace("tape AS (SELECT user_id % 10 AS book_id", "rows_ AS (SELECT 0 AS book_id").replace("FROM events),", "FROM events),\ntape AS (SELECT book_id, ts, side, price, max(size) AS size FROM rows_ GROUP BY ALL),", 1)
+
+
 # Top of book and its metrics
 
 
@@ -109,6 +119,13 @@ def spread_metrics(spark, sf_dir):
     return _top(spark, sf_dir).select("book_id", "ts", metrics.spread().alias("spread"), metrics.spread_tick(TICK).alias("spread_tick"), metrics.spread_rel().alias("spread_rel"))
 
 
+@query(_on_top(f"{_SPREAD} / CASE WHEN book_id % 2 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS spread_tick"))
+def spread_by_tick_size(spark, sf_dir):
+    """Spreads in ticks of books that differ in the size of a tick."""
+    tick = F.when(F.col("book_id") % 2 == 0, 0.25).otherwise(0.5)
+    return _top(spark, sf_dir).select("book_id", "ts", metrics.spread_tick(tick).alias("spread_tick"))
+
+
 @query(_on_top(f"CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 ELSE {_NAN} END AS midprice"))
 def midprice(spark, sf_dir):
     return _top(spark, sf_dir).select("book_id", "ts", metrics.midprice().alias("midprice"))
@@ -332,6 +349,45 @@ def levels_topn_split(spark, sf_dir):
     return depth.split_budget(state.levels(live), 3).withColumn("level", F.col("level").cast("long"))
 
 
+def _order_levels(spark, sf_dir) -> DataFrame:
+    tape, points = _orders(spark, sf_dir)
+    _, live = state.live_levels(tape, points, collapsed=True)
+    return state.levels(live).withColumn("level", F.col("level").cast("long")).select("book_id", "ts", "side", "level", "price", "size")
+
+
+@query(f"WITH {_SNAPS}{_LEVELS} SELECT book_id, ts, side, level, price, size FROM levels WHERE side = 'b' AND level < 2")
+def levels_bids(spark, sf_dir):
+    """The best two bids of every book."""
+    return depth.side_levels(_order_levels(spark, sf_dir), "b", 2)
+
+
+@query(f"WITH {_SNAPS}{_LEVELS} SELECT book_id, ts, side, level, price, size FROM levels WHERE side = 'a'")
+def levels_asks(spark, sf_dir):
+    return depth.side_levels(_order_levels(spark, sf_dir), "a")
+
+
+@query(f"WITH {_ONE}{_LEVELS} SELECT ts AS timestamp, side, level, price, size FROM levels WHERE ts BETWEEN {_FROM} AND {_TO}")
+def series_slice_table(spark, sf_dir):
+    """The table of a slice of a series."""
+    start, end = map(_micros, RANGE)
+    return _series(spark, sf_dir)[start:end].table().withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"WITH {_ONE}{_TOP} SELECT ts, bid, ask, {_SPREAD} AS spread, bidq - askq AS vi FROM top")
+def series_properties(spark, sf_dir):
+    """Properties of one series over a table, side by side."""
+    s = _series(spark, sf_dir)
+    return s.bid.join(s.ask, "ts").join(s.spread, "ts").join(s.vi, "ts")
+
+
+@query(f"WITH {_ONE}{_LEVELS}, last AS (SELECT max(ts) AS ts FROM pts) SELECT side, level, price, size FROM levels SEMI JOIN last USING (ts)")
+def series_last_book(spark, sf_dir):
+    """The book that a series has at exactly its last timestamp."""
+    s = _series(spark, sf_dir)
+    last = s.kept.agg(F.max("ts")).first()[0]
+    return s.get_at_timestamp(int(last)).levels().withColumn("level", F.col("level").cast("long"))
+
+
 @query(f"WITH {_SNAPS} SELECT * FROM live SEMI JOIN (SELECT book_id, max(ts) AS ts FROM pts GROUP BY ALL) USING (book_id, ts)")
 def latest_book(spark, sf_dir):
     """`latest` mode keeps the book since the last snapshot."""
@@ -423,6 +479,12 @@ def series_diff(spark, sf_dir):
     return flow.span_diff(left, right).select("book_id", "ts", "n_bids", "n_asks", "qty")
 
 
+@query(ORACLES["series_diff"].replace("SELECT p.book_id, p.ts, coalesce(n_bids, 0) AS n_bids, coalesce(n_asks, 0) AS n_asks, coalesce(qty, 0.0::DOUBLE) AS qty", "SELECT p.book_id, p.ts, coalesce(n_bids, 0) = 0 AS bids_equal, coalesce(n_asks, 0) = 0 AS asks_equal"))
+def side_equality(spark, sf_dir):
+    """Whether the sides of two series' books are equal, point by point."""
+    return flow.equal_sides(series_diff(spark, sf_dir).select("book_id", "ts", "n_bids", "n_asks"))
+
+
 # The mixed tape: snapshots and updates, late points, equal timestamps
 
 
@@ -453,6 +515,12 @@ def _mixed_live(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame,
     return state.live_levels(tape, points_of(tape), mode)
 
 
+@query(f"WITH {_mixed('delta')} SELECT book_id, ts, seq FROM arrived a WHERE seq % 7 = 0 AND EXISTS (SELECT 1 FROM arrived b WHERE b.book_id = a.book_id AND b.ts = a.ts AND b.seq < a.seq)")
+def refused_snapshots(spark, sf_dir):
+    """Snapshots at a timestamp that the book has already."""
+    return refused(points_of(mixed_tape(table(spark, sf_dir, "events")))).select("book_id", "ts", "seq")
+
+
 @query(f"WITH {_mixed('delta')} SELECT * FROM live")
 def mixed_levels(spark, sf_dir):
     return _mixed_live(spark, sf_dir, "delta")[1]
@@ -574,6 +642,59 @@ def sc_peek(spark, sf_dir):
     return p.peek(0).union(p.peek(-1))
 
 
+@query("SELECT c_custkey, c_nationkey AS p_size, EXISTS (SELECT 1 FROM part WHERE part.p_size = c_nationkey) AS there FROM customer")
+def sc_contains(spark, sf_dir):
+    """Whether values of a table are in a list."""
+    return _parts(spark, sf_dir).contains_rows(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("p_size")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey * 2 AS p_partkey, coalesce(p_type, 'none') AS p_type FROM lineitem LEFT JOIN part ON p_partkey = l_partkey * 2")
+def sc_get(spark, sf_dir):
+    """What a map gives the keys of a table, with a default."""
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 2).alias("p_partkey"))
+    return _part_map(spark, sf_dir).get_rows(keys, "p_type", default="none")
+
+
+@query("SELECT l_partkey, l_quantity, l_orderkey * 8 + l_linenumber AS n FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1")
+def sc_map_of_rows(spark, sf_dir):
+    """A map of rows that repeat keys: the newest row of a key stays."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"))
+    return Ordered.of(rows, "l_partkey", unique="key", newest="n").rows
+
+
+@query("SELECT DISTINCT l_partkey, 7 AS v FROM lineitem")
+def sc_fromkeys(spark, sf_dir):
+    return Ordered.fromkeys(table(spark, sf_dir, "lineitem"), "l_partkey", "v", 7).rows
+
+
+@query("SELECT p_partkey, p_size FROM part UNION ALL SELECT c_custkey, c_nationkey FROM customer")
+def sc_update(spark, sf_dir):
+    """A list takes all rows of another table."""
+    more = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("p_partkey"), F.col("c_nationkey").alias("p_size"))
+    return _parts(spark, sf_dir).update(more).rows
+
+
+@query("SELECT l_partkey AS v FROM lineitem EXCEPT ALL SELECT p_partkey FROM part")
+def sc_remove(spark, sf_dir):
+    """A list of the parts sold without one of each."""
+    sold = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v"))
+    return Ordered.of(sold, "v").discard_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"))).rows
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def sc_reversed(spark, sf_dir):
+    return _parts(spark, sf_dir).sorted(reverse=True)
+
+
+@query("SELECT 'list' AS name, count(*) AS n FROM part UNION ALL SELECT 'updated copy', 2 * count(*) FROM part UNION ALL SELECT 'cleared copy', 0")
+def sc_copies(spark, sf_dir):
+    """What is done to a copy leaves the list as it was."""
+    p = _parts(spark, sf_dir)
+    sizes = {"list": p, "updated copy": p.copy().update(p.rows), "cleared copy": p.copy().clear()}
+    one, two, three = (o.counts().select(F.lit(name).alias("name"), "n") for name, o in sizes.items())
+    return one.union(two).union(three)
+
+
 @query(f"SELECT p_partkey, p_size FROM {_RANKED} WHERE rank <> 10")
 def sc_pop(spark, sf_dir):
     return _parts(spark, sf_dir).pop(10)[1].rows

@@ -195,13 +195,7 @@ class Book:
     # exports
 
     def _export(self, side: str | None, nlevels: int | None) -> DataFrame:
-        rows = self.levels()
-        if side in ("b", "a"):
-            rows = rows.where(F.col("side") == side)
-            rows = rows.where(F.col("level") < nlevels) if nlevels is not None else rows
-        elif nlevels is not None:
-            rows = depth.split_budget(rows, nlevels)
-        return rows.orderBy(F.desc("side"), "level")
+        return depth.side_levels(self.levels(), side, nlevels).orderBy(F.desc("side"), "level")
 
     def to_np(self, side: str | None = None, nlevels: int | None = None):
         one = side in ("b", "a")

@@ -25,7 +25,8 @@ def spread() -> Column:
     return F.when(both(), _C("ask") - _C("bid")).otherwise(_nan())
 
 
-def spread_tick(tick_size: float) -> Column:
+def spread_tick(tick_size: float | Column) -> Column:
+    """The spread in ticks; the size of a tick may be a column, as books differ in it."""
     return spread() / F.lit(tick_size)
 
 

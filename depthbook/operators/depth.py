@@ -73,3 +73,11 @@ def split_budget(levels: DataFrame, n: int) -> DataFrame:
     """The best n levels of a book over both sides: (n + 1) // 2 bids, n // 2 asks."""
     return levels.where(F.col("level") < F.when(F.col("side") == "b", (n + 1) // 2).otherwise(n // 2))
 
+
+def side_levels(levels: DataFrame, side: str | None = None, n: int | None = None) -> DataFrame:
+    """The best n levels of one side ('b' or 'a'), or of any other `side` the best n of
+    both together; None takes all."""
+    if side in ("b", "a"):
+        rows = levels.where(F.col("side") == side)
+        return rows if n is None else rows.where(F.col("level") < n)
+    return levels if n is None else split_budget(levels, n)

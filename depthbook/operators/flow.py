@@ -136,3 +136,10 @@ def span_diff(left: Books, right: Books) -> DataFrame:
     changed = F.col("_b").isNotNull() & (F.col("_b") != F.coalesce("_a", F.lit(0.0)))
     unequal = pieces.where("vf < vt").where(gone | changed).select(*keys, F.coalesce("_b", F.lit(0.0)).alias("size"), "vf", "vt")
     return _delta_columns(met(left.points, unequal, left.most), left.kept)
+
+
+def equal_sides(diff: DataFrame) -> DataFrame:
+    """(book_id, ts, bids_equal, asks_equal) from a series diff: a side equals the other
+    series' where nothing turns the one into the other. A new level of size zero is no
+    change there."""
+    return diff.select("book_id", "ts", (F.col("n_bids") == 0).alias("bids_equal"), (F.col("n_asks") == 0).alias("asks_equal"))

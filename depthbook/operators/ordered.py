@@ -173,6 +173,42 @@ class Ordered:
 
     # by value
 
+    def _asked(self, values: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Rows of `values` beside what they share with this relation's rows, in its types."""
+        kinds = {f.name: f.dataType for f in self.rows.schema.fields}
+        on = [c for c in values.columns if c in kinds]
+        if not on:
+            raise ValueError(f"none of {values.columns} is a column of the relation")
+        return values.select(F.struct("*").alias("_v"), F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in on]).alias("_k")), on
+
+    def contains_rows(self, values: DataFrame) -> DataFrame:
+        """`values` with `there`: whether a row has their values in the columns that both
+        have. Null equals null; rows of `values` that repeat are answered each."""
+        asked, on = self._asked(values)
+        known = self.rows.select(F.struct(*on).alias("_of")).distinct()
+        met = asked.join(known, F.col("_k").eqNullSafe(F.col("_of")), "left")
+        return met.select("_v.*", F.col("_of").isNotNull().alias("there"))
+
+    def get_rows(self, keys: DataFrame, *columns: str, default=None) -> DataFrame:
+        """`keys`, whose columns the key expression reads, with the values that a map gives
+        them in some columns; `default` where the key is absent."""
+        asked = keys.select(F.struct("*").alias("_v"), self.key.alias("_k"))
+        held = self.rows.select(self.key.alias("_of"), F.struct(*columns).alias("_is"))
+        met = asked.join(held, F.col("_k").eqNullSafe(F.col("_of")), "left")
+        value = lambda c: F.when(F.col("_is").isNotNull(), F.col(f"_is.{c}")).otherwise(F.lit(default)).alias(c)
+        return met.select("_v.*", *map(value, columns))
+
+    def discard_rows(self, values: DataFrame) -> Ordered:
+        """Without one row for each row of `values` that is there; both have the same
+        columns. Equal rows are counted, not numbered, so a frequent one is one count."""
+        return self.with_rows(self.rows.exceptAll(values.select(*self.rows.columns)))
+
+    def remove_rows(self, values: DataFrame) -> Ordered:
+        """As discard_rows, but every row of `values` must be there, as often as it occurs."""
+        if values.select(*self.rows.columns).exceptAll(self.rows).limit(1).count():
+            raise ValueError("rows that are not there")
+        return self.discard_rows(values)
+
     def contains(self, value: Column) -> bool:
         return bool(self.rows.where(value).limit(1).count())
 

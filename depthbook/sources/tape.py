@@ -106,6 +106,13 @@ def points_of(tape: DataFrame) -> DataFrame:
     return tape.select("book_id", "seq", "ts", "kind").distinct()
 
 
+def refused(points: DataFrame) -> DataFrame:
+    """Snapshots that a series does not take without force: those at a timestamp at which
+    an earlier batch of the book has arrived."""
+    first = points.groupBy("book_id", "ts").agg(F.min("seq").alias("_first"))
+    return points.where("kind = 's'").join(first, ["book_id", "ts"]).where("seq > _first").drop("_first")
+
+
 def last_writes(tape: DataFrame) -> DataFrame:
     """One row per (batch, side, price): the last by `ord` (ties by size)."""
     w = Window.partitionBy("book_id", "seq", "side", "price").orderBy(F.desc("ord"), F.desc("size"))

@@ -195,3 +195,21 @@ def test_flags(spark):
     for a, b in (([1, 2], [1, 2, 3]), ([1], [2]), ([], []), ([], [1]), ([1, None], [None, 1])):
         got = tuple(make(a).flags_frame(make(b)).first())
         assert got == (set(a) <= set(b), set(a) >= set(b), set(a).isdisjoint(b))
+
+
+def test_tables_of_values(spark):
+    """Membership, look-ups and removals for tables of values, nulls and repeats among them."""
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (None, "c")], "k long, v string")
+    o = Ordered.of(rows, "k")
+    asked = spark.createDataFrame([(7, 1), (8, 1), (9, None), (10, 5)], "who long, k int")
+    assert {r["who"]: r["there"] for r in o.contains_rows(asked).collect()} == {7: True, 8: True, 9: True, 10: False}
+    assert o.contains_rows(asked.limit(0)).count() == 0 and not any(r["there"] for r in o.clear().contains_rows(asked).collect())
+    with pytest.raises(ValueError):
+        o.contains_rows(asked.select("who"))
+    m = Ordered.of(rows, "k", unique="key")
+    assert {r["who"]: r["v"] for r in m.get_rows(asked, "v", default="x").collect()} == {7: "a", 8: "a", 9: "c", 10: "x"}
+    less = o.remove_rows(spark.createDataFrame([("a", 1), ("c", None)], "v string, k long")).rows
+    assert sorted(map(str, less.collect())) == sorted(map(str, [rows.first(), *rows.where("k = 2").collect()]))
+    with pytest.raises(ValueError):
+        o.remove_rows(rows.union(rows))
+    assert o.discard_rows(rows.union(rows)).count() == 0

@@ -36,36 +36,68 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+#: Bytes of texts that are looked at together; a longer text is counted block by block.
+BLOCK = 1 << 18
+
+
+def _squeezed(x: np.ndarray) -> np.ndarray:
+    """Which bytes stay when runs of spaces become one."""
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
+    return keep
+
+
+def _buckets(x: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram that begins at each byte."""
+    u = x.astype(np.uint64)
+    code = u[: max(0, len(u) - n + 1)].copy()
+    for k in range(1, n):
+        code = code * np.uint64(257) + u[k : len(code) + k]
+    return (mix(code, n) % np.uint64(BUCKETS)).astype(np.int32)
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray):
     """Buckets of all n-grams of a slice of texts and each text's border in them."""
     x = _FOLD[data]
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
+    keep = _squeezed(x)
     x = x[keep]
     border = np.concatenate([[0], np.cumsum(keep)])[offsets]
     # a space between texts keeps n-grams from crossing
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(border))
-    u = x.astype(np.uint64)
     out, own = [], []
     for n in (1, 2, 3):
-        if len(u) < n:
+        if len(x) < n:
             break
-        code = u[: len(u) - n + 1].copy()
-        for k in range(1, n):
-            code = code * np.uint64(257) + u[k : len(u) - n + 1 + k]
-        same = owner[: len(code)] == owner[n - 1 :]
-        out.append((mix(code, n) % np.uint64(BUCKETS)).astype(np.int32)[same])
-        own.append(owner[: len(code)][same].astype(np.int32))
+        first = owner[: len(x) - n + 1]
+        same = first == owner[n - 1 :]
+        out.append(_buckets(x, n)[same])
+        own.append(first[same].astype(np.int32))
     return (np.concatenate(out), np.concatenate(own)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
-def profiles(column: pa.Array) -> np.ndarray:
+def _long(data: np.ndarray, block: int) -> np.ndarray:
+    """Counts of one text's n-grams by blocks; a block begins with the two bytes before it."""
+    total, before = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint8)
+    for i in range(0, len(data), block):
+        x = np.append(before, _FOLD[data[i : i + block]])
+        x = x[_squeezed(x)]
+        for n in (1, 2, 3):
+            new = _buckets(x, n)[max(0, len(before) - n + 1) :]
+            total += np.bincount(new, minlength=BUCKETS)
+        before = x[-2:]
+    return total
+
+
+def profiles(column: pa.Array, block: int = BLOCK) -> np.ndarray:
     """Square-root-damped, length-one n-gram profiles of a small column."""
     data, offsets = utf8(column)
     rows = []
-    for i, j, d, o in slices(data, offsets):
-        g, own = _grams(d, o)
-        x = np.bincount(own * np.int64(BUCKETS) + g, minlength=(j - i) * BUCKETS).reshape(j - i, BUCKETS).astype(np.float32)
+    for i, j, d, o in slices(data, offsets, block):
+        if len(d) > block:  # one text
+            x = _long(d, block)[None, :].astype(np.float32)
+        else:
+            g, own = _grams(d, o)
+            x = np.bincount(own * np.int64(BUCKETS) + g, minlength=(j - i) * BUCKETS).reshape(j - i, BUCKETS).astype(np.float32)
         rows.append(_damped(x))
     return np.concatenate(rows) if rows else np.zeros((0, BUCKETS), np.float32)
 

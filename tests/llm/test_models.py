@@ -346,3 +346,21 @@ def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 3), (5, 4), (7, 7), *((100 + i, 101 + i) for i in range(30))]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, **{100 + i: 100 for i in range(31)}}
+
+
+def test_profiles_by_blocks():
+    """A text that is longer than a block has the profile that counting its n-grams one by
+    one gives, wherever blocks end."""
+    texts = ["  A  b", None, "", "the cat sat  on\n\nthe mat, " * 9, "x", " \t ", "é ß 漢字  q"]
+    want = np.zeros((len(texts), language_id.BUCKETS))
+    for row, text in zip(want, texts):
+        letters = bytes(b if b > 127 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in (text or "").encode())
+        while b"  " in letters:
+            letters = letters.replace(b"  ", b" ")
+        for n in (1, 2, 3):
+            for k in range(len(letters) - n + 1):
+                row[language_id._buckets(np.frombuffer(letters[k : k + n], np.uint8), n)[0]] += 1
+    want = np.sqrt(want)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    for block in (1, 2, 3, 7, 50, 1 << 18):
+        assert np.allclose(language_id.profiles(pa.array(texts), block), want, atol=1e-6), block

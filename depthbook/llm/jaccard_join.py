@@ -17,15 +17,16 @@ threshold t. Steps, all over every document:
    most near copies share. Under every key each member is paired with the key's most
    central member only, so a group of copies makes pairs in proportion to its size.
 5. Verification on whole sets; components of what links.
-6. All keys: every rare token by itself, and every combination of two frequent tokens of
-   a prefix, where they still span several components. Of a pair that links, the smaller
+6. All keys, where they still span several components: every token by itself that has fewer
+   than `frequent` postings outside its largest component, however many inside, and every
+   combination of two of the others (hot tokens). Of a pair that links, the smaller
    document shares 2t / (1 + t) of its own tokens at least, so only the leading ones of
    its prefix are asked, and pairs of near misses of one template are not made. Nor are
    pairs whose parities (256 bits a set) differ in more bits than linked sets can differ in
    tokens. Members of a key's largest component are not paired with each other, so what a
    group of copies has linked already is not met again. What is asked is verified the same
    way: no link between components is lost, whatever the frequency; pairs inside a
-   component can change nothing. A document with over `most_frequent` frequent tokens in
+   component can change nothing. A document with over `most_frequent` hot tokens in
    its prefix has them indexed one by one instead of in all combinations, against all,
    which finds the same links.
 """
@@ -101,6 +102,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(f"100 * both >= {percent} * (n + m - both)").select("a", "b")
 
 
+def _combinations(few: DataFrame, side: list[str]) -> DataFrame:
+    """All combinations of two of a document's hot tokens `f`. Under its first two common
+    tokens a pair shares the first and what is left from the second on."""
+    twos = F.expr("flatten(transform(f, (t, i) -> transform(slice(f, i + 2, size(f)), u -> struct(xxhash64(t.token, u.token) as key, u.rest + 1 as rest))))")
+    return few.select(*side, F.explode(twos).alias("k")).select("k.key", "k.rest", *side)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, frequent: int = 100, combine: int = 3, most_frequent: int = 64) -> DataFrame:
     """Return (doc_id, n_shingles, component_id) of every row.
 
@@ -157,20 +165,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = placed.join(spans, "token", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), *_P), "rep")
     side = ["rep", "n", "component_id", *_P]
     open_ = settle(open_.select("token", "df", "at", "rest", *side), "open")
-    common = open_.where(F.col("df") >= frequent).groupBy(*side).agg(F.array_sort(F.collect_list(F.struct("at", "token", "rest"))).alias("f"))
+    # a token by itself makes pairs with those outside its largest component alone
+    outside = open_.groupBy("token", "component_id").count().groupBy("token").agg((F.sum("count") - F.max("count")).alias("out"))
+    hot = outside.where(F.col("out") >= frequent).select("token", F.lit(True).alias("hot"))
+    told = open_.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    common = told.where("hot").groupBy(*side).agg(F.array_sort(F.collect_list(F.struct("at", "token", "rest"))).alias("f"))
     few = common.where(F.size("f") <= most_frequent)
-    # under its first two common tokens a pair shares the first and what is left from the second on
-    twos = F.expr("flatten(transform(f, (t, i) -> transform(slice(f, i + 2, size(f)), u -> struct(xxhash64(t.token, u.token) as key, u.rest + 1 as rest))))")
-    combos = few.select(*side, F.explode(twos).alias("k")).select("k.key", "k.rest", *side)
+    combos = _combinations(few, side)
     many = common.where(F.size("f") > most_frequent).select(*side, F.explode("f").alias("k")).select(F.col("k.token").alias("key"), "k.rest", *side)
-    single = open_.select(F.col("token").alias("key"), "rest", "df", *side)
-    every, rare = single.where(F.col("df") >= frequent).drop("df"), single.where(F.col("df") < frequent).drop("df")
+    every = told.where("hot").select(F.col("token").alias("key"), "rest", *side)
+    # the first common token of a pair may be hot where its second is not: one more is shared then
+    alone = told.where("not hot").select(F.col("token").alias("key"), F.when(F.col("df") >= frequent, F.col("rest") + 1).otherwise(F.col("rest")).alias("rest"), *side)
 
     def postings(*parts: DataFrame) -> DataFrame:
         """Parts of one posting table; each meets the same part of another table only."""
         return reduce(DataFrame.union, [p.select(F.xxhash64(F.lit(i), "key").alias("key"), "rest", *side) for i, p in enumerate(parts)])
 
-    asking, asked = postings(rare, combos, many, every).where(f"{100 + percent} * rest >= 2 * {percent} * n"), postings(rare, combos, every, many)
+    asking, asked = postings(alone, combos, many, every).where(f"{100 + percent} * rest >= 2 * {percent} * n"), postings(alone, combos, every, many)
     # members of a key's largest component ask, and answer, the others under that key only
     largest = asked.groupBy("key", "component_id").count().groupBy("key").agg(F.max(F.struct("count", "component_id")).alias("top"))
     largest = largest.select("key", F.col("top.component_id").alias("inner"))

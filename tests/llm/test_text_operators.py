@@ -102,6 +102,24 @@ def test_jaccard_near_misses_of_a_template(spark, monkeypatch):
     assert sum(asked) <= 4 * len(texts)
 
 
+def test_jaccard_frequent_tokens_of_one_component(spark, monkeypatch):
+    """Tokens that are frequent among linked copies and rare outside them make no
+    combinations: the pairs that they make by themselves grow with their postings."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(120)]
+    copies = [[*base[:115], f"c{rng.randrange(9)}", *base[116:]] for _ in range(60)]
+    apart = [base[:95] + [f"o{i // 2}x{k}" for k in range(22)] for i in range(8)]
+    texts = [" ".join(w) for w in copies + apart]
+    texts = [f"{t} e{i}" for i, t in enumerate(texts)]
+    made = []
+    combined = jaccard_join._combinations
+    monkeypatch.setattr(jaccard_join, "_combinations", lambda few, side: (made.append(combined(few, side).count()), combined(few, side))[1])
+    got = jaccard_join.jaccard_components(frame(spark, texts), frequent=20).collect()
+    sets = {i: brute_set(t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(list(sets), sets)
+    assert made == [0]
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 

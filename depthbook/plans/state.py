@@ -8,10 +8,10 @@ book is many keys:
 
 * whole books (`live`): numbers are cut into chunks of CHUNK_POINTS, spans at the borders
   of chunks, and the range test is a residual;
-* best prices (`tops`): a span is the union of a few nodes of a tree over the numbers (FAN
-  nodes of one level make one of the next), each node knows the best prices of the spans
-  that have it, and a point asks the one node of each level that holds it. This costs the
-  same at any depth of the book.
+* best prices (`tops`): numbers are cut into blocks, and in a block a span is the union of a
+  few nodes of a tree over the numbers (FAN nodes of one level make one of the next), each
+  node knows the best prices of the spans that have it, and a point asks the one node of
+  each level that holds it. A live level costs one row more for each block.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from depthbook.sources.tape import last_writes
 CHUNK_POINTS, FAN = 256, 8
 #: Points of a task that makes whole books of them, about.
 TASK_POINTS = 64 * CHUNK_POINTS
+#: Rows of a task that joins or sorts single rows, about.
+TASK_ROWS = 8 * TASK_POINTS
+#: Points of a task that finds their best prices, about; levels of the tree of a block.
+TASK_TOPS, HEIGHT = 2 * TASK_POINTS, 4
 COLUMNS = ("book_id", "ts", "side", "price", "size")
 
 
@@ -51,7 +55,9 @@ def _numbered(points: DataFrame, dense: bool = False) -> tuple[DataFrame, int]:
         p = points.withColumn("no", (F.row_number().over(w) - 1).cast("long"))
     else:
         r = ranks.number(points, [F.col("book_id"), F.col("seq")], "_r")
-        p = r.join(r.groupBy("book_id").agg(F.min("_r").alias("_first")), "book_id").withColumn("no", F.col("_r") - F.col("_first")).drop("_r", "_first")
+        # written, so that its size is known and the points of few books aren't dealt by book
+        first = settle(r.groupBy("book_id").agg(F.min("_r").alias("_first")), "first")
+        p = r.join(first, "book_id").withColumn("no", F.col("_r") - F.col("_first")).drop("_r", "_first")
     return p.withColumn("chunk", _part("no", CHUNK_POINTS)), n
 
 
@@ -129,14 +135,17 @@ class Books:
         return self.points.select("book_id", "ts")
 
 
-def _spans(rows: DataFrame, ends: DataFrame | None, bounds: DataFrame) -> DataFrame:
+def _spans(rows: DataFrame, ends: DataFrame | None, bounds: DataFrame, n: int) -> DataFrame:
     """Spans of record rows (book_id, seq, no, epoch, side, price, size, kind) within each
     book's bounds (book_id, lo, hi); a book without bounds has none.
 
     Tombstones end the level before them and then go; zero sizes of snapshots stay.
     """
     key = Window.partitionBy("book_id", "epoch", "side", "price").orderBy("seq")
-    r = rows.join(bounds, "book_id").where("no < hi").withColumn("vt", F.lead("no").over(key)).where("not (kind = 'u' and size = 0)")
+    r = rows.join(bounds, "book_id").where("no < hi")
+    if n > ranks.RANGE_ROWS:
+        r = r.repartition(_tasks(r, n, TASK_ROWS), "book_id", "epoch", "side", "price")
+    r = r.withColumn("vt", F.lead("no").over(key)).where("not (kind = 'u' and size = 0)")
     if ends is not None:
         r = r.join(ends, ["book_id", "epoch"], "left").withColumn("vt", F.coalesce("vt", "epoch_end"))
     r = r.withColumn("vt", F.least(F.coalesce("vt", "hi"), "hi"))
@@ -157,6 +166,8 @@ def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: boo
     rows = rows.select("book_id", "seq", "side", "price", "size", "kind")
     p, n = _numbered(points, dense)
     placed = p.withColumns({"epoch": F.lit(0), "record": F.lit(True)}) if in_order else place(p, mode)
+    if n > ranks.RANGE_ROWS:  # read several times
+        placed = settle(placed, "placed")
     kept = in_time(placed if in_order else survivors(placed, mode), start, end)
     if axis is not None:
         # numbers that count the axis' points alone: between two of them nothing is seen
@@ -170,13 +181,31 @@ def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: boo
         placed = running(on, "_on", "sum", "_upto").withColumn("no", F.col("_upto") - F.col("_on")).withColumn("chunk", _part("no", CHUNK_POINTS)).drop("_upto")
         kept, placed = placed.where("_on = 1").drop("_on"), placed.drop("_on")
     ends = None if in_order else placed.where("record and kind = 's'").select("book_id", (F.col("epoch") - 1).alias("epoch"), F.col("no").alias("epoch_end"))
-    marked = rows.join(placed.select("book_id", "seq", "no", "epoch", "record"), ["book_id", "seq"])
+    at = placed.select("book_id", "seq", "no", "epoch", "record")
+    if n > ranks.RANGE_ROWS:  # tasks of a bounded size, which compressed shuffles do not tell
+        rows, at = (x.repartition(_tasks(x, n, TASK_ROWS), "book_id", "seq") for x in (rows, at))
+    marked = rows.join(at, ["book_id", "seq"])
     own = None if in_order else marked.where("not record").join(kept.select("book_id", "seq", "ts", "chunk"), ["book_id", "seq"])
     # a late snapshot stands on nothing
     no = F.col("no") if in_order else F.when(F.col("record") | (F.col("kind") == "u"), F.col("no"))
     kept = kept.select("book_id", "ts", no.alias("no"), "chunk", "record")
+    return Books(kept, _spans(marked.where("record"), ends, _bounds(kept, n), n), own, n)
+
+
+def _bounds(kept: DataFrame, n: int) -> DataFrame:
+    """The numbers that a book's points lie in; of many points written, as its size is then
+    known and spans of few books are not dealt by book."""
     bounds = kept.groupBy("book_id").agg(F.min("no").alias("lo"), (F.max("no") + 1).alias("hi"))
-    return Books(kept, _spans(marked.where("record"), ends, bounds), own, n)
+    return settle(bounds, "bounds") if n > ranks.RANGE_ROWS else bounds
+
+
+def between(b: Books, start: Any = None, end: Any = None) -> Books:
+    """The books of a time range, both ends inclusive, None open: its points and what of
+    the spans they can see."""
+    kept = in_time(b.points, start, end)
+    seen = b.spans.join(_bounds(kept, b.most), "book_id").where("vf < hi and lo < vt")
+    seen = seen.select("book_id", "side", "price", "size", F.greatest("vf", "lo").alias("vf"), F.least("vt", "hi").alias("vt"))
+    return Books(kept, seen, None if b.own is None else in_time(b.own, start, end), b.most)
 
 
 def _tasks(df: DataFrame, n: int, rows: int) -> int:
@@ -261,8 +290,9 @@ def top(kept: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def _in_nodes(spans: DataFrame, height: int) -> DataFrame:
-    """Spans with the nodes (level, node) that each is the union of, in a tree of `height`
-    levels: of each level those that no node of the next level covers."""
+    """Rows with nodes (level, node) of a tree of `height` levels: spans with those that
+    each is the union of, of each level those that no node of the next level covers, and
+    points (rows with a number) with the one node of each level that holds them."""
     bits = FAN.bit_length() - 1
     by_level = spans.withColumn("level", F.explode(F.array(*map(F.lit, range(height)))))
     down = lambda c, k: F.expr(f"shiftright({c}, {bits} * ({k}))")
@@ -270,25 +300,37 @@ def _in_nodes(spans: DataFrame, height: int) -> DataFrame:
     ends = {"_a": up("vf", "level"), "_b": down("vt", "level"), "_c": up("vf", "level + 1") * FAN, "_d": down("vt", "level + 1") * FAN}
     run = lambda a, b: F.when(F.col(a) < F.col(b), F.sequence(F.col(a), F.col(b) - 1)).otherwise(F.array().cast("array<long>"))
     covered = (F.col("_c") < F.col("_d")) & (F.col("level") < height - 1)
-    node = F.explode(F.when(covered, F.concat(run("_a", "_c"), run("_d", "_b"))).otherwise(run("_a", "_b")))
-    return by_level.withColumns(ends).where("_a < _b").withColumn("node", node).drop(*ends)
+    asks = F.array(down("no", "level"))
+    node = F.explode(F.when(F.col("no").isNotNull(), asks).when(covered, F.concat(run("_a", "_c"), run("_d", "_b"))).otherwise(run("_a", "_b")))
+    return by_level.withColumns(ends).where("no is not null or _a < _b").withColumn("node", node).drop(*ends)
+
+
+def _nulls(like: DataFrame, *names: str) -> list[Column]:
+    return [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
 
 
 def tops(b: Books) -> DataFrame:
     """Best price and size of both sides of every point kept; 0.0 for an empty side.
 
-    Costs a few rows for each span and one for each point and level of the tree, whatever
-    the depth of the books.
+    Costs a few rows for each span and one for each point and level of the tree, and a cut
+    of each live level at the borders of blocks of FAN ** HEIGHT numbers. Points and spans
+    are shuffled once, by block, so a task holds about TASK_TOPS points however many there
+    are.
     """
-    height = 1
-    while FAN**height < b.most:
-        height += 1
-    nodes = _in_nodes(b.spans, height).groupBy("book_id", "level", "node").agg(*_best())
-    record = (b.points.where("record") if b.own is not None else b.points)
-    record = record.repartition(_tasks(record, b.most, 8 * TASK_POINTS), "book_id", "no")
-    path = record.withColumn("level", F.explode(F.array(*map(F.lit, range(height)))))
-    node = F.expr(f"shiftright(no, {FAN.bit_length() - 1} * level)").alias("node")
-    asked = path.select("book_id", "ts", "level", node).join(nodes, ["book_id", "level", "node"], "left")
-    best = asked.groupBy("book_id", "ts").agg(F.max("bid").alias("bid"), F.max_by("bidq", "bid").alias("bidq"), F.min("ask").alias("ask"), F.min_by("askq", "ask").alias("askq"))
+    width = FAN**HEIGHT
+    record = b.points.where("record") if b.own is not None else b.points
+    points = record.select("book_id", _part("no", width).alias("block"), "no", "ts", *_nulls(b.spans, "side", "price", "size", "vf", "vt"))
+    cut = b.spans.withColumn("block", F.explode(F.sequence(_part("vf", width), F.floor((F.col("vt") - 1) / width).cast("long"))))
+    edge = F.col("block") * width
+    cut = cut.select("book_id", "block", *_nulls(points, "no", "ts"), "side", "price", "size", F.greatest("vf", edge).alias("vf"), F.least("vt", edge + width).alias("vt"))
+    # dealt by block once: all that follows has the block among its keys
+    dealt = points.unionByName(cut).repartition(_tasks(points, b.most, TASK_TOPS), "book_id", "block")
+    levels = _in_nodes(dealt.withColumns({"vf": F.coalesce("vf", "no"), "vt": F.coalesce("vt", F.col("no") + 1)}), HEIGHT)
+    by_node = levels.groupBy("book_id", "block", "level", "node", "no", "ts").agg(*_best())
+    w = Window.partitionBy("book_id", "block", "level", "node")
+    bids, asks = F.max("bid").over(w), F.min("ask").over(w)
+    sizes = F.max_by("bidq", "bid").over(w), F.min_by("askq", "ask").over(w)
+    asked = by_node.select("book_id", "block", "no", "ts", bids.alias("bid"), sizes[0].alias("bidq"), asks.alias("ask"), sizes[1].alias("askq")).where("no is not null")
+    best = asked.groupBy("book_id", "block", "no", "ts").agg(F.max("bid").alias("bid"), F.max_by("bidq", "bid").alias("bidq"), F.min("ask").alias("ask"), F.min_by("askq", "ask").alias("askq"))
     best = best.select("book_id", "ts", *_filled())
     return best if b.own is None else best.unionByName(top(b.points.where("not record").select("book_id", "ts"), _late(b)))

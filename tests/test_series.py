@@ -208,3 +208,29 @@ def test_series_over_a_table(spark, mode):
     assert plain(over.table()) == plain(literal.table()) and over.update_frequency() == literal.update_frequency()
     literal.release()
     assert literal.len == over.len
+
+
+def _long_tape(spark, n=150):
+    from depthbook.sources.tape import from_batches
+
+    rng = random.Random(8)
+    batches = [{"kind": "u", "ts": i, "rows": [("b" if rng.random() < 0.5 else "a", 10 + rng.randrange(9), rng.randrange(4))]} for i in range(n)]
+    return batches, *from_batches(spark, batches)
+
+
+def test_best_prices_by_blocks(spark, monkeypatch):
+    """Tasks of best prices follow the number of points, and blocks cut long spans."""
+    monkeypatch.setattr(state, "FAN", 2)
+    monkeypatch.setattr(state, "TASK_TOPS", 10, raising=False)
+    batches, tape, points = _long_tape(spark)
+    tops = state.tops(state.books(tape, points))
+    assert tops.rdd.getNumPartitions() == 15  # 4 by shuffle partitions alone
+    book, want = {}, {}
+    for b in batches:
+        for side, price, size in b["rows"]:
+            book.pop((side, price), None)
+            if size:
+                book[side, price] = size
+        bid, ask = (f((p for s, p in book if s == x), default=0) for f, x in ((max, "b"), (min, "a")))
+        want[b["ts"]] = (bid, book.get(("b", bid), 0), ask, book.get(("a", ask), 0))
+    assert {int(r["ts"]): (r["bid"], r["bidq"], r["ask"], r["askq"]) for r in tops.collect()} == want

@@ -231,6 +231,7 @@ class BookSeries:
         self._batches: list[dict] = []
         self._held: tuple[DataFrame, DataFrame] | None = None
         self._books: state.Books | None = None
+        self._tops: DataFrame | None = None
 
     mode = property(lambda s: s._mode)
 
@@ -244,8 +245,13 @@ class BookSeries:
         s = BookSeries(tape.sparkSession, tick_size=tick_size, mode=mode)
         b = state.books(tape, points, mode)
         b = replace(b, points=settle(b.points, "kept"), spans=settle(b.spans, "spans"), own=settle(b.own, "own"))
-        s._books, s._held, s._fixed = b, (b.kept, state.live(b).drop("chunk")), True
-        return s
+        if not b.points.where("not record").limit(1).count():
+            b = replace(b, own=None)
+        return s._over(b)
+
+    def _over(self, b: state.Books) -> BookSeries:
+        self._books, self._held, self._fixed = b, (b.kept, state.live(b).drop("chunk")), True
+        return self
 
     def _add(self, kind: str, rows: list, timestamp: Any) -> None:
         if self._fixed:
@@ -299,10 +305,13 @@ class BookSeries:
     live = property(lambda s: s._frames()[1])
 
     def levels(self) -> DataFrame:
-        return state.levels(self.live)
+        # of a table dealt by chunk, which the ranks of a point's levels keep
+        return state.levels(state.live(self._books) if self._books else self.live).drop("chunk")
 
     def top(self) -> DataFrame:
-        return state.tops(self._books) if self._books else state.top(self.kept, self.live)
+        if self._books and self._tops is None:  # every property of a table reads it
+            self._tops = settle(state.tops(self._books), "tops")
+        return self._tops if self._books else state.top(self.kept, self.live)
 
     # access
 
@@ -325,6 +334,8 @@ class BookSeries:
     def get_range(self, start: Any = None, end: Any = None) -> BookSeries:
         """Both ends inclusive; None leaves an end open."""
         out = BookSeries(self.spark, f"{self.name}_range", self.tick_size, self.mode)
+        if self._books:
+            return out._over(state.between(self._books, start, end))
         out._fixed, out._held = True, tuple(depth.time_slice(f, start, end) for f in self._frames())
         return out
 

@@ -234,3 +234,25 @@ def test_best_prices_by_blocks(spark, monkeypatch):
         bid, ask = (f((p for s, p in book if s == x), default=0) for f, x in ((max, "b"), (min, "a")))
         want[b["ts"]] = (bid, book.get(("b", bid), 0), ask, book.get(("a", ask), 0))
     assert {int(r["ts"]): (r["bid"], r["bidq"], r["ask"], r["askq"]) for r in tops.collect()} == want
+
+
+def test_properties_of_a_table_find_best_prices_once(spark, monkeypatch):
+    _, tape, points = _long_tape(spark, 40)
+    made, tops = [], state.tops
+    monkeypatch.setattr(state, "tops", lambda b: (made.append(1), tops(b))[1])
+    s = BookSeries.of_tape(tape, points)
+    assert s.bid.join(s.ask, "ts").join(s.spread, "ts").join(s.vi, "ts").count() == 40
+    assert len(made) == 1
+
+
+def test_slice_of_a_table_reads_its_spans(spark):
+    """A slice keeps what of the spans its points can see, and is a series like any other."""
+    _, tape, points = _long_tape(spark)
+    s = BookSeries.of_tape(tape, points)
+    part = s[60:70]
+    cut = part._books.spans.selectExpr("min(vf) lo", "max(vt) hi", "count(*) n").first()
+    assert (cut.lo, cut.hi) == (60, 71) and cut.n < s._books.spans.count()
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(part.table()) == rows(s.table(60, 70))
+    assert rows(part.bid) == rows(s.bid_ts(60, 70))
+    assert s[200:300].table().count() == 0

@@ -45,7 +45,7 @@ def _tape(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
 
 def _books(spark: SparkSession, sf_dir: str, shift: int = 0, **options) -> state.Books:
     tape = _tape(spark, sf_dir, shift)
-    return state.books(tape, points_of(tape), in_order=True, collapsed=True, **options)
+    return state.books(tape, in_order=True, collapsed=True, **options)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

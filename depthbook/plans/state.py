@@ -123,12 +123,13 @@ class Books:
     """points: those kept, (book_id, ts, no, chunk, record). spans: (book_id, side, price,
     size, vf, vt), the numbers from vf to before vt. own: rows of points that are no
     records, on top of the spans (updates) or alone (snapshots). most: no number is as
-    large."""
+    large. rows: of the tape they were made of, which has no fewer spans."""
 
     points: DataFrame
     spans: DataFrame
     own: DataFrame | None = None
     most: int = 1
+    rows: int = 0
 
     @property
     def kept(self) -> DataFrame:
@@ -136,15 +137,17 @@ class Books:
 
 
 def _spans(rows: DataFrame, ends: DataFrame | None, bounds: DataFrame, n: int) -> DataFrame:
-    """Spans of record rows (book_id, seq, no, epoch, side, price, size, kind) within each
+    """Spans of n record rows (book_id, seq, no, epoch, side, price, size, kind) within each
     book's bounds (book_id, lo, hi); a book without bounds has none.
 
     Tombstones end the level before them and then go; zero sizes of snapshots stay.
     """
-    key = Window.partitionBy("book_id", "epoch", "side", "price").orderBy("seq")
-    r = rows.join(bounds, "book_id").where("no < hi")
+    # dealt by a hash of the key: a window normalises doubles and folds an epoch that is
+    # always 0, so rows dealt by the key itself would be dealt again, by shuffle partitions
+    key = Window.partitionBy("_level", "book_id", "epoch", "side", "price").orderBy("seq")
+    r = rows.join(bounds, "book_id").where("no < hi").withColumn("_level", F.xxhash64("book_id", "epoch", "side", "price"))
     if n > ranks.RANGE_ROWS:
-        r = r.repartition(_tasks(r, n, TASK_ROWS), "book_id", "epoch", "side", "price")
+        r = r.repartition(_tasks(r, n, TASK_ROWS), "_level")
     r = r.withColumn("vt", F.lead("no").over(key)).where("not (kind = 'u' and size = 0)")
     if ends is not None:
         r = r.join(ends, ["book_id", "epoch"], "left").withColumn("vt", F.coalesce("vt", "epoch_end"))
@@ -152,9 +155,16 @@ def _spans(rows: DataFrame, ends: DataFrame | None, bounds: DataFrame, n: int) -
     return r.select("book_id", "side", "price", "size", F.greatest("no", "lo").alias("vf"), "vt").where("vf < vt")
 
 
-def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: bool = False, collapsed: bool = False, dense: bool = False, start: Any = None, end: Any = None, axis: DataFrame | None = None) -> Books:
-    """The books of a tape at the points that its series keep, of a time range if one is
-    given, or at exactly the points (book_id, ts) of an `axis`: what no such point can see
+def _points_of(tape: DataFrame, n: int) -> DataFrame:
+    """The points of a tape of n rows without empty batches; of many rows dealt before they
+    are told apart, as a task that reads a part of the tape may read any number."""
+    rows = tape.select("book_id", "seq", "ts", "kind")
+    return (rows.repartition(_tasks(rows, n, TASK_ROWS), "book_id", "seq") if n > ranks.RANGE_ROWS else rows).distinct()
+
+
+def books(tape: DataFrame, points: DataFrame | None = None, mode: str = "delta", in_order: bool = False, collapsed: bool = False, dense: bool = False, start: Any = None, end: Any = None, axis: DataFrame | None = None) -> Books:
+    """The books of a tape at the points (none given: those of its rows) that its series
+    keep, of a time range if one is given, or at exactly the points (book_id, ts) of an `axis`: what no such point can see
     is left out before anything is joined.
 
     `in_order` promises that arrival and timestamp order agree, with unique timestamps
@@ -164,7 +174,9 @@ def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: boo
     """
     rows = tape if collapsed else last_writes(tape)
     rows = rows.select("book_id", "seq", "side", "price", "size", "kind")
-    p, n = _numbered(points, dense)
+    many = tape.count()
+    p, n = _numbered(_points_of(tape, many) if points is None else points, dense)
+    many = max(n, many)
     placed = p.withColumns({"epoch": F.lit(0), "record": F.lit(True)}) if in_order else place(p, mode)
     if n > ranks.RANGE_ROWS:  # read several times
         placed = settle(placed, "placed")
@@ -183,17 +195,19 @@ def books(tape: DataFrame, points: DataFrame, mode: str = "delta", in_order: boo
     ends = None if in_order else placed.where("record and kind = 's'").select("book_id", (F.col("epoch") - 1).alias("epoch"), F.col("no").alias("epoch_end"))
     at = placed.select("book_id", "seq", "no", "epoch", "record")
     if n > ranks.RANGE_ROWS:  # tasks of a bounded size, which compressed shuffles do not tell
-        rows, at = (x.repartition(_tasks(x, n, TASK_ROWS), "book_id", "seq") for x in (rows, at))
+        rows, at = (x.repartition(_tasks(x, many, TASK_ROWS), "book_id", "seq") for x in (rows, at))
+    elif many > ranks.RANGE_ROWS:  # many rows of few points
+        at = F.broadcast(at)
     marked = rows.join(at, ["book_id", "seq"])
     own = None if in_order else marked.where("not record").join(kept.select("book_id", "seq", "ts", "chunk"), ["book_id", "seq"])
     # a late snapshot stands on nothing
     no = F.col("no") if in_order else F.when(F.col("record") | (F.col("kind") == "u"), F.col("no"))
     kept = kept.select("book_id", "ts", no.alias("no"), "chunk", "record")
-    return Books(kept, _spans(marked.where("record"), ends, _bounds(kept, n), n), own, n)
+    return Books(kept, _spans(marked.where("record"), ends, _bounds(kept, many), many), own, n, many)
 
 
 def _bounds(kept: DataFrame, n: int) -> DataFrame:
-    """The numbers that a book's points lie in; of many points written, as its size is then
+    """The numbers that a book's points lie in; of many points or rows written, as its size is then
     known and spans of few books are not dealt by book."""
     bounds = kept.groupBy("book_id").agg(F.min("no").alias("lo"), (F.max("no") + 1).alias("hi"))
     return settle(bounds, "bounds") if n > ranks.RANGE_ROWS else bounds
@@ -203,13 +217,13 @@ def between(b: Books, start: Any = None, end: Any = None) -> Books:
     """The books of a time range, both ends inclusive, None open: its points and what of
     the spans they can see."""
     kept = in_time(b.points, start, end)
-    seen = b.spans.join(_bounds(kept, b.most), "book_id").where("vf < hi and lo < vt")
+    seen = b.spans.join(_bounds(kept, max(b.most, b.rows)), "book_id").where("vf < hi and lo < vt")
     seen = seen.select("book_id", "side", "price", "size", F.greatest("vf", "lo").alias("vf"), F.least("vt", "hi").alias("vt"))
-    return Books(kept, seen, None if b.own is None else in_time(b.own, start, end), b.most)
+    return Books(kept, seen, None if b.own is None else in_time(b.own, start, end), b.most, b.rows)
 
 
 def _tasks(df: DataFrame, n: int, rows: int) -> int:
-    """Tasks for n points, of `rows` points each or, where they are few, all that there are:
+    """Tasks for n points or rows, of `rows` each or, where they are few, all that there are:
     what joins them makes many rows of each, which their own size does not tell."""
     return max(-(-n // rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -313,19 +327,22 @@ def tops(b: Books) -> DataFrame:
     """Best price and size of both sides of every point kept; 0.0 for an empty side.
 
     Costs a few rows for each span and one for each point and level of the tree, and a cut
-    of each live level at the borders of blocks of FAN ** HEIGHT numbers. Points and spans
-    are shuffled once, by block, so a task holds about TASK_TOPS points however many there
-    are.
+    of each live level at the borders of blocks of FAN ** HEIGHT numbers, fewer where a
+    point has many rows. Points and spans are shuffled once, by block, so a task holds about
+    TASK_TOPS points or spans however many there are.
     """
-    width = FAN**HEIGHT
+    height = HEIGHT
+    while height > 1 and b.rows >= b.most * FAN ** (HEIGHT + 1 - height):
+        height -= 1
+    width = FAN**height
     record = b.points.where("record") if b.own is not None else b.points
     points = record.select("book_id", _part("no", width).alias("block"), "no", "ts", *_nulls(b.spans, "side", "price", "size", "vf", "vt"))
     cut = b.spans.withColumn("block", F.explode(F.sequence(_part("vf", width), F.floor((F.col("vt") - 1) / width).cast("long"))))
     edge = F.col("block") * width
     cut = cut.select("book_id", "block", *_nulls(points, "no", "ts"), "side", "price", "size", F.greatest("vf", edge).alias("vf"), F.least("vt", edge + width).alias("vt"))
     # dealt by block once: all that follows has the block among its keys
-    dealt = points.unionByName(cut).repartition(_tasks(points, b.most, TASK_TOPS), "book_id", "block")
-    levels = _in_nodes(dealt.withColumns({"vf": F.coalesce("vf", "no"), "vt": F.coalesce("vt", F.col("no") + 1)}), HEIGHT)
+    dealt = points.unionByName(cut).repartition(_tasks(points, max(b.most, b.rows), TASK_TOPS), "book_id", "block")
+    levels = _in_nodes(dealt.withColumns({"vf": F.coalesce("vf", "no"), "vt": F.coalesce("vt", F.col("no") + 1)}), height)
     by_node = levels.groupBy("book_id", "block", "level", "node", "no", "ts").agg(*_best())
     w = Window.partitionBy("book_id", "block", "level", "node")
     bids, asks = F.max("bid").over(w), F.min("ask").over(w)

@@ -236,6 +236,57 @@ def test_best_prices_by_blocks(spark, monkeypatch):
     assert {int(r["ts"]): (r["bid"], r["bidq"], r["ask"], r["askq"]) for r in tops.collect()} == want
 
 
+def _sizes_by_time(batches):
+    """{(side, price): size} after each batch of updates, by its timestamp."""
+    book, out = {}, {}
+    for b in batches:
+        for side, price, size in b["rows"]:
+            book.pop((side, price), None)
+            if size:
+                book[side, price] = size
+        out[b["ts"]] = dict(book)
+    return out
+
+
+def test_best_prices_of_points_of_many_rows(spark, monkeypatch):
+    """Tasks follow the rows where points are few, and blocks get shorter with them."""
+    from depthbook.sources.tape import from_batches
+
+    monkeypatch.setattr(state.ranks, "RANGE_ROWS", 100)
+    monkeypatch.setattr(state, "FAN", 2)
+    monkeypatch.setattr(state, "TASK_TOPS", 20)
+    rng = random.Random(9)
+    batches = [{"kind": "u", "ts": i, "rows": [(s, 10 + x, rng.randrange(3)) for s in "ba" for x in rng.sample(range(12), 5)]} for i in range(50)]
+    tape, points = from_batches(spark, batches)
+    tops = state.tops(state.books(tape, points))
+    monkeypatch.setattr(state, "TASK_ROWS", 50)
+    assert state.books(tape, points, in_order=True, collapsed=True).spans.rdd.getNumPartitions() == 10
+    assert tops.rdd.getNumPartitions() == 25  # 4 by the number of points
+    per = tops.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert per <= 10  # a block of sixteen points was one task's
+    want = {}
+    for ts, book in _sizes_by_time(batches).items():
+        bid, ask = (f((p for s, p in book if s == x), default=0) for f, x in ((max, "b"), (min, "a")))
+        want[ts] = (bid, book.get(("b", bid), 0), ask, book.get(("a", ask), 0))
+    assert {int(r["ts"]): (r["bid"], r["bidq"], r["ask"], r["askq"]) for r in tops.collect()} == want
+
+
+def test_spans_and_points_of_many_rows_are_dealt_once(spark, monkeypatch):
+    """The window over a level's rows keeps the tasks that follow from the number of rows."""
+    monkeypatch.setattr(state.ranks, "RANGE_ROWS", 20)
+    monkeypatch.setattr(state, "TASK_ROWS", 10)
+    batches, tape, points = _long_tape(spark)
+    b = state.books(tape, in_order=True, collapsed=True)
+    assert b.spans.rdd.getNumPartitions() == 15  # one, of all rows, when it is dealt again
+    assert state._points_of(tape, 150).rdd.getNumPartitions() == 15
+    live = {}
+    for r in state.live(b).collect():
+        live.setdefault(int(r["ts"]), {})[r["side"], r["price"]] = r["size"]
+    assert live == {ts: book for ts, book in _sizes_by_time(batches).items() if book}
+    few = [tuple(r) for r in state.tops(b).orderBy("ts").collect()]
+    assert few == [tuple(r) for r in state.tops(state.books(tape, points)).orderBy("ts").collect()]
+
+
 def test_properties_of_a_table_find_best_prices_once(spark, monkeypatch):
     _, tape, points = _long_tape(spark, 40)
     made, tops = [], state.tops

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, held_out, settle, small_batches
-from .textops import bounded, mix, slices, utf8
+from .textops import bounded, matrix, mix, slices, utf8
 
 BUCKETS = 1 << 12
 #: Training rows of each language, drawn by a hash of the text; a documented bound.
@@ -38,6 +38,8 @@ _FOLD[128:] = np.arange(128, 256)
 
 #: Bytes of texts that are looked at together; a longer text is counted block by block.
 BLOCK = 1 << 18
+#: Training rows that a gradient step looks at together.
+ROWS = 128
 
 
 def _squeezed(x: np.ndarray) -> np.ndarray:
@@ -107,20 +109,26 @@ def _damped(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear support vector machine by accelerated gradient steps."""
-    n = max(1, len(y))
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
+def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60, rows: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear support vector machine by accelerated gradient steps, on `rows`
+    of x (all by default). Steps are in double precision and pass over x by blocks, so
+    neither a copy of the rows nor one of wider numbers is made."""
+    rows = np.arange(len(x)) if rows is None else rows
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    w = np.zeros(x.shape[1] + 1)
     z, t, step = w.copy(), 1.0, 1.0 / (2 * c * 2 + 1)
-    for _ in range(rounds * (1 if n else 0)):
-        slack = np.maximum(0, 1 - y * (x @ z[:-1] + z[-1])) * weight * y
-        grad = z / 10 - 2 * c * np.append(x.T @ slack, slack.sum())
+    for _ in range(rounds):
+        grad = z / 10
+        for i in range(0, len(rows), ROWS):
+            b, s = x[rows[i : i + ROWS]].astype(float), slice(i, i + ROWS)
+            slack = np.maximum(0, 1 - y[s] * (b @ z[:-1] + z[-1])) * weight[s] * y[s]
+            grad[:-1] -= 2 * c * (slack @ b)
+            grad[-1] -= 2 * c * slack.sum()
         new = z - step * grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float32), float(w[-1])
 
 
 @dataclass
@@ -189,18 +197,20 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", famil
             x = profiles(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
-    got = drawn.select("lang", "text", "h").mapInArrow(profile, "lang string, h long, x binary").toPandas().sort_values("h")
-    got = got.groupby("lang", sort=True).head(rows_a_language)
-    names = sorted(got["lang"].unique())
-    x = np.stack([np.frombuffer(r, np.float16).astype(np.float32) for r in got["x"]]) if len(got) else np.zeros((0, BUCKETS), np.float32)
-    y = np.array([names.index(s) for s in got["lang"]], int)
+    got = drawn.select("lang", "text", "h").mapInArrow(profile, "lang string, h long, x binary").toArrow()
+    order = got.select(["lang", "h"]).to_pandas().sort_values(["h", "lang"])
+    order = order.groupby("lang", sort=True).head(rows_a_language)
+    names = sorted(order["lang"].unique())
+    x = matrix(got.column("x"), order.index.to_numpy(), np.float16, BUCKETS)
+    del got
+    y = np.array([names.index(s) for s in order["lang"]], int)
     of = {s: next((f for f, m in families.items() if s in m), f"only {s}") for s in names}
     groups = [[names.index(s) for s in names if of[s] == f] for f in sorted(set(of.values()))]
     fits = [linear_svm(x, np.where(np.isin(y, g), 1, -1).astype(np.float32)) for g in groups] if len(groups) > 1 else [(np.zeros(BUCKETS, np.float32), 0.0)] * len(groups)
     pairs = [p for g in groups for p in combinations(g, 2)]
     for a, b in pairs:
-        rows = (y == a) | (y == b)
-        fits.append(linear_svm(x[rows], np.where(y[rows] == a, 1, -1).astype(np.float32)))
+        rows = np.flatnonzero((y == a) | (y == b))
+        fits.append(linear_svm(x, np.where(y[rows] == a, 1, -1).astype(np.float32), rows=rows))
     weights = np.stack([w for w, _ in fits], 1).astype(np.float32) if fits else np.zeros((BUCKETS, 0), np.float32)
     return LanguageModel(names, groups, weights, np.array([b for _, b in fits], np.float32), pairs)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
-from .textops import bounded, mix, slices, utf8, word_hashes, words
+from .textops import bounded, matrix, mix, slices, utf8, word_hashes, words
 
 #: Rows the model is fitted on, those of smallest hash; documented bounds.
 POSITIVES, UNLABELLED = 6_000, 20_000
@@ -105,10 +105,16 @@ class QualityModel:
 
     def design(self, x: np.ndarray) -> np.ndarray:
         form, lexical = x[:, : len(self.cuts)], x[:, len(self.cuts) :]
-        parts = [np.clip((form - self.centre) / self.spread, -4, 4), np.ones((len(x), 1), np.float32)]
+        sizes = [len(cut) + 1 for cut in self.cuts]
+        at = len(sizes) + 1
+        out = np.zeros((len(x), at + sum(sizes) + lexical.shape[1]), np.float32)
+        out[:, : at - 1] = np.clip((form - self.centre) / self.spread, -4, 4)
+        out[:, at - 1] = 1
         for k, cut in enumerate(self.cuts):
-            parts.append(np.eye(len(cut) + 1, dtype=np.float32)[np.searchsorted(cut, form[:, k], "right")])
-        return np.concatenate([*parts, lexical], 1, dtype=np.float32)
+            out[np.arange(len(x)), at + np.searchsorted(cut, form[:, k], "right")] = 1
+            at += sizes[k]
+        out[:, at:] = lexical
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; the prior for every text where nothing could be learned."""
@@ -213,10 +219,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = lambda pairs, n: pairs.distinct().orderBy(F.xxhash64(F.col("_id")), "_id", "_text").limit(n)
     chosen = draw(keys.join(good, "_id", "left_semi"), positives).withColumn("positive", F.lit(True)).union(draw(keys, unlabelled).withColumn("positive", F.lit(False)))
     rows = keyed.join(F.broadcast(chosen), ["_id", "_text"]).select("positive", F.xxhash64("_id", "_text").alias("at"), "text")
-    got = _with_features(rows).dropDuplicates(["positive", "at"]).toPandas().sort_values(["positive", "at"])
-    x = np.stack([np.frombuffer(r, np.float32) for r in got["x"]]) if len(got) else np.zeros((0, len(FEATURES) + WORDS), np.float32)
-    is_positive = got["positive"].to_numpy(bool)
-    return fit(x[is_positive], x[~is_positive], prior)
+    got = _with_features(rows).dropDuplicates(["positive", "at"]).toArrow()
+    order = got.select(["positive", "at"]).to_pandas().sort_values(["positive", "at"])
+    is_positive, order = order["positive"].to_numpy(bool), order.index.to_numpy()
+    positive, unlabelled = (matrix(got.column("x"), order[which], np.float32, len(FEATURES) + WORDS) for which in (is_positive, ~is_positive))
+    del got
+    return fit(positive, unlabelled, prior)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", into: str = "score") -> DataFrame:

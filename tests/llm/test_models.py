@@ -1,10 +1,13 @@
 """Learned operators: held-out accuracy, recall against brute force, and edge cases."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from depthbook.llm import itq_dedup, language_id, multi_index, pu_quality
 from depthbook.llm.common import components, fold
+from depthbook.llm.textops import matrix
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
@@ -364,3 +367,40 @@ def test_profiles_by_blocks():
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
     for block in (1, 2, 3, 7, 50, 1 << 18):
         assert np.allclose(language_id.profiles(pa.array(texts), block), want, atol=1e-6), block
+
+
+def most_held(run):
+    """Bytes that `run` holds at once, besides what there was before, and its result."""
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_fits_hold_no_second_copy_of_their_rows():
+    r = np.random.default_rng(5)
+    x = r.random((1500, language_id.BUCKETS), np.float32)
+    x[:700, :300] += 0.4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(np.arange(1500) < 700, 1, -1).astype(np.float32)
+    held, (w, b) = most_held(lambda: language_id.linear_svm(x, y, rounds=6))
+    assert held < x.nbytes
+    some = np.arange(0, 1500, 3)
+    w2, b2 = language_id.linear_svm(x, y[some], rounds=6, rows=some)
+    w3, b3 = language_id.linear_svm(x[some], y[some], rounds=6)
+    assert np.array_equal(w2, w3) and b2 == b3 and w.dtype == np.float32 and np.isfinite(w).all()
+    rows = r.random((4000, len(pu_quality.FEATURES) + pu_quality.WORDS), np.float32)
+    model = pu_quality._shape(rows, 0.5)
+    held, made = most_held(lambda: model.design(rows))
+    assert held < 1.3 * made.nbytes
+
+
+def test_matrix_takes_the_rows_asked_for():
+    x = np.arange(40, dtype=np.float32).reshape(10, 4)
+    chunk = lambda a: pa.array([v.tobytes() for v in a], pa.binary())
+    column = pa.chunked_array([chunk(x[:3]), chunk(x[3:3]), chunk(x[3:8]), chunk(x[8:])], pa.binary())
+    for rows in ([9, 0, 3, 2, 7], [], list(range(10))):
+        assert np.array_equal(matrix(column, np.array(rows, int), np.float32, 4), x[rows])
+    assert matrix(pa.chunked_array([], pa.binary()), np.zeros(0, int), np.float32, 4).shape == (0, 4)
